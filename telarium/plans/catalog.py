@@ -1,6 +1,8 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from telarium.plans import detection, fleet, numeric
+
+QUERIES = {**detection.QUERIES, **fleet.QUERIES, **numeric.QUERIES}
+ORACLE = {**detection.ORACLE, **fleet.ORACLE, **numeric.ORACLE}
