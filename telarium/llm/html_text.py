@@ -4,7 +4,7 @@ A page becomes a tree of elements (the tag rules a browser uses for unclosed
 paragraphs and list items). Every block element is hashed with all below it.
 Spark counts, for each host, in how many distinct pages a subtree occurs;
 subtrees in more than ``MAX_PAGES`` pages of a host are deleted. Pages that are
-copies of each other count once (they share the least hash of their subtrees),
+copies of each other count once (they share the least of their subtrees under two hashes),
 so an article copied over a site is no template. Elements whose role is plain
 (menus, headers, footers, asides, forms, scripts, adverts, notices, reader
 comments) are deleted on any page. If the page names its article, the text is
@@ -170,6 +170,14 @@ def main_text(page: str, template: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _sketch(hashes: list[int]) -> int:
+    """Least subtree under two orders: copies of a page share it, pages of one template do not."""
+    if not hashes:
+        return 0
+    low, other = min(hashes), min((h * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for h in hashes)
+    return ((low ^ other) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 64):
@@ -178,7 +186,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 found = subtree_hashes(text or "")
                 hosts += [host] * len(found)
-                page += found[:1] * len(found)
+                page += [_sketch(found)] * len(found)
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "hash"])
 
