@@ -210,30 +210,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return full.mapInArrow(_linked, "a long, b long")
 
     links = cut(confirm(top))
-    for only_closest in (True, False):
+    comps = components(links)
+    labelled = shared.select("key", "rep", "n", "slot").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    left = labelled.join(mixed, "key", "left_semi")
+    # shingles that no other of these classes has can't be in an intersection
+    alone = sets.join(left.select("rep").distinct(), "rep", "left_semi").mapInArrow(_shingles, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("have"), F.min("rep").alias("rep")).where("have = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    left = left.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where("4 * common >= 3 * n")
+    reps = cut(left.select("rep").distinct())
+    wide = sets.join(reps, "rep", "left_semi").mapInArrow(_wide, "rep long, " + ", ".join(f"w{i} long" for i in range(WIDE // 64)))
+    about = classes.select("rep", "sig").join(wide, "rep")
+    left = cut(left.drop("alone").join(about, "rep"))
+    p, q = left.alias("p"), left.alias("q")
+    enough = 7 * F.least("p.common", "q.common") >= 3 * (F.col("p.n") + F.col("q.n"))  # 0.75 of the union
+    pair = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") > F.col("q.component")) & enough
+    near = (_distance("p", "q") <= WIDE_DISTANCE) & (_first_slot("p.sig", "q.sig") == F.col("p.slot"))
+    far = cut(p.join(q, pair & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("q.component").alias("other"), _distance("p", "q").alias("d")))
+    if not far.isEmpty():
+        closest = cut(far.groupBy("a", "other").agg(F.min_by("b", F.struct("d", "b")).alias("b")).select("a", "b"))
+        links = cut(links.unionAll(confirm(closest)))
         comps = components(links)
-        labelled = shared.select("key", "rep", "n", "slot").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = labelled.join(mixed, "key", "left_semi")
-        # shingles that no other of these classes has can't be in an intersection
-        alone = sets.join(left.select("rep").distinct(), "rep", "left_semi").mapInArrow(_shingles, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("have"), F.min("rep").alias("rep")).where("have = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-        left = left.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where("4 * common >= 3 * n")
-        reps = cut(left.select("rep").distinct())
-        wide = sets.join(reps, "rep", "left_semi").mapInArrow(_wide, "rep long, " + ", ".join(f"w{i} long" for i in range(WIDE // 64)))
-        about = classes.select("rep", "sig").join(wide, "rep")
-        left = cut(left.drop("alone").join(about, "rep"))
-        p, q = left.alias("p"), left.alias("q")
-        enough = 7 * F.least("p.common", "q.common") >= 3 * (F.col("p.n") + F.col("q.n"))  # 0.75 of the union
-        pair = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") > F.col("q.component")) & enough
-        near = (_distance("p", "q") <= WIDE_DISTANCE) & (_first_slot("p.sig", "q.sig") == F.col("p.slot"))
-        far = cut(p.join(q, pair & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("q.component").alias("other"), _distance("p", "q").alias("d")))
-        if far.isEmpty():
-            break
-        if only_closest:
-            far = far.groupBy("a", "other").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-        links = cut(links.unionAll(confirm(far.select("a", "b"))))
-        if not only_closest:
-            comps = components(links)
+        # every pair whose ends are still apart; the pairs above were found to be no links, or joined their ends
+        of = lambda end, name: comps.select(F.col("id").alias(end), F.col("component").alias(name))
+        apart = far.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+        rest = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        comps = components(links.unionAll(confirm(rest)))
     ids = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.drop("sig").join(ids, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
