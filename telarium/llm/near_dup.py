@@ -46,6 +46,9 @@ DISTANCE = 2 * CHUNKS - 1
 #: mean is 128 with deviation 10.6, so 176 loses a pair in a few millions.
 WIDE, WIDE_DISTANCE = 1024, 176
 
+#: Up to so many ids or pairs (16 bytes each) are sent to the tasks; more are joined by a shuffle.
+SENT = 1_000_000
+
 _rng = np.random.default_rng(75)
 _FLIP = _rng.integers(0, 2**64, SYMBOLS, dtype=np.uint64)
 _TIMES = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,6 +164,11 @@ def _first_slot(p: str, q: str) -> Column:
     return F.array_min(F.transform(F.zip_with(p, q, lambda x, y: x.bitwiseXOR(y)), slot))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """``rows`` (written by ``cut``), marked for broadcast if their count is within SENT."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component): least id reachable over links (a, b), by alternating stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -194,20 +202,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the class that meets most others is near the middle of its group
     leaders = shared.join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("l")).select("key", (-F.col("l.minus")).alias("leader"), F.col("l.n").alias("leader_n"))
     alike = lambda p, q: 4 * F.least(p, q) >= 3 * F.greatest(p, q)  # noqa: E731  a similarity of 0.75 needs it
-    top = (
+    top = cut(
         shared.join(leaders, "key").where(F.col("rep") != F.col("leader")).where(alike(F.col("n"), F.col("leader_n")))
         .groupBy("rep", "leader").agg(F.count("*").alias("met"))
         .groupBy("rep").agg(F.max_by("leader", F.struct("met", -F.col("leader"))).alias("b"))
         .select(F.col("rep").alias("a"), "b")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = _sent(cut(shared.select(F.col("rep").alias("doc_id")).distinct()))
     # a repeated doc_id with other words would give other sets: the class's own set is the one of that size and sum
     sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members")))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
-        return full.mapInArrow(_linked, "a long, b long")
+        x = sets.select(F.col("rep").alias("a"), F.col("members").alias("x")).join(_sent(pairs), "a")
+        y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y")).join(_sent(cut(pairs.select("b").distinct())), "b", "left_semi")
+        return x.join(y, "b").mapInArrow(_linked, "a long, b long")
 
     links = cut(confirm(top))
     comps = components(links)
@@ -215,11 +224,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = labelled.join(mixed, "key", "left_semi")
     # shingles that no other of these classes has can't be in an intersection
-    alone = sets.join(left.select("rep").distinct(), "rep", "left_semi").mapInArrow(_shingles, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("have"), F.min("rep").alias("rep")).where("have = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    left = left.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where("4 * common >= 3 * n")
+    alone = sets.join(_sent(cut(left.select("rep").distinct())), "rep", "left_semi").mapInArrow(_shingles, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("have"), F.min("rep").alias("rep")).where("have = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    left = cut(left.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where("4 * common >= 3 * n"))
     reps = cut(left.select("rep").distinct())
-    wide = sets.join(reps, "rep", "left_semi").mapInArrow(_wide, "rep long, " + ", ".join(f"w{i} long" for i in range(WIDE // 64)))
-    about = classes.select("rep", "sig").join(wide, "rep")
+    wide = sets.join(_sent(reps), "rep", "left_semi").mapInArrow(_wide, "rep long, " + ", ".join(f"w{i} long" for i in range(WIDE // 64)))
+    about = classes.join(_sent(reps), "rep", "left_semi").select("rep", "sig").join(wide, "rep")
     left = cut(left.drop("alone").join(about, "rep"))
     p, q = left.alias("p"), left.alias("q")
     enough = 7 * F.least("p.common", "q.common") >= 3 * (F.col("p.n") + F.col("q.n"))  # 0.75 of the union
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # every pair whose ends are still apart; the pairs above were found to be no links, or joined their ends
         of = lambda end, name: comps.select(F.col("id").alias(end), F.col("component").alias(name))
         apart = far.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-        rest = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        rest = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
         comps = components(links.unionAll(confirm(rest)))
     ids = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.drop("sig").join(ids, ["set_a", "set_b", "n_shingles"], "left")
