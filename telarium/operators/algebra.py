@@ -60,10 +60,13 @@ def decoy_yield(decoys: DataFrame) -> DataFrame:
 
 
 def mttr(steps: DataFrame) -> DataFrame:
-    """Serial steps add; each run of parallel steps costs its longest."""
-    all_steps = F.row_number().over(Window.partitionBy("incident").orderBy("step", "parallel", "seconds"))
-    same_kind = F.row_number().over(Window.partitionBy("incident", "parallel").orderBy("step", "seconds"))
-    runs = steps.withColumn("island", F.when(F.col("parallel"), all_steps - same_kind).otherwise(all_steps))
+    """Serial steps add; each run of parallel steps costs its longest.
+
+    A run is named by the serial steps before it, which repeated rows can't tell apart.
+    """
+    in_order = Window.partitionBy("incident").orderBy("step", "parallel", "seconds")
+    before = F.count_if(~F.col("parallel")).over(in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = steps.withColumn("island", F.when(F.col("parallel"), before).otherwise(F.row_number().over(in_order)))
     cost = runs.groupBy("incident", "parallel", "island").agg(F.max("seconds").alias("most"), F.sum("seconds").alias("total"))
     return cost.groupBy("incident").agg(F.sum("most").alias("mttr"), F.sum("total").alias("serial"))
 

@@ -132,6 +132,12 @@ def test_clocks(spark):
     assert less((1, 1), (1, 2)) and not less((1, 2), (1, 2)) and not less((1, 2, 2, 0), (1, 1, 2, 5))
 
 
+def test_mttr_of_repeated_steps(spark):
+    rows = [(1, 1, 14.0, False), (1, 5, 21.0, True), (1, 7, 10.0, True), (1, 7, 10.0, True), (2, 1, 37.0, True), (2, 2, 22.0, True), (2, 2, 22.0, True), (2, 4, 33.0, False), (2, 7, 5.0, True), (2, 8, 6.0, True)]
+    got = al.mttr(spark.createDataFrame(rows, "incident long, step int, seconds double, parallel boolean")).collect()
+    assert {r.incident: (r.mttr, r.serial) for r in got} == {1: (35.0, 55.0), 2: (76.0, 125.0)}
+
+
 def test_stream_of_rules_equals_batch(spark, tmp_path):
     rows = [{"kind": "dns_query", "query_name": "a.xyz" if i % 2 else "a.com", "us": i * 1_000_000, "pid": i % 3} for i in range(30)]
     table = events(spark, *rows)
