@@ -15,7 +15,7 @@ Shape of the job, none of whose steps grows with the square of a group:
 2. Each class is tested with the one bucket leader it meets most often; the
    leader is the class with most company, near the middle of its group.
 3. What is linked becomes one component; only pairs of *different* components
-   in a bucket remain, first the closest one for each other component, then all.
+   in a bucket remain.
    Shingles that no other remaining class has bound the intersection from
    above, which rules out (exactly) most pairs of a group just below 0.75; the
    distance of wide signatures (1024 one-bit MinHashes, made for these classes
@@ -169,21 +169,26 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has either one edge to a lesser node or only edges from greater ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.where("ups > 1 OR ups = 1 AND least = 0").isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, component): least id reachable over links (a, b), by alternating stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
     for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _stars(edges):
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+        # (v, m) for each edge and (u, m) for its upper end; repeats go with the rest
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        edges = cut(large.join(least, "u").select(F.explode(pair).alias("e")).select("e.*").where("u <> v").distinct())
     raise RuntimeError("components did not settle")
 
 
@@ -218,11 +223,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         y = sets.select(F.col("rep").alias("b"), F.col("members").alias("y")).join(_sent(cut(pairs.select("b").distinct())), "b", "left_semi")
         return x.join(y, "b").mapInArrow(_linked, "a long, b long")
 
-    links = cut(confirm(top))
-    comps = components(links)
+    comps = components(confirm(top))
     labelled = shared.select("key", "rep", "n", "slot").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = labelled.join(mixed, "key", "left_semi")
+    left = cut(labelled.join(mixed, "key", "left_semi"))
     # shingles that no other of these classes has can't be in an intersection
     alone = sets.join(_sent(cut(left.select("rep").distinct())), "rep", "left_semi").mapInArrow(_shingles, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("have"), F.min("rep").alias("rep")).where("have = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     left = cut(left.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).where("4 * common >= 3 * n"))
@@ -234,16 +238,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     enough = 7 * F.least("p.common", "q.common") >= 3 * (F.col("p.n") + F.col("q.n"))  # 0.75 of the union
     pair = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") > F.col("q.component")) & enough
     near = (_distance("p", "q") <= WIDE_DISTANCE) & (_first_slot("p.sig", "q.sig") == F.col("p.slot"))
-    far = cut(p.join(q, pair & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("q.component").alias("other"), _distance("p", "q").alias("d")))
+    far = cut(p.join(q, pair & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")))
     if not far.isEmpty():
-        closest = cut(far.groupBy("a", "other").agg(F.min_by("b", F.struct("d", "b")).alias("b")).select("a", "b"))
-        links = cut(links.unionAll(confirm(closest)))
-        comps = components(links)
-        # every pair whose ends are still apart; the pairs above were found to be no links, or joined their ends
-        of = lambda end, name: comps.select(F.col("id").alias(end), F.col("component").alias(name))
-        apart = far.select("a", "b").join(closest, ["a", "b"], "left_anti").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-        rest = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-        comps = components(links.unionAll(confirm(rest)))
+        # what is linked so far is as good as its stars
+        comps = components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(confirm(far)))
     ids = classes.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = found.drop("sig").join(ids, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
