@@ -36,7 +36,8 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("2-revise", token_rollup.revisions(docs, "spaces-1", "spaces-2"))
     rollup.commit("3-insert-again", token_rollup.inserts(docs, "spaces-1"))
     rollup.commit("2-revise", token_rollup.revisions(docs, "spaces-1", "spaces-2"))
-    rollup.commit("4-delete", token_rollup.deletes(docs.join(toxic, "doc_id", "left_semi"), "spaces-2"))
+    counted = docs.select("doc_id", "source", "lang", token_rollup.token_count(F.col("text"), "spaces-2").alias("n"))
+    rollup.commit("4-delete", token_rollup.deletes(counted.join(toxic, "doc_id"), "spaces-2", F.col("n")))
     return rollup.totals()
 
 
