@@ -59,6 +59,15 @@ def decoy_yield(decoys: DataFrame) -> DataFrame:
     return decoys.groupBy("site").agg(F.sum(value).alias("yield"), F.max_by("decoy", F.struct(value, -F.col("decoy"))).alias("best"))
 
 
+def residual_risk(gaps: DataFrame, controls: DataFrame) -> DataFrame:
+    """What is left of each gap's severity after its best control (the least id among equals); no control leaves all."""
+    covered = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coverage")))
+    best = controls.groupBy("gap").agg(F.max(F.struct(covered.alias("coverage"), (-F.col("control")).alias("minus"))).alias("best"))
+    rows = gaps.join(best, "gap", "left")
+    severity = F.greatest(F.col("severity"), F.lit(0.0))
+    return rows.select("gap", (-F.col("best.minus")).alias("control"), (severity * (1 - F.coalesce("best.coverage", F.lit(0.0)))).alias("residual"))
+
+
 def mttr(steps: DataFrame) -> DataFrame:
     """Serial steps add; each run of parallel steps costs its longest.
 

@@ -95,3 +95,24 @@ def telemetry_gaps(raw: DataFrame, shapes: DataFrame, window_us: int = 600_000_0
 def technique_coverage(rules: DataFrame, findings: DataFrame) -> DataFrame:
     seen = findings.groupBy("technique").agg(F.count("*").alias("findings"), F.count_distinct("host").alias("hosts"))
     return rules.groupBy("technique").agg(F.count("*").alias("rules")).join(seen, "technique", "left").fillna(0)
+
+
+def duty(sensors: DataFrame, beats: DataFrame) -> DataFrame:
+    """Beats on time and missed by sensor, and their share; a sensor without any counts as available."""
+    each = beats.groupBy("sensor").agg(F.count_if("on_time").alias("observed"), F.count_if(~F.col("on_time")).alias("missed"))
+    rows = sensors.join(each, "sensor", "left").fillna(0, ["observed", "missed"])
+    expected = F.col("observed") + F.col("missed")
+    return rows.withColumn("availability", F.when(expected == 0, 1.0).otherwise(F.col("observed") / expected))
+
+
+def liveness(now_ms: Column, last_ms: Column, interval_ms: int, grace_ms: int) -> Column:
+    """alive up to and including the deadline, also when the clock went back; else stale or never_seen."""
+    return F.when(last_ms.isNull(), "never_seen").when(now_ms <= last_ms + interval_ms + max(grace_ms, 0), "alive").otherwise("stale")
+
+
+def wire_volume(events: DataFrame) -> DataFrame:
+    """By kind: events, mean bytes of an event as JSON, bytes a day over the kind's own span."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    days = (F.max("us") - F.min("us")) / 86_400e6
+    rows = events.withColumn("bytes", size).groupBy("kind").agg(F.count("*").alias("events"), F.avg("bytes").alias("mean_bytes"), (F.sum("bytes") / F.when(days > 0, days)).alias("bytes_per_day"))
+    return rows

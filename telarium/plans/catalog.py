@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telarium.plans import detection, fleet, numeric
+from telarium.plans import decoding, detection, fleet, numeric
 
-QUERIES = {**detection.QUERIES, **fleet.QUERIES, **numeric.QUERIES}
-ORACLE = {**detection.ORACLE, **fleet.ORACLE, **numeric.ORACLE}
+QUERIES = {**detection.QUERIES, **fleet.QUERIES, **numeric.QUERIES, **decoding.QUERIES}
+ORACLE = {**detection.ORACLE, **fleet.ORACLE, **numeric.ORACLE, **decoding.ORACLE}
