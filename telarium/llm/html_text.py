@@ -4,8 +4,8 @@ A page becomes a tree of elements (the tag rules a browser uses for unclosed
 paragraphs and list items). Every block element is hashed with all below it.
 Spark counts, for each host, in how many distinct pages a subtree occurs;
 subtrees in more than ``MAX_PAGES`` pages of a host are deleted. Pages that are
-copies of each other count once (they share the least of their subtrees under two hashes),
-so an article copied over a site is no template. Elements whose role is plain
+copies of each other count once (a page is the hash of its whole tree), so an
+article copied over a site is no template. Elements whose role is plain
 (menus, headers, footers, asides, forms, scripts, adverts, notices, reader
 comments) are deleted on any page. If the page names its article, the text is
 taken from there; paragraphs and headings inside it are never templates.
@@ -115,8 +115,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _walk(root: Node, hashes: dict[int, int]) -> None:
-    """Hash of every block element with what is below it; no recursion, so depth is free."""
+def _walk(root: Node, hashes: dict[int, int]) -> int:
+    """Hash of every block element with what is below it; no recursion, so depth is free. Gives the whole tree's."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -130,12 +130,14 @@ def _walk(root: Node, hashes: dict[int, int]) -> None:
         digests[id(node)] = h.digest()
         if node.block and node.tag not in _ROOTS and node.tag != "br":
             hashes[id(node)] = int.from_bytes(digests[id(node)], "little", signed=True)
+    return int.from_bytes(digests[id(root)], "little", signed=True)
 
 
-def subtree_hashes(page: str) -> list[int]:
+def subtree_hashes(page: str) -> tuple[int, list[int]]:
+    """Hash of the whole page, which only copies share, and those of its subtrees."""
     hashes: dict[int, int] = {}
-    _walk(parse(page), hashes)
-    return sorted(set(hashes.values()))
+    whole = _walk(parse(page), hashes)
+    return whole, sorted(set(hashes.values()))
 
 
 def main_text(page: str, template: set[int]) -> str:
@@ -170,23 +172,15 @@ def main_text(page: str, template: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _sketch(hashes: list[int]) -> int:
-    """Least subtree under two orders: copies of a page share it, pages of one template do not."""
-    if not hashes:
-        return 0
-    low, other = min(hashes), min((h * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF for h in hashes)
-    return ((low ^ other) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-
-
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
             hosts, page, hashes = [], [], []
             for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                found = subtree_hashes(text or "")
+                whole, found = subtree_hashes(text or "")
                 hosts += [host] * len(found)
-                page += [_sketch(found)] * len(found)
+                page += [whole] * len(found)
                 hashes += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "hash"])
 

@@ -5,10 +5,10 @@ windows that occur twice. Across documents: the lines of a document, normalised
 (lower case, white space as one space) and hashed with its host (``source``),
 are counted once per *distinct* document; a line that more than
 ``MAX_DOCUMENTS`` documents of a host share is removed, and a document that
-removal depletes is rejected. Copies are one document here: documents are told
-apart by the least of their lines under two hashes, which copies and most near
-copies share, so a group of copies does not make its own lines look like a template (groups
-of copies are left to the near-duplicate operator).
+removal depletes is rejected. Copies are one document here: a document is the
+hash of the whole sorted set of its lines, so copies do not make their own
+lines look like a template (groups of copies are left to the near-duplicate
+operator), while documents that differ in any line count apart.
 
 One pass over the texts leaves a row of numbers for each document and 16 bytes
 for each line; every later step works on those. Line counts are aggregated in
@@ -73,8 +73,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(h): hashes of lines that more distinct documents of a host have than allowed."""
-    sketch = F.xxhash64(F.array_min("hs"), F.array_min(F.transform("hs", lambda h: F.xxhash64(h))))
-    each = rows.select(F.array_distinct("lines.h").alias("hs")).select(sketch.alias("document"), F.explode("hs").alias("h"))
+    each = rows.select(F.sort_array(F.array_distinct("lines.h")).alias("hs")).select(F.xxhash64("hs").alias("document"), F.explode("hs").alias("h"))
     pairs = each.groupBy("h", "document").agg(F.lit(1).alias("one"))
     return pairs.groupBy("h").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents).select("h")
 

@@ -138,6 +138,11 @@ def test_quality_rules(spark, docs, texts):
     assert cleaned.where("lower(text) LIKE '%menu%'").count() == 0 and cleaned.count() == 60
     assert quality_rules.keep_good(docs).columns == docs.columns
     assert quality_rules.verdicts(docs.where("false")).count() == 0
+    # 70 different documents with 80 % shared lines, and 70 copies of another one, at production limits
+    menu = [f"shared line {k} of the host" for k in range(16)]
+    site = [(i, "\n".join([*menu, *(prose(8) + f" own{i}.{k}" for k in range(4))]), "h") for i in range(70)] + [(100 + i, "a copied line\n" + " ".join(WORDS[:40]), "h") for i in range(70)]
+    out = {r.doc_id: r.n_removed_words for r in quality_rules.verdicts(spark.createDataFrame(site, "doc_id long, text string, source string")).collect()}
+    assert out == {i: 16 * 6 for i in range(70)} | {100 + i: 0 for i in range(70)}
 
 
 def test_url_cascade(spark):
@@ -158,6 +163,12 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), max_pages=3).collect()}
     assert got[2] == "T2 &c a2b d e x y" and got[9] == "" and got[10] == "plain text" and got[11] == "own"
 
+    # 30 pages with 40 shared and 3 own subtrees, and 30 that differ only outside block elements, at production limits
+    menu = "".join(f"<div>shared {k}</div>" for k in range(40))
+    rows = [(i, "http://a.org/", menu + "".join(f"<div>own {i} {k}</div>" for k in range(3))) for i in range(30)] + [(100 + i, "http://b.org/", f"<div>menu</div>own {i}") for i in range(30)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i} 0 own {i} 1 own {i} 2" for i in range(30)} | {100 + i: f"own {i}" for i in range(30)}
+
 
 def test_personal_data(docs):
     text = "mail a.b@c.de, 1.2.3.400 10.0.0.255 card 4539 1488 0343 6467 or 4539148803436468 tel +1 (743) 555-3824."
