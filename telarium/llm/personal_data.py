@@ -2,10 +2,11 @@ r"""Personal data: fixed patterns, and a character BiLSTM-CRF that adds to them.
 
 Base spans are the leftmost non-overlapping matches of a kind's pattern that
 pass its check. The tagger then reads overlapping windows of the text wherever
-a window holds a digit, an `@` or a spelled-out dot (no span of any kind can
-lie elsewhere), and its spans are reconciled over the whole text: one that
-touches a window's border is left to the next window, which holds it whole;
-one that overlaps a base span, or a longer one, goes. What is added must pass
+a window holds a digit, an `@` or a spelled-out at or dot (no span of any kind
+can lie elsewhere), and its spans are reconciled over the whole text: one that
+touches a window's border and that no other window holds whole is read again
+in windows around it, each twice as long as the last, until one holds it whole
+(no limit but the text); one that overlaps a base span, or a longer one, goes. What is added must pass
 the kind's own check (Luhn for cards, parts of at most 255 for addresses).
 
 The model is trained on the driver from a fixed number of labelled windows and
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_EVIDENCE = re.compile(r"[0-9@]| dot |\[dot\]|\(dot\)")
+_EVIDENCE = re.compile(r"[0-9@]|\[at\]|\(at\)| at (?=[A-Za-z0-9-]+(?:\.| dot | ?\[dot\]|\(dot\)))| dot(?= )|\[dot\]|\(dot\)", re.I)
 _DIGITS = re.compile("[0-9]")
 _NUMBER = re.compile("[0-9]+")
 _SPELLED = re.compile(r"\S+(?: ?@ ?| at | ?\[at\] ?|\(at\))[A-Za-z0-9-]+(?:(?:\.| dot | ?\[dot\] ?|\(dot\))[A-Za-z0-9-]+)+", re.I)
@@ -95,48 +96,73 @@ def _windows(text: str) -> list[int]:
     return [s * STEP for s in sorted(starts)]
 
 
+def _tagged(row: np.ndarray, size: int) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the spans in the first ``size`` places of a window."""
+    edges = np.flatnonzero(row[:size])
+    at = 0
+    while at < len(edges):
+        a = int(edges[at])
+        kind = (int(row[a]) - 1) // 2
+        b = a + 1
+        while b < size and row[b] == 2 + 2 * kind:
+            b += 1
+        while at < len(edges) and edges[at] < b:
+            at += 1
+        yield KINDS[kind], a, b
+
+
 def added_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """Spans of the tagger for each text, reconciled over its windows."""
     found: list[set[tuple[str, int, int]]] = [set() for _ in texts]
+    torn: list[tuple[int, int, int]] = []
     pad = int(classes(" ")[0])
-    pending: list[tuple[int, int, np.ndarray]] = []
-
-    def flush() -> None:
-        x = np.stack([c for _, _, c in pending]).T
-        tags = tagger.decode(x).T
-        for (doc, start, _), row in zip(pending, tags, strict=True):
-            if not row.any():
-                continue
-            size = min(LENGTH, len(texts[doc]) - start)
-            edges = np.flatnonzero(row)
-            at = 0
-            while at < len(edges):
-                a = int(edges[at])
-                kind = (int(row[a]) - 1) // 2
-                b = a + 1
-                while b < size and row[b] == 2 + 2 * kind:
-                    b += 1
-                while at < len(edges) and edges[at] < b:
-                    at += 1
-                whole = (a > 0 or start == 0) and (b < size or start + size == len(texts[doc]))
-                if whole and a < size:
-                    found[doc].add((KINDS[kind], start + a, start + b))
-        pending.clear()
-
-    for doc, text in enumerate(texts):
-        starts = _windows(text)
-        if not starts:
-            continue
-        codes = classes(text)
-        for start in starts:
-            window = np.full(LENGTH, pad)
-            part = codes[start : start + LENGTH]
+
+    def read(windows: Iterable[tuple[int, int]], length: int, wanted: dict[tuple[int, int], list[tuple[int, int]]] | None = None) -> None:
+        """Adds to ``found`` and ``torn``; of a window in ``wanted``, only what overlaps its places."""
+        pending: list[tuple[int, int, np.ndarray]] = []
+
+        def flush() -> None:
+            tags = tagger.decode(np.stack([c for _, _, c in pending]).T).T
+            for (doc, start, _), row in zip(pending, tags, strict=True):
+                if not row.any():
+                    continue
+                n = len(texts[doc])
+                for kind, a, b in _tagged(row, min(length, n - start)):
+                    a, b = start + a, start + b
+                    if wanted is not None and all(b <= x or a >= y for x, y in wanted[doc, start]):
+                        continue
+                    if (a > start or start == 0) and (b < start + length or b == n):
+                        found[doc].add((kind, a, b))
+                    else:
+                        torn.append((doc, a, b))
+            pending.clear()
+
+        last, codes = -1, np.zeros(0, np.int64)
+        for doc, start in windows:
+            if doc != last:
+                last, codes = doc, classes(texts[doc])
+            window = np.full(length, pad)
+            part = codes[start : start + length]
             window[: len(part)] = part
             pending.append((doc, start, window))
-            if len(pending) >= WINDOWS_AT_ONCE:
+            if len(pending) * length >= WINDOWS_AT_ONCE * LENGTH:
                 flush()
-    if pending:
-        flush()
+        if pending:
+            flush()
+
+    read(((doc, start) for doc, text in enumerate(texts) for start in _windows(text)), LENGTH)
+    length = LENGTH
+    while torn:
+        # windows of one length start at multiples of half of it, so spans share them
+        length *= 2
+        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for doc, a, b in torn:
+            if not any(x <= a and b <= y for _, x, y in found[doc]):
+                step, n = length // 2, len(texts[doc])
+                start = 0 if n <= length else max(0, round(((a + b) / 2 - step) / step)) * step
+                wanted.setdefault((doc, start), []).append((a, b))
+        torn.clear()
+        read(sorted(wanted), length, wanted)
     out = []
     for doc, spans in enumerate(found):
         kept: list[tuple[str, int, int]] = []

@@ -183,6 +183,27 @@ def test_personal_data(docs):
     assert [k for k, _, _ in near] == ["phone"]
 
 
+class _Lines:
+    """Tags each line that is not empty as an address."""
+
+    def decode(self, x):
+        inside = x != char_tagger.classes("\n")[0]
+        before = np.vstack([np.zeros((1, x.shape[1]), bool), inside[:-1]])
+        return np.where(inside, np.where(before, 2, 1), 0).astype(np.int8)
+
+
+def test_personal_data_over_borders():
+    # every length at every place relative to the windows, then what the base windows cannot hold at all
+    for size in (40, 56, 64, 80, 100, 111, 112, 150, 700):
+        value = "n" * (size - 26) + " [at] mail [dot] example.de"[:26]
+        texts = ["\n" * at + value + "\n" * 300 for at in range(130, 130 + personal_data.STEP)]
+        found = personal_data.added_spans(texts, _Lines())
+        assert found == [[("email", at, at + size)] for at in range(130, 130 + personal_data.STEP)]
+    for value in ("jane [at] example.com", "jane [AT] mail [DOT] com", "jane(At)mail(dot)com", "jane at mail.com", "jane AT mail DOT com"):
+        assert personal_data._windows("words here " * 30 + value) and personal_data._SPELLED.search(value)
+    assert not personal_data._windows("the cat looks at the dog. " * 30)
+
+
 def test_secrets(spark, docs):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(1, f'the token = "{key}" in', "src1"), (2, f"commit {key} of the tree", "src1"), (3, 'password = "your-token-here-example"', "src1"), (4, None, None), (5, "plain words only", "s")]
