@@ -1,8 +1,9 @@
 """Secret scans, with DataFrame functions only: candidates by pattern, then a
 random forest that removes false positives.
 
-A candidate is a value after a naming word (`token = "..."`), a value of a
-known form, or a long run of letters and digits. Its features are its length,
+A candidate is a value after a naming word or an identifier that ends in one
+(`token = "..."`, `DB_PASSWORD=...`), a value of a known form, or a long run of
+letters and digits. A quoted value is read up to its closing quote. Its features are its length,
 its character transitions, how much of it dictionary words cover, the path
 (``source``) and the neighbouring words; all are SQL expressions. The forest is
 fitted on the driver on at most ``TRAINING_ROWS`` labelled findings and is then
@@ -33,11 +34,14 @@ HARMLESS = "sha1|sha256|md5|checksum|digest|hash|commit|revision|uuid|etag|examp
 DICTIONARY = "example|sample|change|your|token|secret|password|test|dummy|placeholder|here|this|that|with|from|the|and|for|not|key|value|admin|user|name|hello|world|letter|number|abc|xyz|foo|bar|xxxx|1234|0000"
 #: Values of a known form.
 FORMS = "AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{5,}"
-_VALUE = "[A-Za-z0-9+/_=.-]{8,}"
+_VALUE = "[A-Za-z0-9+/_=.@!#$%^*~-]{8,}"
+#: From after the opening quote up to the closing one, which is not escaped.
+_QUOTED = "|".join(rf"{q}(?!.{{0,7}}(?<!\\){q}).{{8,}}?(?<!\\)(?={q})" for q in "\"'")
 #: How far back neighbouring words are read.
 NEAR = 40
-_NAMED = rf"\b(?:{NAMING})\b[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
-_CANDIDATE = rf"(?i:{_NAMED}{_VALUE})|(?<![A-Za-z0-9+/_-])(?:{FORMS}|[A-Za-z0-9+/_-]{{20,}})"
+_TAIL = rf"(?:{NAMING})\b[\"']?"
+_NAMED = rf"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]*{_TAIL}\s{{0,3}}+(?>:=|=>|[:=])\s{{0,3}}+"
+_CANDIDATE = rf"(?i:{_NAMED}(?:{_QUOTED}|[\"']?{_VALUE}))|(?<![A-Za-z0-9+/_-])(?:{FORMS}|[A-Za-z0-9+/_-]{{20,}})"
 
 FEATURES = ("length", "digits", "upper", "changes", "vowels", "distinct", "dictionary", "named", "quoted", "form", "harmless", "test_path")
 
@@ -55,7 +59,7 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
         "vowels": share(n - left(value, "[aeiouAEIOU]")),
         "distinct": share(F.size(F.array_distinct(F.split(value, "")))),
         "dictionary": share(n - left(F.lower(value), DICTIONARY)),
-        "named": before.rlike(rf"(?i)\b(?:{NAMING})\b[\"']?\s*(?:[:=]|:=|=>)\s*[\"']?$").cast("double"),
+        "named": before.rlike(rf"(?i){_TAIL}\s*(?:[:=]|:=|=>)\s*[\"']?$").cast("double"),
         "quoted": before.rlike("[\"']$").cast("double"),
         "form": value.rlike(f"^(?:{FORMS})$").cast("double"),
         "harmless": before.rlike(rf"(?i)\b(?:{HARMLESS})\b").cast("double"),
@@ -69,14 +73,14 @@ def labelled_findings(count: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[
     pick = lambda options: options[int(rng.integers(len(options)))]
     run = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
     hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    name = lambda: pick(("token", "secret", "password", "api_key", "access-key", "auth", "client_secret"))
+    name = lambda: pick(("token", "secret", "password", "api_key", "access-key", "auth", "client_secret", "DB_PASSWORD", "AWS_SECRET_ACCESS_KEY", "github_token", "spring.datasource.password", "apiToken"))
     assign = lambda: pick((" = \"", "=", ": ", " = '", "\": \"", ":"))
     words = lambda: " ".join(pick(("the", "in", "of", "ended", "hat", "une", "que", "der", "los")) for _ in range(3))
     path = lambda: pick(("src1", "src12", "web/app.py", "config/prod.env", "lib/core.js", "tests/fixtures", "docs/example"))
     plain = lambda: "-".join(pick(("thermal", "under", "letter", "example", "value", "number", "report", "table", "your", "change")) for _ in range(4))
     out = []
     for _ in range(count):
-        kind = int(rng.integers(10))
+        kind = int(rng.integers(13))
         if kind < 3:
             row = (run(hexa, pick((32, 40, 64))), words() + " " + name() + assign(), pick(("src1", "src7", "config/prod.env", "web/app.py")), 1)
         elif kind < 5:
@@ -89,6 +93,12 @@ def labelled_findings(count: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[
             row = (pick((plain(), plain() + run("0123456789", 2), "your_" + pick(("token", "secret")) + "_here", "changeme1234", "xxxxxxxxxxxx", "example-password", "placeholder0000")), words() + " " + pick((name() + assign(), "")), path(), 0)
         elif kind == 8:
             row = (pick((run("0123456789", int(rng.integers(20, 30))), "_".join(("page", run("0123456789", 8), "section", run("0123456789", 4))), run(hexa, 8) + "-" + "-".join(run(hexa, 4) for _ in range(3)) + "-" + run(hexa, 12))), words() + " ", path(), 0)
+        elif kind == 10:
+            row = (run(mixed, int(rng.integers(8, 20))), words() + " " + name() + assign(), pick(("src2", "src9", "config/prod.env", "web/app.py")), 1)
+        elif kind == 11:
+            row = (pick(("P@ss", "Winter", "h!nter", "Xy#", "m0nkey$", "root%")) + run(mixed + "@!#$%^", int(rng.integers(6, 14))), words() + " " + name() + assign(), pick(("src4", "src11", "config/prod.env", "lib/core.js")), 1)
+        elif kind == 12:
+            row = (pick(("required", "undefined", "optional", "disabled", "something", "see the manual", "a value of this form", words())), words() + " " + name() + assign(), path(), 0)
         else:
             row = (run(mixed, int(rng.integers(20, 40))), words() + " " + name() + assign(), pick(("tests/fixtures", "docs/example", "examples/demo")), 0)
         out.append(row)
@@ -166,7 +176,7 @@ def scan(docs: DataFrame, forest: tuple | None = None, threshold: float = THRESH
     forest = forest or production_forest(docs)
     path = F.col("source")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = rf"(?i)^({_NAMED}){_VALUE}$"
+    named = rf"(?i)^({_NAMED}[\"']?)"  # no other candidate holds a sign of assignment
 
     def parts(hit: Column) -> Column:
         """The value, and what stands before it (of a repeated hit, the first)."""

@@ -213,6 +213,13 @@ def test_secrets(spark, docs):
     clean = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
     assert clean[1] == 'the token = "[SECRET]" in' and clean[2] == rows[1][1] and clean[4] is None
     assert secret_scan.redact(docs).columns == docs.columns
+    forms = [("export DB_PASSWORD=hunter2x9Kq now", "hunter2x9Kq"), (f"AWS_SECRET_ACCESS_KEY={key}", key), (f"a/long/path/to/github_token: {key}", key), ('password = "P@ssw0rd!2024" # x', "P@ssw0rd!2024")]
+    forms += [("DB_PASSWORD=P@ssw0rd!2024", "P@ssw0rd!2024"), ('"apiToken": "k9 Q\\"z7&Lw2(x)"', 'k9 Q\\"z7&Lw2(x)'), ("db.password='Qx7;Lw2}9z'", "Qx7;Lw2}9z")]
+    table = spark.createDataFrame([(i, t, "src1") for i, (t, _) in enumerate(forms)], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
+    assert clean == {i: t.replace(v, "[SECRET]") for i, (t, v) in enumerate(forms)}
+    plain = [(0, 'password = "abc" and name = "12345678"', "src1"), (1, "the token: something", "src1"), (2, "password_policy = strict-mode", "src1")]
+    assert all(not r.findings for r in secret_scan.scan(spark.createDataFrame(plain, "doc_id long, text string, source string")).collect())
 
 
 def test_quality_model(spark):
