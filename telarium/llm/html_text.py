@@ -37,7 +37,7 @@ MAX_PAGES = 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<raw>script|style|noscript|textarea|iframe|noembed|noframes|xmp)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S | re.I,
 )
@@ -49,6 +49,10 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 _NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|overlay|widget|toolbar|pagination)(?:$|[\s_-])", re.I)
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "title", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
+_FOREIGN = frozenset(("svg", "math"))
+#: Tags that end an open drawing or formula, and elements inside one that hold HTML again.
+_ENDS_FOREIGN = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
+_HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 _MAIN = frozenset(("article", "main"))
 _ROOTS = frozenset(("html", "body", "article", "main", "#root"))
@@ -75,9 +79,16 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _unclosed(nodes: list[Node]) -> None:
+    """An object without an end tag holds what follows it in its parent, which stays."""
+    for node in nodes:
+        if node.tag == "object":
+            node.drop = False
+
+
 def parse(page: str) -> Node:
     root = Node("#root")
-    stack, at, in_main = [root], 0, 0
+    stack, at, in_main, foreign = [root], 0, 0, False
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].children.append(html.unescape(page[at : m.start()]))
@@ -90,11 +101,21 @@ def parse(page: str) -> Node:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     in_main -= sum(x.tag in _MAIN for x in stack[i:])
+                    _unclosed(stack[i + 1 :])
                     del stack[i:]
                     break
                 if stack[i].tag in _MAIN and tag not in _ROOTS:
                     break
             continue
+        if foreign and tag in _ENDS_FOREIGN:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in _FOREIGN:
+                    in_main -= sum(x.tag in _MAIN for x in stack[i:])
+                    del stack[i:]
+                    foreign = any(x.tag in _FOREIGN for x in stack)
+                    break
+                if stack[i].tag in _HTML_AGAIN:
+                    break
         close = None
         for i in range(len(stack) - 1, 0, -1):
             open_tag = stack[i].tag
@@ -104,14 +125,17 @@ def parse(page: str) -> Node:
             if open_tag in _STOPS.get(tag, ()) or open_tag in _ROOTS or open_tag in ("table", "td", "div") and tag not in _STOPS:
                 break
         if close is not None:
+            _unclosed(stack[close + 1 :])
             del stack[close:]
         node = Node(tag, _dropped(tag, m["attrs"], in_main > 0))
         stack[-1].children.append(node)
         if tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
             in_main += tag in _MAIN
+            foreign = foreign or tag in _FOREIGN
     if at < len(page):
         stack[-1].children.append(html.unescape(page[at:]))
+    _unclosed(stack)
     return root
 
 

@@ -170,6 +170,14 @@ def test_html(spark):
     assert got == {i: f"own {i} 0 own {i} 1 own {i} 2" for i in range(30)} | {100 + i: f"own {i}" for i in range(30)}
 
 
+def test_html_after_drawings():
+    for inner in ('<svg width="5"/>', "<math/>", "<svg-icon name='x'></svg-icon>", "<svg><title>t</title><path d='m'></svg>", "<svg><path d='m'/>", "<math><mi>x</mi></math>", "<object data='x'>", "<object data='x'><p>gone</p></object>", "<template><p>gone</p></template>", "<svg><foreignObject><p>gone</p></foreignObject></svg>"):
+        assert html_text.main_text(f"<article><p>one</p>{inner}<p>two</p></article><div>no</div>", set()) == "one two", inner
+        assert html_text.main_text(f"<div><p>one</p>{inner}<p>two</p></div><p>three</p>", set()) == "one two three", inner
+    assert html_text.main_text("<p>one</p><object data='x'><p>two</p>", set()) == "one two"
+    assert html_text.main_text("<p>one</p><script>var a = '<p>two</p>'", set()) == "one"
+
+
 def test_personal_data(docs):
     text = "mail a.b@c.de, 1.2.3.400 10.0.0.255 card 4539 1488 0343 6467 or 4539148803436468 tel +1 (743) 555-3824."
     assert personal_data.base_spans(text) == [("email", 5, 13), ("ip", 25, 35), ("card", 41, 60), ("phone", 85, 102)]
