@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telarium.checkpoint import cut, folder
 from telarium.functions.scalars import entropy
 
 
@@ -156,20 +158,20 @@ def privacy_budget(rows: DataFrame, budget: float) -> DataFrame:
     return _folded(rows, "analyst", ["us", "id"], take)
 
 
-def reachable(edges: DataFrame, sources: DataFrame, rounds: int = 100) -> DataFrame:
-    """(src, node): reflexive-transitive, cycle-safe; a frontier join per step, cut in the shared folder."""
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, node): reflexive-transitive, cycle-safe, whatever the length of a path.
+
+    A frontier join per step; each frontier is written once in the shared
+    folder and read back, and nothing that was reached before is written again.
+    """
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    edges = edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct()
-    visited = sources.select(F.col("node").alias("src"), "node").distinct().checkpoint()
-    frontier = visited
-    for _ in range(rounds):
-        step = frontier.join(edges, frontier["node"] == edges["e_src"]).select("src", F.col("e_dst").alias("node")).distinct()
-        frontier = step.join(visited, ["src", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionAll(frontier).checkpoint()
-    raise RuntimeError(f"paths longer than {rounds} edges")
+    at = f"{folder(spark)}/reach-{uuid.uuid4().hex}"
+    edges = cut(edges.select(F.col("src").alias("e_src"), F.col("dst").alias("e_dst")).distinct())
+    sources.select(F.col("node").alias("src"), "node").distinct().write.parquet(f"{at}/step=0")
+    schema, step = spark.read.parquet(f"{at}/step=0").schema, 0
+    while not (frontier := spark.read.schema(schema).parquet(f"{at}/step={step}")).isEmpty():
+        visited = spark.read.schema(schema).parquet(*(f"{at}/step={i}" for i in range(step + 1)))
+        reached = frontier.join(edges, frontier["node"] == edges["e_src"]).select("src", F.col("e_dst").alias("node")).distinct()
+        step += 1
+        reached.join(visited, ["src", "node"], "left_anti").write.parquet(f"{at}/step={step}")
+    return spark.read.schema(schema).parquet(*(f"{at}/step={i}" for i in range(step + 1)))

@@ -71,7 +71,7 @@ def patch_latency(spark, sf_dir):
     return _latency(spark, sf_dir).groupBy("brand").agg(F.round(F.avg("days"), 6).alias("mean_days"), F.round(F.greatest(F.lit(0.0), F.avg("days") - 15), 6).alias("exposure"))
 
 
-@R.query("WITH s AS (SELECT l_orderkey AS incident, l_linenumber AS step, l_quantity * 60 AS seconds, l_returnflag = 'N' AS parallel FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY step, parallel, seconds) AS rn, row_number() OVER (PARTITION BY incident, parallel ORDER BY step, seconds) AS rp FROM s), c AS (SELECT incident, parallel, CASE WHEN parallel THEN rn - rp ELSE rn END AS isl, max(seconds) AS most, sum(seconds) AS total FROM i GROUP BY ALL) SELECT incident, round(sum(most), 3) AS mttr, round(sum(total), 3) AS serial, round(86400 / (86400 + sum(most)), 6) AS availability FROM c GROUP BY incident")
+@R.query("WITH s AS (SELECT l_orderkey AS incident, l_linenumber AS step, l_quantity * 60 AS seconds, l_returnflag = 'N' AS parallel FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY step, parallel, seconds) AS rn, count(*) FILTER (NOT parallel) OVER (PARTITION BY incident ORDER BY step, parallel, seconds) AS before FROM s), c AS (SELECT incident, parallel, CASE WHEN parallel THEN before ELSE rn END AS isl, max(seconds) AS most, sum(seconds) AS total FROM i GROUP BY ALL) SELECT incident, round(sum(most), 3) AS mttr, round(sum(total), 3) AS serial, round(86400 / (86400 + sum(most)), 6) AS availability FROM c GROUP BY incident")
 def mttr(spark, sf_dir):
     steps = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident"), F.col("l_linenumber").alias("step"), (F.col("l_quantity") * 60).alias("seconds"), (F.col("l_returnflag") == "N").alias("parallel"))
     return al.mttr(steps).select("incident", F.round("mttr", 3).alias("mttr"), F.round("serial", 3).alias("serial"), F.round(86400 / (86400 + F.col("mttr")), 6).alias("availability"))
