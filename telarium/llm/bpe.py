@@ -5,15 +5,20 @@ behind it is a unit that no piece crosses, so its ids are kept in a dictionary
 of bounded size and merged once. Merging holds the part
 boundaries of a piece and, beside them, the rank of each adjacent pair in one
 array: find the least rank, delete the boundary between the two parts, refresh
-the ranks of the two neighbours, until no pair has a rank.
+the ranks of the two neighbours, until no pair has a rank. A scan of the array
+costs its length, so pieces beyond ``LONG`` bytes (text without a break) take
+their least rank from a heap instead and keep their parts in a linked list;
+the merges are the same ones.
 
 Defined cases: null text counts as empty: no ids, empty decoded text. Every
-row gives one row; no shuffle, so ties and repeats need no rule.
+row gives one row; no shuffle, so ties and repeats need no rule. A very long
+text costs n log n at worst and memory of its own size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -31,6 +36,8 @@ from telarium.llm.common import with_fields
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker keeps with their ids; it starts anew beyond.
 CACHE_UNITS = 700_000
+#: Bytes beyond which a piece is merged with a heap.
+LONG = 160
 _NONE = 1 << 60
 #: Fixed value: the characters with the Unicode property White_Space.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,6 +73,8 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
+        if len(piece) > LONG:
+            return self.merge_long(piece)
         rank, first = self.rank, self.first
         parts = [first[b] for b in piece]
         ranks = [rank.get(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
@@ -79,6 +88,29 @@ class Codec:
                 ranks[i] = rank.get(merged << 20 | parts[i + 1], _NONE)
         return parts
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """``merge`` with a heap of (rank, place): the least rank, the leftmost of equals."""
+        rank, n = self.rank, len(piece)
+        parts = [self.first[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= n or rank.get(parts[i] << 20 | parts[j]) != best:
+                continue  # one of the two was merged since
+            parts[i], parts[j] = best & 0xFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := rank.get(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return [p for p in parts if p >= 0]
+
     def _unit(self, unit: str) -> tuple[int, ...]:
         """Ids of white space with the word behind it; no piece crosses its ends."""
         out: list[int] = []
