@@ -13,6 +13,7 @@ The model is trained on the driver from a fixed number of labelled windows and
 sent to tasks (some 30 kB). Texts are read one by one: no shuffle, no state.
 
 Defined cases: null text is empty and has no spans; every row gives one row.
+A very long text is read window by window, in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from telarium.llm.common import with_fields
 
 LENGTH, STEP, WINDOWS_AT_ONCE = 112, 64, 512
 
-#: The base patterns.
+#: The base patterns. Those of ``email`` are applied at each ``@`` (``_emails``).
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # a match starts with the first digit of a run and takes whole runs, so no run is tried twice
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -55,7 +57,7 @@ def luhn(digits: str) -> bool:
 
 def _passes(kind: str, value: str) -> bool:
     if kind == "ip":
-        return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in value.split("."))
+        return all(len(part) <= 3 and int(part or "0") <= 255 for part in (p.lstrip("0") for p in value.split(".")))
     if kind == "card":
         digits = "".join(_DIGITS.findall(value))
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -64,11 +66,28 @@ def _passes(kind: str, value: str) -> bool:
     return True
 
 
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the email pattern, found from each ``@`` so that long runs without one cost nothing."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = end + len(text[end:at].rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        end = m.end() if m else at + 1
+        at = text.find("@", end)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = []
     for kind, pattern in PATTERNS.items():
-        if (kind == "email" and "@" not in text) or (kind == "phone" and "+" not in text):
+        if kind == "email":
+            out += [(kind, a, b) for a, b in _emails(text)]
             continue
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if _passes(kind, m[0])]
     return out
