@@ -7,11 +7,15 @@ Every host of the corpus was put to every level when it was built, so the
 answer is exact for all of them, without a join at the time of use.
 
 Each level is a bit set of fixed length for its number of keys (10 bits a key),
-built by an aggregate over 64-bit words and used as one literal. Beyond
-``BITS_SENT`` bits a level is not sent: listed hosts are then joined by key.
+built by an aggregate over 64-bit words and used as one literal. A list that
+needs more than ``BITS_SENT`` bits is dealt by the hash of its keys to several
+cascades, each of which answers for the hosts of its own share.
 
 Rules on host and path come first; the rule with the longest text wins.
 
+A host with a third of all pages is one key of the universe and one test a row;
+no rows are shuffled but distinct hosts.
+
 Defined cases: a null url, or one without ``://``, has empty host and path and
 fits no rule. Repeated rows and urls are judged alike. Empty lists block none.
 """
@@ -19,9 +23,10 @@ fits no rule. Repeated rows and urls are judged alike. Empty lists block none.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telarium.llm.common import cut
@@ -33,8 +38,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path start) of the rules of the production list.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Terms by which the production list names hosts.
-LISTED_TERMS = ("cheap-pills", "casino-win", "free-bets", "ads-track")
+#: The production list: each term under each domain, bare and with the usual first labels.
+LISTED = tuple(f"{first}{term}.example.{last}" for term in ("cheap-pills", "casino-win", "free-bets", "ads-track") for first in ("", "www.", "m.", "blog.", "shop.") for last in ("com", "net", "org", "info"))
 
 
 def with_host_and_path(pages: DataFrame) -> DataFrame:
@@ -78,19 +83,14 @@ def _level(keys: DataFrame, number: int, count: int) -> Level:
 class Cascade:
     """Exact membership of the hosts of one corpus in one list."""
 
-    def __init__(self, levels: list[Level], joined: DataFrame | None = None):
-        self.levels, self.joined = levels, joined
+    def __init__(self, levels: list[Level]):
+        self.levels = levels
 
     @staticmethod
-    def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-        """``listed`` and ``universe`` have one column ``key``."""
-        listed = cut(listed.where("key IS NOT NULL").distinct())
-        other = cut(universe.where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
-        n = listed.count()
-        if n * BITS_PER_KEY > BITS_SENT:
-            return Cascade([], listed)
+    def build(listed: DataFrame, other: DataFrame) -> Cascade:
+        """Column ``key``: the listed keys, and all others of the corpus; both distinct and written."""
         levels: list[Level] = []
-        encode, against = listed, other
+        encode, against, n = listed, other, listed.count()
         while n:
             levels.append(_level(encode, len(levels), n))
             wrong = cut(against.where(levels[-1].passes(F.col("key"))))
@@ -106,6 +106,19 @@ class Cascade:
         return out if self.levels else F.lit(False)
 
 
+def _share(key: Column, shares: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shares))
+
+
+def cascades(listed: DataFrame, universe: DataFrame) -> list[Cascade]:
+    """A cascade for each share of the keys; one, unless the list is very large."""
+    listed = cut(listed.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct())
+    other = cut(universe.where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
+    shares = max(1, math.ceil(listed.count() * BITS_PER_KEY / BITS_SENT))
+    mine = lambda rows, i: rows if shares == 1 else rows.where(_share(F.col("key"), shares) == i)
+    return [Cascade.build(mine(listed, i), mine(other, i)) for i in range(shares)]
+
+
 def _fits(host: str, path: str) -> Column:
     return ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
 
@@ -113,12 +126,13 @@ def _fits(host: str, path: str) -> Column:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``listed``: one column ``key`` of hosts."""
     rows = with_host_and_path(pages.drop("host", "path", "rule", "verdict"))
-    cascade = Cascade.build(listed, rows.select(F.col("host").alias("key")))
-    if cascade.joined is not None:
-        rows = rows.join(cascade.joined.select(F.col("key").alias("host"), F.lit(True).alias("on__")), "host", "left")
-        on = F.coalesce("on__", F.lit(False))
-    else:
-        on = cascade.listed(F.col("host"))
+    built = cascades(listed, rows.select(F.col("host").alias("key")))
+    if len(built) == 1:
+        rows = rows.withColumn("on__", built[0].listed(F.col("host")))
+    else:  # a scan for each share, each with its own literals
+        shares = [rows.where(_share(F.col("host"), len(built)) == i).withColumn("on__", c.listed(F.col("host"))) for i, c in enumerate(built)]
+        rows = reduce(DataFrame.unionAll, shares)
+    on = F.col("on__")
     rule, verdict = F.lit(None).cast("string"), F.when(on, "block").otherwise("allow")
     for say, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = _fits(host, path)
@@ -126,7 +140,5 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("rule", rule).withColumn("verdict", verdict).drop("on__")
 
 
-def hosts_with(pages: DataFrame, terms=LISTED_TERMS) -> DataFrame:
-    """The hosts of ``pages`` that contain a listed term, as a list of keys."""
-    hosts = with_host_and_path(pages.select("url")).select(F.col("host").alias("key"))
-    return hosts.where(F.col("key").rlike("|".join(terms))).distinct()
+def production_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(host,) for host in LISTED], "key string").coalesce(1)
