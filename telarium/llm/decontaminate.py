@@ -10,13 +10,16 @@ positional bound; what is left is verified word by word.
 
 Two passes over the texts: one counts the items' tokens (one row for each
 token and task), one emits occurrences of prefix tokens with the words around.
-The token tables are as large as the benchmark; they are sent to tasks while
-they have at most ``TOKENS_SENT`` entries. Beyond, the occurrences of *all*
-tokens of the length are joined by key in Spark instead.
+What tasks are sent is a bit for each token of the benchmark, in a map of at
+most ``2 ** MAX_BITS`` bits (32 MB) whatever its size; a crowded map only lets
+more words through to the joins, which compare tokens themselves. The windows
+are broadcast while they take at most ``BYTES_SENT``, and joined by a shuffle
+on their token beyond.
 
 Defined cases: null or empty text has no words and is not contaminated. Rows
 that agree in ``doc_id`` and text are one document. An item without words has
-no window. Item ids are compared as strings.
+no window. Item ids are compared as strings. A text of any length is read
+whole, as one step of its task.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from telarium.llm.common import blocks, cut, same, text_hash
 from telarium.llm.words import ALNUM, shingle_hashes, word_hashes, word_spans
 
 WINDOW, TOKEN = 10, 3
-#: 8 bytes each: at most 32 MB in a task.
-TOKENS_SENT = 4_000_000
+MAX_BITS = 28
+BYTES_SENT = 32 << 20
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -63,43 +66,48 @@ _SPOTS = pa.list_(pa.struct([("token", pa.int64()), ("token_words", pa.int32()),
 
 
 class _Members:
-    """Which of many hashes are in a sorted array; a table of bits answers most."""
+    """A bit for the leading bits of each hash of a set; tells what can be in it."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.sort(keys)
-        self.bits = max(16, int(len(keys) * 16).bit_length())
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[keys >> np.uint64(64 - self.bits)] = True
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
-        maybe = np.flatnonzero(self.table[hashes >> np.uint64(64 - self.bits)])
-        at = np.searchsorted(self.keys, hashes[maybe])
-        return maybe[self.keys[np.minimum(at, len(self.keys) - 1)] == hashes[maybe]] if len(self.keys) else maybe[:0]
+        at = hashes >> np.uint64(64 - self.bits)
+        return np.flatnonzero((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
 
 
-def _by_length(tokens: dict[int, np.ndarray] | None) -> dict[int, _Members | None]:
-    return {size: None if keys is None else _Members(keys) for size, keys in (tokens or {}).items()}
+def _members(tokens: DataFrame) -> dict[int, _Members]:
+    """The map of each token length; Spark sets the bits, 64 to a row."""
+    out = {}
+    for size, count in tokens.groupBy("token_words").agg(F.count("*")).collect():
+        bits = min(MAX_BITS, max(12, (16 * count).bit_length()))
+        at = F.shiftrightunsigned("token", 64 - bits)
+        rows = tokens.where(F.col("token_words") == size).groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - bits}) & 63 AS int))")).alias("set")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[rows["word"].to_numpy()] = rows["set"].to_numpy().view(np.uint64)
+        out[size] = _Members(bits, words)
+    return out
 
 
-def _occurrences(raw, offsets, sent, wanted):
-    """Words of the texts, and for each token length the hashes and places looked for."""
+def _occurrences(raw, offsets, wanted: dict[int, _Members]):
+    """Words of the texts, and for each token length the hashes and places that may be looked for."""
     starts, ends, first = word_spans(raw, offsets, ALNUM)
     hashes = word_hashes(raw, starts, ends)
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     hits = []
     for size, members in wanted.items():
         runs = shingle_hashes(hashes, size)
-        at = np.arange(len(runs)) if members is None else members.places(runs)
+        at = members.places(runs)
         at = at[of[at] == of[at + size - 1]] if len(at) else at
         hits.append((size, at, runs[at]))
     return starts, ends, first, of, hits
 
 
-def _counts(docs: DataFrame, tokens: dict[int, np.ndarray | None]) -> DataFrame:
+def _counts(docs: DataFrame, tokens: dict[int, _Members]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _by_length(sent.value)
+        wanted = sent.value
         keep: list[np.ndarray] = []
         held = 0
 
@@ -108,7 +116,7 @@ def _counts(docs: DataFrame, tokens: dict[int, np.ndarray | None]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
 
         for _, raw, offsets in blocks(batches):
-            for _, _, found in _occurrences(raw, offsets, sent, wanted)[4]:
+            for _, _, found in _occurrences(raw, offsets, wanted)[4]:
                 keep.append(found)
                 held += len(found)
             if held > 1_000_000:
@@ -120,13 +128,13 @@ def _counts(docs: DataFrame, tokens: dict[int, np.ndarray | None]) -> DataFrame:
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("seen"))
 
 
-def _spots(docs: DataFrame, tokens: dict[int, np.ndarray | None], window: int) -> DataFrame:
+def _spots(docs: DataFrame, tokens: dict[int, _Members], window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tokens)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _by_length(sent.value)
+        wanted = sent.value
         for rows, raw, offsets in blocks(batches):
-            starts, ends, first, of, hits = _occurrences(raw, offsets, sent, wanted)
+            starts, ends, first, of, hits = _occurrences(raw, offsets, wanted)
             spots: list[list[dict]] = [[] for _ in range(len(rows))]
             for size, places, found in hits:
                 for at, token in zip(places.tolist(), found.view(np.int64).tolist(), strict=True):
@@ -146,17 +154,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     windows = cut(item_windows(items, window))
     tokens = cut(windows.select("token_words", F.explode("tokens").alias("token")).distinct())
-    small = tokens.count() <= TOKENS_SENT
-
-    def to_send(frame: DataFrame) -> dict[int, np.ndarray | None]:
-        if not small:
-            return {r.token_words: None for r in frame.select("token_words").distinct().collect()}
-        out: dict[int, list[int]] = {}
-        for size, token in frame.select("token_words", "token").distinct().collect():
-            out.setdefault(size, []).append(token)
-        return {size: np.array(keys, np.int64).view(np.uint64) for size, keys in out.items()}
-
-    counted = cut(_counts(docs, to_send(tokens)).join(tokens.select("token").distinct(), "token", "left_semi"))
+    counted = cut(_counts(docs, _members(tokens)).join(tokens.select("token").distinct(), "token", "left_semi"))
     each = windows.select(F.xxhash64("item_id", "words").alias("window_id"), "item_id", "words", "token_words", F.posexplode("tokens").alias("place", "token"))
     prefix = cut(
         each.join(counted, "token", "left")
@@ -165,13 +163,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         .where("met = of")  # a token that no text has rules the window out
         .select("item_id", "words", "token_words", "p.token", "p.place")
     )
-    spots = _spots(docs, to_send(prefix), window).select("doc_id", "part", "n_words", F.explode_outer("spots").alias("s"))
+    spots = _spots(docs, _members(prefix.select("token_words", "token").distinct()), window).select("doc_id", "part", "n_words", F.explode_outer("spots").alias("s"))
     spots = spots.withColumn("token", F.coalesce("s.token", F.xxhash64("doc_id", "part")))  # texts without a spot are spread
     start = F.col("s.at") - F.col("w.place")
     fits = (F.col("s.token") == F.col("w.token")) & (F.col("s.token_words") == F.col("w.token_words")) & (start >= 0) & (start + F.size("w.words") <= F.col("n_words"))
     equal = F.slice("s.around", F.col("s.before") - F.col("w.place") + 1, F.size("w.words")) == F.col("w.words")
     near = (F.col("s.before") >= F.col("w.place")) & equal
-    prefix = F.broadcast(prefix) if small else prefix
+    size = prefix.agg(F.sum(F.octet_length(F.concat_ws(" ", "item_id", F.array_join("words", "  "))) + 64)).first()[0] or 0
+    prefix = F.broadcast(prefix) if size <= BYTES_SENT else prefix
     hits = spots.alias("d").join(prefix.alias("w"), (F.col("d.token") == F.col("w.token")) & fits & near, "left")
     runs = hits.groupBy("doc_id", "part").agg(
         F.max("n_words").alias("n_words"),
