@@ -11,11 +11,14 @@ comments) are deleted on any page. If the page names its article, the text is
 taken from there; paragraphs and headings inside it are never templates.
 
 Hashes are counted in two levels (host, hash and page, then host and hash), so
-a host with a third of all pages is no hot key.
+a host with a third of all pages is no hot key. The templates are broadcast
+while they have at most ``HASHES_SENT`` hashes, and then no html is shuffled.
+Beyond that, pages meet them in shares of a host of some ``PAGES_A_SHARE``
+pages, each with a copy of the host's list.
 
 Defined cases: null html or a page without text gives the empty string. White
 space is what Unicode says. A null or odd url has the empty host. Every row
-gives one row.
+gives one row. A page of any length is read whole.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from telarium.llm.common import cut, with_fields
 from telarium.llm.url_filter import with_host_and_path
 
 MAX_PAGES = 20
+#: 8 bytes each.
+HASHES_SENT, PAGES_A_SHARE = 2_000_000, 5_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -221,10 +226,28 @@ def templates(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     return counts.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
+def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with hashes__ of their host, by a shuffle in which a large host is many shares.
+
+    Hosts of more than one share are told to all tasks: at most one for every
+    ``PAGES_A_SHARE`` pages.
+    """
+    large = rows.groupBy(F.col("host").alias("h__")).agg(F.ceil(F.count("*") / PAGES_A_SHARE).cast("int").alias("n__")).where("n__ > 1")
+    large = F.broadcast(cut(large))
+    own = F.pmod(F.xxhash64("url", "html"), F.coalesce("n__", F.lit(1))).cast("int")
+    rows = rows.join(large, F.col("host") == F.col("h__"), "left").withColumn("share__", own).drop("h__", "n__")
+    known = known.join(large, F.col("host__") == F.col("h__"), "left").withColumn("of__", F.explode(F.sequence(F.lit(0), F.coalesce("n__", F.lit(1)) - 1))).drop("h__", "n__")
+    return rows.join(known, (F.col("host") == F.col("host__")) & (F.col("share__") == F.col("of__")), "left").drop("host__", "of__", "share__", "host")
+
+
 def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """``pages`` with text and n_chars in place of html."""
-    known = cut(templates(pages, max_pages)).withColumnRenamed("host", "host__").withColumnRenamed("hashes", "hashes__")
-    rows = with_host_and_path(pages.drop("host", "path", "text", "n_chars")).join(known, F.col("host") == F.col("host__"), "left").drop("host__", "path", "host")
+    known = cut(templates(pages, max_pages)).withColumnsRenamed({"host": "host__", "hashes": "hashes__"})
+    rows = with_host_and_path(pages.drop("host", "path", "text", "n_chars")).drop("path")
+    if (known.agg(F.sum(F.size("hashes__") + 4)).first()[0] or 0) <= HASHES_SENT:
+        rows = rows.join(F.broadcast(known), F.col("host") == F.col("host__"), "left").drop("host__", "host")
+    else:
+        rows = _dealt(rows, known)
     rows = rows.withColumn("html", F.col("html").cast("string"))
     keep = [c for c in rows.columns if c not in ("html", "hashes__")]
 
