@@ -1,28 +1,36 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters.
 
-Characters fall into 32 classes (letters, upper case, white space, digit, ...),
-so an n-gram of order 4 is a number below 2**20. Trusted documents (label
-quality 1) are counted: each task sums its n-grams by number, Spark adds the
-sums up, sharded by language and n-gram. Lower orders count distinct left
-contexts, discounts come from the counts of counts, and the parts of the model
-are joined by context in Spark. What is sent to tasks is the finished table of
-one language: 2**20 numbers of 4 bytes by construction, whatever the corpus;
-languages are scored in groups of ``LANGUAGES_SENT``.
+A symbol is a UTF-16 code unit, so a 4-gram is exactly a 64-bit number in any
+script. Trusted documents (label quality 1) are counted: Spark sums n-grams,
+sharded by language and n-gram, and the tables grow with the text they are
+counted on. Lower orders count distinct left contexts, discounts come from the
+counts of counts, and the parts of the model are joined by context.
 
 Each document then has a perplexity, exp of the mean negative log probability
-over all its characters. A language's threshold is a high quantile of its
-trusted documents; a document above it is not kept.
+over all its symbols:
 
-Word n-grams of all documents, joined to their counts, would shuffle a row of
-16 bytes for each word (2 to 3 times the compressed input); hence characters.
+1. The ``SENT`` most frequent 4-grams of the model, with their log
+   probabilities, are sent to tasks, which sum them over each document.
+2. All other 4-grams of a document, counted once a document, are joined by
+   n-gram to their log probabilities, which are worked out for each distinct
+   4-gram of the corpus by joins with the sharded counts. 4-grams that very
+   many documents have (at most ``OFTEN`` of them) are joined by broadcast.
 
-The model is fitted on at most about ``TRAINED_ON`` trusted documents, chosen by
-a hash of their id, so that their ids can be sent to tasks and no text moves;
-with fewer, on all of them. Thresholds and scores cover all documents.
+The sizes of what is sent are fixed; what is over takes the joins, so scores do
+not depend on them. A key of a join has at most 65,536 rows (the symbols that
+can stand on one side of an n-gram), or is one of those broadcast.
+
+A language's threshold is a high quantile of the perplexity of its trusted
+documents. A fifth of them (by hash of the id) is left out of the counts; the
+threshold is the greater of the quantiles of both parts, as documents that the
+model has seen look better than new ones; the quantile of n documents left out
+is raised by its n ** -0.5.
 
 Defined cases: an empty or null text has perplexity null and is not kept. A
 language without trusted text has no threshold and keeps its documents. A null
-language is a language of its own. Repeated label rows count once.
+language is a language of its own. Repeated label rows count once, and a
+document with labels of both kinds is not trusted. Repeated rows are scored
+alike. A very long text is one step of its task.
 """
 
 from __future__ import annotations
@@ -31,164 +39,213 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telarium.llm.common import blocks, cut, with_fields
+from telarium.llm.words import mix
 
-ORDER, BITS = 4, 5
-SIZE = 1 << BITS
-QUANTILE = 0.995
-LANGUAGES_SENT = 16
-TRAINED_ON = 200_000
-_SPACE, _DIGIT, _UPPER, _MARK, _STOP, _OTHER = 26, 27, 28, 29, 30, 31
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, _MARK, np.uint8)
-    out[97:123] = np.arange(26)
-    out[65:91] = _UPPER
-    out[48:58] = _DIGIT
-    out[[9, 10, 11, 12, 13, 32]] = _SPACE
-    out[[33, 44, 46, 58, 59, 63]] = _STOP
-    out[192:] = _OTHER  # first byte of a character beyond ASCII
-    return out
+ORDER, UNIT = 4, 16
+SYMBOLS = 1 << UNIT
+QUANTILE, HELD_OUT = 0.995, 5
+#: 4-grams that tasks are sent (12 bytes each), and n-grams that are joined by broadcast.
+SENT, OFTEN = 1 << 20, 200_000
+#: Ids of trusted documents and languages that are joined by broadcast; more take a shuffle.
+IDS_SENT, LANGUAGES_SENT = 4_000_000, 100_000
+_SPACE = 32
 
 
-_CLASS = _classes()
-
-
-def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each character, and each text's first; white space stands before a text."""
+def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code units of the texts, each text's first, and how many characters each has."""
     lead = (raw & 0xC0) != 0x80
-    kinds = _CLASS[raw[lead]].astype(np.int32)
-    first = np.concatenate(([0], np.cumsum(lead)))[offsets]
-    place = np.arange(len(kinds)) - np.repeat(first[:-1], np.diff(first))
-    out = kinds.copy()
+    try:
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-16-le"), np.uint16)
+        first = np.concatenate(([0], np.cumsum(lead.astype(np.int64) + (raw >= 0xF0))))[offsets]
+    except UnicodeDecodeError:  # bytes that are no text
+        parts = [np.frombuffer(raw[a:b].tobytes().decode("utf-8", "replace").encode("utf-16-le"), np.uint16) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        codes, first = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return codes, first, np.diff(np.concatenate(([0], np.cumsum(lead)))[offsets])
+
+
+def grams(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The ORDER-gram that ends at each symbol; white space stands before a text."""
+    n = len(codes)
+    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
+    out = codes.astype(np.uint64)
     for back in range(1, ORDER):
-        before = np.full(len(kinds), _SPACE, np.int32)
-        before[back:] = kinds[:-back] if back < len(kinds) else kinds[:0]
+        before = np.full(n, _SPACE, np.uint64)
+        before[back:] = codes[: max(n - back, 0)]
         before[place < back] = _SPACE
-        out |= before << (BITS * back)
-    return out, first
+        out |= before << np.uint64(UNIT * back)
+    return out.view(np.int64)
+
+
+def _languages(rows: pa.RecordBatch) -> tuple[list, np.ndarray]:
+    found = rows.column("lang").dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str | None, np.ndarray] = {}
     for rows, raw, offsets in blocks(batches):
-        codes, first = grams(raw, offsets)
-        langs = np.array(["" if x is None else "=" + x for x in rows.column("lang").to_pylist()], object)
-        of = np.repeat(np.arange(len(rows)), np.diff(first))
-        for lang in set(langs.tolist()):
-            mine = codes[(langs == lang)[of]]
-            if lang not in sums:
-                if len(sums) >= LANGUAGES_SENT:  # bounded memory: hand over and go on
-                    yield from _sums(sums)
-                    sums = {}
-                sums[lang] = np.zeros(SIZE**ORDER, np.int64)
-            sums[lang] += np.bincount(mine, minlength=SIZE**ORDER)
-    yield from _sums(sums)
-
-
-def _sums(sums: dict) -> Iterator[pa.RecordBatch]:
-    for lang, n in sums.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "n"])
+        codes, first, _ = symbols(raw, offsets)
+        all_grams, (names, of) = grams(codes, first), _languages(rows)
+        of = np.repeat(of, np.diff(first))
+        for i, lang in enumerate(names):
+            found, n = np.unique(all_grams[of == i], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
+
+
+def _low(gram: str, size: int) -> Column:
+    """The last ``size`` symbols."""
+    return F.col(gram) if size == ORDER else F.col(gram).bitwiseAND((1 << (UNIT * size)) - 1)
+
+
+def _by_language(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= LANGUAGES_SENT else rows
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """(lang, size, gram, p, back): for each order, the discounted share of a
-    gram and, for the same number read as a context, the weight of the order below."""
-    top = cut(trusted.select("lang", "text").mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    level, parts = top, []
+    """(lang, size, gram, p, back, n): for each order, the discounted share of a
+    gram and, for the same number read as a context, the weight of the order
+    below; n is the count of a 4-gram."""
+    level = cut(trusted.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    parts = []
     for size in range(ORDER, 0, -1):
         freq = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
         y = F.expr("n1 / (n1 + 2 * n2)")
         discount = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(0.5))  # noqa: B023, E731
-        freq = freq.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
+        freq = _by_language(cut(freq.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))))
         used = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        each = level.join(freq, "lang").select("lang", "gram", F.shiftright("gram", BITS).alias("context"), "n", used.alias("d"))
+        each = level.join(freq, "lang").select("lang", "gram", F.shiftrightunsigned("gram", UNIT).alias("context"), "n", used.alias("d"))
         totals = each.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        parts.append(each.join(totals, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("back")))
-        parts.append(totals.select("lang", F.lit(size).alias("size"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("mass") / F.col("total")).alias("back")))
+        if size == 1:  # one context a language
+            totals = _by_language(cut(totals))
+        nothing = F.lit(None).cast("double")
+        parts.append(each.join(totals, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), nothing.alias("back"), F.col("n") if size == ORDER else F.lit(None).cast("long").alias("n")))
+        parts.append(totals.select("lang", F.lit(size).alias("size"), F.col("context").alias("gram"), nothing.alias("p"), (F.col("mass") / F.col("total")).alias("back"), F.lit(None).cast("long").alias("n")))
         if size > 1:  # the order below counts distinct symbols to the left
-            level = each.select("lang", F.col("gram").bitwiseAND(SIZE ** (size - 1) - 1).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+            level = cut(level.select("lang", _low("gram", size - 1).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
     return cut(out)
 
 
-def tables(model: DataFrame, langs: list[str]) -> dict[str, np.ndarray]:
-    """Log probability of every ORDER-gram, for each of a few languages."""
-    out = {}
-    for lang in langs:
-        rows = model.where(F.col("lang") == lang).select("size", "gram", "p", "back").toArrow()
-        sizes, gram, shares, weights = (rows[c].to_numpy() for c in rows.column_names)
-        below = np.full(SIZE, 1.0 / SIZE)
-        for size in range(1, ORDER + 1):
-            p, back = np.zeros(SIZE**size), np.ones(SIZE ** (size - 1))
-            own = (sizes == size) & ~np.isnan(shares)
-            p[gram[own]] = shares[own]
-            context = (sizes == size) & ~np.isnan(weights)
-            back[gram[context]] = weights[context]
-            # number = context symbols, then the symbol; the order below drops the first symbol
-            lower = below if size == 1 else np.tile(below, SIZE)
-            below = p + np.repeat(back, SIZE) * lower
-        out[lang] = np.log(below).astype(np.float32)
-    return out
-
-
-def perplexities(docs: DataFrame, model: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, lang, the carried columns, n_chars and perplexity for each row."""
+def probabilities(wanted: DataFrame, model: DataFrame, size: int = ORDER) -> DataFrame:
+    """(lang, gram, p) for distinct grams of ``size`` symbols of the model's languages."""
+    shares = model.where((F.col("size") == size) & F.col("p").isNotNull()).select("lang", "gram", F.col("p").alias("own"))
+    weights = model.where((F.col("size") == size) & F.col("back").isNotNull()).select("lang", F.col("gram").alias("context"), "back")
+    rows = wanted.join(shares, ["lang", "gram"], "left").withColumn("context", F.shiftrightunsigned("gram", UNIT))
+    if size == 1:
+        rows = rows.join(_by_language(cut(weights.drop("context"))), "lang", "left")
+        below = F.lit(1.0 / SYMBOLS)
+    else:
+        rows = rows.join(weights, ["lang", "context"], "left").withColumn("rest", _low("gram", size - 1))
+        lower = probabilities(cut(rows.select("lang", F.col("rest").alias("gram")).distinct()), model, size - 1)
+        rows = rows.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"])
+        below = F.col("below")
+    return rows.select("lang", "gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("p"))
+
+
+class Table:
+    """Numbers by 64-bit key, open addressing; looks up whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        place = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys))
+        size = max(1 << self.bits, int(place[-1]) + 1 if len(keys) else 0) + 1
+        self.keys, self.values = np.zeros(size, np.int64), np.full(size, np.nan, np.float32)
+        self.keys[place], self.values[place] = keys[order], values[order]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Values; NaN where a key is absent."""
+        at = self._home(keys)
+        out = self.values[at]
+        todo = np.flatnonzero((self.keys[at] != keys) & ~np.isnan(out))
+        out[todo] = np.nan
+        while len(todo):
+            at[todo] += 1
+            value, same = self.values[at[todo]], self.keys[at[todo]] == keys[todo]
+            out[todo[same]] = value[same]
+            todo = todo[~same & ~np.isnan(value)]
+        return out
+
+
+def frequent(model: DataFrame, most: int) -> DataFrame:
+    """(lang, gram) of at most ``most`` 4-grams: those above the least count that keeps within it."""
+    found = model.where(F.col("n").isNotNull())
+    least, total = 0, 0
+    for n, how_many in sorted(found.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+        total += how_many
+        if total > most:
+            least = n
+            break
+    return found.where(F.col("n") > least).select("lang", "gram")
+
+
+def perplexities(docs: DataFrame, model: DataFrame, sent: int = SENT, often: int = OFTEN) -> DataFrame:
+    """doc_id, lang, n_chars and perplexity for each row of ``docs`` (doc_id, lang, text)."""
     langs = sorted(r.lang for r in model.select("lang").distinct().collect())
-    docs = docs.select("doc_id", F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), F.col("lang").cast("string"))).alias("lang"), *carry, F.col("text").cast("string").alias("text"))
-    schema = with_fields(docs.drop("text").schema, "n_chars bigint, perplexity double")
-
-    def score(sent):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, raw, offsets in blocks(batches):
-                codes, first = grams(raw, offsets)
-                n = np.diff(first)
-                total = np.zeros(len(rows))
-                of_lang = rows.column("lang").to_pylist()
-                known = np.array([x in sent.value for x in of_lang])
-                for lang in set(of_lang) & set(sent.value):
-                    mine = np.array([x == lang for x in of_lang])
-                    logs = np.concatenate(([0.0], np.cumsum(np.where(np.repeat(mine, n), sent.value[lang][codes], 0), dtype=np.float64)))
-                    total += np.where(mine, logs[first[1:]] - logs[first[:-1]], 0)
-                value = np.exp(-total / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rows.schema.names if c != "text"), pa.array(n, pa.int64()), pa.array(value, mask=(n == 0) | ~known)], names=schema.names)
-
-        return run
-
-    out = None
-    context = docs.sparkSession.sparkContext
-    for at in range(0, len(langs), LANGUAGES_SENT):
-        group = langs[at : at + LANGUAGES_SENT]
-        part = docs if len(langs) <= LANGUAGES_SENT else docs.where(F.col("lang").isin(group))
-        part = part.mapInArrow(score(context.broadcast(tables(model, group))), schema)
-        out = part if out is None else out.unionAll(part)
-    if not langs or len(langs) > LANGUAGES_SENT:
-        rest = docs.where(~F.col("lang").isin(langs) if langs else F.lit(True)).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).withColumn("perplexity", F.lit(None).cast("double")).drop("text")
-        out = rest if out is None else out.unionAll(rest)
-    return out
-
-
-def _bounded(ids: DataFrame, bound: int) -> DataFrame:
-    """All ids, or about ``bound`` of them by hash."""
-    n = ids.count()
-    return ids if n <= bound else ids.where(F.pmod(F.xxhash64("id__"), F.lit(1 << 40)) < (bound << 40) // n)
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, trained_on: int = TRAINED_ON) -> DataFrame:
+    head = probabilities(frequent(model, sent), model).select("lang", "gram", F.log("p").cast("float").alias("log_p")).toArrow()
+    of = head["lang"].combine_chunks().dictionary_encode()
+    where, keys, logs = of.indices.to_numpy(), head["gram"].to_numpy(), head["log_p"].to_numpy()
+    tables = {lang: Table(np.zeros(0, np.int64), np.zeros(0, np.float32)) for lang in langs} | {lang: Table(keys[where == i], logs[where == i]) for i, lang in enumerate(of.dictionary.to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, offsets in blocks(batches):
+            codes, first, chars = symbols(raw, offsets)
+            n, all_grams, (names, of) = np.diff(first), grams(codes, first), _languages(rows)
+            text = np.repeat(np.arange(len(rows)), n)
+            logs = np.zeros(len(codes), np.float32)
+            for i, lang in enumerate(names):
+                if lang in shared.value:
+                    mine = np.flatnonzero(of[text] == i)
+                    logs[mine] = shared.value[lang].look_up(all_grams[mine])
+            over = np.flatnonzero(np.isnan(logs))
+            logs[over] = 0
+            # n-grams that were not sent, counted for each text
+            order = np.lexsort((all_grams[over], text[over]))
+            gram, doc = all_grams[over][order], text[over][order]
+            new = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])))[: len(gram)])
+            times = np.diff(np.concatenate((new, [len(gram)])))
+            ends = np.concatenate(([0], np.searchsorted(doc[new], np.arange(len(rows)), side="right"))).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(gram[new]), pa.array(times, pa.int64())], names=["gram", "n"])
+            total = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))
+            known = np.array([lang in shared.value for lang in names], bool)[of]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("lang"), pa.array(chars, pa.int64()), pa.array(n, pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], mask=~known | (n == 0)), pa.ListArray.from_arrays(ends, pairs)], names=["doc_id", "lang", "n_chars", "n", "log_p", "over"])
+
+    schema = with_fields(docs.select("doc_id", "lang").schema, "n_chars bigint, n bigint, log_p double, over array<struct<gram:bigint,n:bigint>>")
+    rows = cut(docs.select("doc_id", "lang", "text").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()))
+    over = rows.where("log_p IS NOT NULL").select("row", "lang", F.explode("over").alias("x")).select("row", "lang", "x.*")
+    seen = cut(over.groupBy("lang", "gram").agg(F.count("*").alias("texts")))
+    many = (seen.agg(F.sum("texts")).first()[0] or 0) // often
+    values = cut(probabilities(seen.select("lang", "gram"), model).join(seen, ["lang", "gram"]).select("lang", "gram", F.log("p").alias("log"), (F.col("texts") > many).alias("often")))
+    told = F.broadcast(values.where("often").select("lang", "gram", "log"))
+    rest = over.join(told, ["lang", "gram"], "left_anti").join(values.where("NOT often").select("lang", "gram", "log"), ["lang", "gram"])
+    sums = over.join(told, ["lang", "gram"]).unionByName(rest).groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("more"))
+    out = rows.drop("over").join(sums, "row", "left")
+    return out.select("doc_id", "lang", "n_chars", F.exp(-(F.col("log_p") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("perplexity"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sent: int = SENT, often: int = OFTEN) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept for each row of ``docs``."""
-    good = labels.groupBy(F.col("doc_id").alias("id__")).agg(F.min("quality").alias("q__")).where("q__ = 1").select("id__")
-    trusted = docs.select("doc_id", "lang", "text").join(F.broadcast(_bounded(good, trained_on)), F.col("doc_id") == F.col("id__"), "left_semi")
-    model = train(trusted)
-    scored = cut(perplexities(docs, model).join(good, F.col("doc_id") == F.col("id__"), "left").withColumn("trusted", F.col("id__").isNotNull()).drop("id__"))
-    limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    out = scored.join(limits, "lang", "left")
+    good = cut(labels.groupBy(F.col("doc_id").alias("id__")).agg(F.min("quality").alias("q__")).where("q__ = 1").select("id__"))
+    good = F.broadcast(good) if good.count() <= IDS_SENT else good
+    named = F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), F.col("lang").cast("string")))
+    texts = docs.select("doc_id", named.alias("lang"), F.col("text").cast("string").alias("text"))
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    model = train(texts.where(~held_out).join(good, F.col("doc_id") == F.col("id__"), "left_semi"))
+    scored = cut(perplexities(texts, model, sent, often).join(good, F.col("doc_id") == F.col("id__"), "left").withColumn("trusted", F.col("id__").isNotNull()).drop("id__"))
+    high = lambda new: F.percentile_approx(F.when(held_out if new else ~held_out, F.col("perplexity")), quantile, 10_000)
+    unsure = 1 + 1 / F.sqrt(F.count_if(held_out))  # few documents say little of a high quantile
+    limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.greatest(high(True) * unsure, high(False)).alias("threshold"))
+    out = scored.join(_by_language(cut(limits)), "lang", "left")
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     lang = F.when(F.col("lang") == "", F.lit(None)).otherwise(F.substring("lang", 2, 1 << 30))
     return out.select("doc_id", lang.alias("lang"), "n_chars", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), kept.alias("kept"))
