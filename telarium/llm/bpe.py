@@ -17,6 +17,7 @@ text costs n log n at worst and memory of its own size.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import heapq
 import json
@@ -51,16 +52,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Counts(dict):
+    """Number of ids of a unit, worked out when it is first asked for."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, unit: str) -> int:
+        n = sum(len(self.codec.merge(piece.encode())) for piece in self.codec.pieces.findall(unit))
+        if len(unit) <= 64:
+            self[unit] = n
+        return n
+
+
 class Codec:
-    """A vocabulary read from a tokenizer file's text."""
+    """A vocabulary read from a tokenizer file's text, or from a file of ranks."""
 
     def __init__(self, text: str):
-        data = json.loads(text)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.counts = _Counts(self)
+        self.pieces = regex.compile(PATTERN)
+        self.rank: dict[int, int] = {}
+        if text.startswith("{"):
+            self._from_merges(json.loads(text))
+        else:
+            self._from_ranks(text)
+
+    def _from_ranks(self, text: str) -> None:
+        """Lines of a token (base 64) and its rank; a token is what two earlier ones were merged to."""
+        self.id_of = {base64.b64decode(token): int(n) for token, n in map(str.split, text.splitlines())}
+        self.first = [self.id_of[bytes([b])] for b in range(256)]
+        self.bytes_of = {i: s for s, i in self.id_of.items()}
+        for token, i in sorted(self.id_of.items(), key=lambda x: x[1]):
+            if len(token) > 1 and len(parts := self.merge(token)) == 2:
+                self.rank[parts[0] << 20 | parts[1]] = i << 20 | i
+        self.special, self.split_special = {}, None
+
+    def _from_merges(self, data: dict) -> None:
         letter = byte_letters()
         raw = lambda s: bytes(letter[c] for c in s)
         self.id_of = {raw(s): i for s, i in data["model"]["vocab"].items()}
         #: (left id << 20 | right id) -> (merge number << 20 | merged id)
-        self.rank: dict[int, int] = {}
         for n, pair in enumerate(data["model"]["merges"]):
             a, b = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
             self.rank.setdefault(self.id_of[a] << 20 | self.id_of[b], n << 20 | self.id_of[a + b])
@@ -69,8 +101,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = regex.compile(PATTERN)
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         if len(piece) > LONG:
@@ -139,11 +169,20 @@ class Codec:
                 self._plain(part, out)
         return out
 
+    def count(self, text: str) -> int:
+        """Number of ids of a text; only numbers are kept for known units."""
+        counts = self.counts
+        if len(counts) >= CACHE_UNITS:
+            counts.clear()
+        if self.split_special is None or not any(s in text for s in self.special):
+            return sum(map(counts.__getitem__, _UNITS(text)))
+        return sum(1 if i % 2 else sum(map(counts.__getitem__, _UNITS(part))) for i, part in enumerate(self.split_special.split(text)))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _codec(text: str) -> Codec:
     return Codec(text)
 

@@ -1,14 +1,13 @@
 """Helpers that the training-data operators share.
 
-``cut`` ends a lineage in the folder that ``spark.checkpoint.dir`` names, so a
-lost executor costs a re-read, never a re-run of the whole chain.
+``cut`` ends a lineage in the shared checkpoint folder, so a lost executor
+costs a re-read, never a re-run of the whole chain.
 ``blocks`` walks Arrow batches in pieces of bounded size, so a task's memory
 does not depend on the batch size or on the table.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telarium.checkpoint import cut, folder
+
+__all__ = ["blocks", "cut", "folder", "same", "table", "text_hash", "texts_of", "with_fields"]
+
 #: Bytes of text that one numpy step works on; a longer text is a step alone.
 BLOCK_BYTES = 1 << 20
 
@@ -25,15 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and continue from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def text_hash(text: Column) -> Column:
     """Second half of a document's key, so that null or repeated ids stay apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telarium.llm import bpe, decontaminate, html_text, near_dup, personal_data, quality_lm, quality_rules, secret_scan, token_rollup, url_filter
-from telarium.llm.common import table
+from telarium.llm.common import cut, table
 
-#: Where the public vocabulary files lie.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The vocabulary of the production queries.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokenizer versions of the roll-up.
+OLD, NEW = "byte_bpe_50k", "byte_bpe_multi_50k"
 
 
 def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op1_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,14 +31,14 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inserts of all documents, a new tokenizer version for all, deletes of the
     toxic ones, and the second batch sent once more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = cut(token_rollup.token_counts(docs, {name: public_tokenizers.path(f"{name}.tiktoken") for name in (OLD, NEW)}))
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     rollup = token_rollup.Rollup.fresh(spark)
-    rollup.commit("1-insert", token_rollup.inserts(docs, "spaces-1"))
-    rollup.commit("2-revise", token_rollup.revisions(docs, "spaces-1", "spaces-2"))
-    rollup.commit("3-insert-again", token_rollup.inserts(docs, "spaces-1"))
-    rollup.commit("2-revise", token_rollup.revisions(docs, "spaces-1", "spaces-2"))
-    counted = docs.select("doc_id", "source", "lang", token_rollup.token_count(F.col("text"), "spaces-2").alias("n"))
-    rollup.commit("4-delete", token_rollup.deletes(counted.join(toxic, "doc_id"), "spaces-2", F.col("n")))
+    rollup.commit("1-insert", token_rollup.inserts(counted, OLD))
+    rollup.commit("2-revise", token_rollup.revisions(counted, OLD, NEW))
+    rollup.commit("3-insert-again", token_rollup.inserts(counted, OLD))
+    rollup.commit("2-revise", token_rollup.revisions(counted, OLD, NEW))
+    rollup.commit("4-delete", token_rollup.deletes(counted.join(toxic, "doc_id"), NEW))
     return rollup.totals()
 
 
@@ -55,7 +56,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.hosts_with(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, url_filter.production_list(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
