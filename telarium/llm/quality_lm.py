@@ -36,6 +36,7 @@ alike. A very long text is one step of its task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ QUANTILE, HELD_OUT = 0.995, 5
 SENT, OFTEN = 1 << 20, 200_000
 #: Ids of trusted documents and languages that are joined by broadcast; more take a shuffle.
 IDS_SENT, LANGUAGES_SENT = 4_000_000, 100_000
+#: Rows of a partition of a table of the model.
+ROWS = 250_000
 _SPACE = 32
 
 
@@ -100,51 +103,57 @@ def _low(gram: str, size: int) -> Column:
     return F.col(gram) if size == ORDER else F.col(gram).bitwiseAND((1 << (UNIT * size)) - 1)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows``, written, in partitions of some ROWS: a small table makes few tasks and files."""
+    rows = cut(rows)
+    return rows.coalesce(max(1, rows.count() // ROWS))
+
+
 def _by_language(rows: DataFrame) -> DataFrame:
+    rows = _packed(rows)
     return F.broadcast(rows) if rows.count() <= LANGUAGES_SENT else rows
 
 
-def train(trusted: DataFrame) -> DataFrame:
-    """(lang, size, gram, p, back, n): for each order, the discounted share of a
-    gram and, for the same number read as a context, the weight of the order
-    below; n is the count of a 4-gram."""
-    level = cut(trusted.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    parts = []
+@dataclass
+class Model:
+    """``counts`` (lang, gram, n) of 4-grams; by order, ``shares`` (lang, gram, own), the
+    discounted share of a gram, and ``weights`` (lang, context, back), that of the order below."""
+
+    counts: DataFrame
+    shares: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+
+
+def train(trusted: DataFrame) -> Model:
+    """The model of texts (lang, text)."""
+    level = top = _packed(trusted.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    shares, weights = {}, {}
     for size in range(ORDER, 0, -1):
         freq = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)))
         y = F.expr("n1 / (n1 + 2 * n2)")
         discount = lambda i: F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(F.lit(0.5))  # noqa: B023, E731
-        freq = _by_language(cut(freq.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))))
         used = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        each = level.join(freq, "lang").select("lang", "gram", F.shiftrightunsigned("gram", UNIT).alias("context"), "n", used.alias("d"))
+        each = level.join(_by_language(freq.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))), "lang")
+        each = each.select("lang", "gram", F.shiftrightunsigned("gram", UNIT).alias("context"), "n", used.alias("d"))
         totals = each.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
-        if size == 1:  # one context a language
-            totals = _by_language(cut(totals))
-        nothing = F.lit(None).cast("double")
-        parts.append(each.join(totals, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"), nothing.alias("back"), F.col("n") if size == ORDER else F.lit(None).cast("long").alias("n")))
-        parts.append(totals.select("lang", F.lit(size).alias("size"), F.col("context").alias("gram"), nothing.alias("p"), (F.col("mass") / F.col("total")).alias("back"), F.lit(None).cast("long").alias("n")))
+        totals = _by_language(totals) if size == 1 else _packed(totals)  # of order 1, one context a language
+        shares[size] = _packed(each.join(totals, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own")))
+        weights[size] = totals.select("lang", "context", (F.col("mass") / F.col("total")).alias("back"))
         if size > 1:  # the order below counts distinct symbols to the left
-            level = cut(level.select("lang", _low("gram", size - 1).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return cut(out)
+            level = _packed(level.select("lang", _low("gram", size - 1).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+    return Model(top, shares, weights)
 
 
-def probabilities(wanted: DataFrame, model: DataFrame, size: int = ORDER) -> DataFrame:
+def probabilities(wanted: DataFrame, model: Model, size: int = ORDER) -> DataFrame:
     """(lang, gram, p) for distinct grams of ``size`` symbols of the model's languages."""
-    shares = model.where((F.col("size") == size) & F.col("p").isNotNull()).select("lang", "gram", F.col("p").alias("own"))
-    weights = model.where((F.col("size") == size) & F.col("back").isNotNull()).select("lang", F.col("gram").alias("context"), "back")
-    rows = wanted.join(shares, ["lang", "gram"], "left").withColumn("context", F.shiftrightunsigned("gram", UNIT))
-    if size == 1:
-        rows = rows.join(_by_language(cut(weights.drop("context"))), "lang", "left")
-        below = F.lit(1.0 / SYMBOLS)
-    else:
-        rows = rows.join(weights, ["lang", "context"], "left").withColumn("rest", _low("gram", size - 1))
-        lower = probabilities(cut(rows.select("lang", F.col("rest").alias("gram")).distinct()), model, size - 1)
-        rows = rows.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"])
-        below = F.col("below")
-    return rows.select("lang", "gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("p"))
+    rows = wanted.join(model.shares[size], ["lang", "gram"], "left").withColumn("context", F.shiftrightunsigned("gram", UNIT))
+    rows = rows.join(model.weights[size], ["lang", "context"], "left")
+    below = F.lit(1.0 / SYMBOLS)
+    if size > 1:
+        rows = rows.withColumn("rest", _low("gram", size - 1))
+        lower = probabilities(_packed(wanted.select("lang", _low("gram", size - 1).alias("gram")).distinct()), model, size - 1)
+        rows, below = rows.join(lower.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below")), ["lang", "rest"]), F.col("below")
+    return _packed(rows.select("lang", "gram", (F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * below).alias("p")))
 
 
 class Table:
@@ -176,22 +185,21 @@ class Table:
         return out
 
 
-def frequent(model: DataFrame, most: int) -> DataFrame:
+def frequent(counts: DataFrame, most: int) -> DataFrame:
     """(lang, gram) of at most ``most`` 4-grams: those above the least count that keeps within it."""
-    found = model.where(F.col("n").isNotNull())
     least, total = 0, 0
-    for n, how_many in sorted(found.groupBy("n").agg(F.count("*")).collect(), reverse=True):
+    for n, how_many in sorted(counts.groupBy("n").agg(F.count("*")).collect(), reverse=True):
         total += how_many
         if total > most:
             least = n
             break
-    return found.where(F.col("n") > least).select("lang", "gram")
+    return counts.where(F.col("n") > least).select("lang", "gram")
 
 
-def perplexities(docs: DataFrame, model: DataFrame, sent: int = SENT, often: int = OFTEN) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, sent: int = SENT, often: int = OFTEN) -> DataFrame:
     """doc_id, lang, n_chars and perplexity for each row of ``docs`` (doc_id, lang, text)."""
-    langs = sorted(r.lang for r in model.select("lang").distinct().collect())
-    head = probabilities(frequent(model, sent), model).select("lang", "gram", F.log("p").cast("float").alias("log_p")).toArrow()
+    langs = sorted(r.lang for r in model.counts.select("lang").distinct().collect())
+    head = probabilities(frequent(model.counts, sent), model).select("lang", "gram", F.log("p").cast("float").alias("log_p")).toArrow()
     of = head["lang"].combine_chunks().dictionary_encode()
     where, keys, logs = of.indices.to_numpy(), head["gram"].to_numpy(), head["log_p"].to_numpy()
     tables = {lang: Table(np.zeros(0, np.int64), np.zeros(0, np.float32)) for lang in langs} | {lang: Table(keys[where == i], logs[where == i]) for i, lang in enumerate(of.dictionary.to_pylist())}
@@ -223,9 +231,9 @@ def perplexities(docs: DataFrame, model: DataFrame, sent: int = SENT, often: int
     schema = with_fields(docs.select("doc_id", "lang").schema, "n_chars bigint, n bigint, log_p double, over array<struct<gram:bigint,n:bigint>>")
     rows = cut(docs.select("doc_id", "lang", "text").mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()))
     over = rows.where("log_p IS NOT NULL").select("row", "lang", F.explode("over").alias("x")).select("row", "lang", "x.*")
-    seen = cut(over.groupBy("lang", "gram").agg(F.count("*").alias("texts")))
+    seen = _packed(over.groupBy("lang", "gram").agg(F.count("*").alias("texts")))
     many = (seen.agg(F.sum("texts")).first()[0] or 0) // often
-    values = cut(probabilities(seen.select("lang", "gram"), model).join(seen, ["lang", "gram"]).select("lang", "gram", F.log("p").alias("log"), (F.col("texts") > many).alias("often")))
+    values = _packed(probabilities(seen.select("lang", "gram"), model).join(seen, ["lang", "gram"]).select("lang", "gram", F.log("p").alias("log"), (F.col("texts") > many).alias("often")))
     told = F.broadcast(values.where("often").select("lang", "gram", "log"))
     rest = over.join(told, ["lang", "gram"], "left_anti").join(values.where("NOT often").select("lang", "gram", "log"), ["lang", "gram"])
     sums = over.join(told, ["lang", "gram"]).unionByName(rest).groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("more"))
@@ -235,7 +243,7 @@ def perplexities(docs: DataFrame, model: DataFrame, sent: int = SENT, often: int
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sent: int = SENT, often: int = OFTEN) -> DataFrame:
     """doc_id, lang, n_chars, perplexity, threshold, kept for each row of ``docs``."""
-    good = cut(labels.groupBy(F.col("doc_id").alias("id__")).agg(F.min("quality").alias("q__")).where("q__ = 1").select("id__"))
+    good = _packed(labels.groupBy(F.col("doc_id").alias("id__")).agg(F.min("quality").alias("q__")).where("q__ = 1").select("id__"))
     good = F.broadcast(good) if good.count() <= IDS_SENT else good
     named = F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), F.col("lang").cast("string")))
     texts = docs.select("doc_id", named.alias("lang"), F.col("text").cast("string").alias("text"))
@@ -245,7 +253,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sen
     high = lambda new: F.percentile_approx(F.when(held_out if new else ~held_out, F.col("perplexity")), quantile, 10_000)
     unsure = 1 + 1 / F.sqrt(F.count_if(held_out))  # few documents say little of a high quantile
     limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.greatest(high(True) * unsure, high(False)).alias("threshold"))
-    out = scored.join(_by_language(cut(limits)), "lang", "left")
+    out = scored.join(_by_language(limits), "lang", "left")
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     lang = F.when(F.col("lang") == "", F.lit(None)).otherwise(F.substring("lang", 2, 1 << 30))
     return out.select("doc_id", lang.alias("lang"), "n_chars", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), kept.alias("kept"))
