@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,23 +18,54 @@ REDACTED = "[REDACTED]"
 
 #: Fields that may be shown, and fields that may not. All others are unknown.
 PUBLIC = (
-    "pid parent_pid tid exit_code level source_port destination_port bytes_sent bytes_received size bytes_written "
-    "started_at exited_at initiated_at ended_at created_at written_at deleted_at renamed_at set_at queried_at loaded_at "
-    "image_hash signed signer integrity_level protocol query_type response_code id event_id schema_version source rule_id "
-    "alert_id severity status kind mitre_techniques enabled message_number message_total recorded_at"
-).split()
-INTERNAL = "source_ip destination_ip provider hostname os labels first_seen last_seen script_block_id".split()
+    "pid", "parent_pid", "tid", "exit_code", "level", "source_port", "destination_port", "bytes_sent",
+    "bytes_received", "size", "bytes_written", "started_at", "exited_at", "initiated_at", "ended_at", "created_at",
+    "written_at", "deleted_at", "renamed_at", "set_at", "queried_at", "loaded_at", "image_hash", "signed",
+    "signer", "integrity_level", "protocol", "query_type", "response_code", "id", "event_id", "schema_version",
+    "source", "rule_id", "alert_id", "severity", "status", "kind", "mitre_techniques", "enabled",
+    "message_number", "message_total", "recorded_at",
+)
+INTERNAL = (
+    "source_ip", "destination_ip", "provider", "hostname", "os", "labels", "first_seen", "last_seen",
+    "script_block_id",
+)
 SENSITIVE = (
-    "command_line user executable image_path path old_path new_path working_directory key_path value_name value_data "
-    "query_name answers title description host host_id events text"
-).split()
+    "command_line", "user", "executable", "image_path", "path", "old_path", "new_path", "working_directory",
+    "key_path", "value_name", "value_data", "query_name", "answers", "title", "description", "host",
+    "host_id", "events", "text",
+)
+
+#: Days for which a class is kept.
+RETENTION_DAYS = {"public": 365, "internal": 365, "sensitive": 90}
+#: The oldest row of a tier, in days.
+TIER_DAYS = {"hot": 30, "warm": 90, "cold": 365}
 
 SHOWN, HIDDEN = frozenset(PUBLIC) | frozenset(INTERNAL), frozenset(SENSITIVE)
 
 
 def field_class(name: Column) -> Column:
     """public, internal or sensitive; an unknown field counts as sensitive."""
-    return F.when(name.isin(PUBLIC), "public").when(name.isin(INTERNAL), "internal").otherwise("sensitive")
+    return F.when(name.isin(*PUBLIC), "public").when(name.isin(*INTERNAL), "internal").otherwise("sensitive")
+
+
+def retention_days(name: Column) -> Column:
+    out = F.lit(RETENTION_DAYS["sensitive"])
+    for field, days in RETENTION_DAYS.items():
+        out = F.when(field_class(name) == field, days).otherwise(out)
+    return out
+
+
+def retained(rows: DataFrame, age_days: Column, keys: tuple[str, ...] = ("id", "host", "us", "kind")) -> DataFrame:
+    """``rows`` with ``tier``; each column goes when its class's days are over, and a row when the last tier's are.
+
+    ``keys`` are kept as long as the row.
+    """
+    tier = F
+    for name, days in TIER_DAYS.items():
+        tier = tier.when(age_days <= days, name)
+    days_of = lambda c: RETENTION_DAYS["sensitive" if c not in SHOWN else "internal"]
+    columns = [F.col(c) if c in keys else F.when(age_days <= days_of(c), F.col(c)).alias(c) for c in rows.columns]
+    return rows.where(age_days <= TIER_DAYS["cold"]).select(*columns, tier.alias("tier"))
 
 
 def _nested(kind: T.DataType) -> bool:
@@ -59,7 +90,7 @@ def redact(value: Column, kind: T.DataType) -> Column:
         return F.transform(value, lambda x: redact(x, kind.elementType)) if _nested(kind.elementType) else value
     if isinstance(kind, T.MapType):
         if _nested(kind.valueType):
-            return F.transform_values(value, lambda k, v: F.when(~k.isin(SENSITIVE), redact(v, kind.valueType)))
+            return F.transform_values(value, lambda k, v: F.when(~k.isin(*SENSITIVE), redact(v, kind.valueType)))
         return F.transform_values(value, lambda k, v: F.when(k.isin(sorted(SHOWN)), v.cast("string")).otherwise(REDACTED))
     return value
 

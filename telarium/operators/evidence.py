@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telarium.functions.scalars import SEVERITIES, log_ratio, logit, severity_band, severity_rank, sigmoid
+from telarium.functions.scalars import SEVERITIES, log_ratio, minimise, logit, severity_band, severity_rank, sigmoid
 from telarium.operators.rules import title_of
 
 PRIOR, HALF_LIFE_S, COST_FALSE_ALARM, COST_MISS, WINDOW_US = 0.01, 600.0, 1.0, 20.0, 300_000_000
@@ -22,10 +23,12 @@ BLOCK = 256
 
 
 def evidence(findings: DataFrame, half_life_s: float = HALF_LIFE_S, prior: float = PRIOR) -> DataFrame:
-    """One row for each event with findings: log-odds after it, posterior, primary finding."""
+    """One row for each event with findings: log-odds after it, posterior, primary finding,
+    and ``body``, the minimised details of its findings in rule order (a few dozen at most)."""
     ratio = log_ratio(F.col("hit"), F.col("miss"))
     best = F.max(F.struct(ratio.alias("ratio"), "ord", "rule", "technique"))
-    events = findings.groupBy("id", "host", "us", F.col("pid").alias("key")).agg(F.sum(ratio).alias("gain"), best.alias("best"), F.count("*").cast("long").alias("n_findings"))
+    events = findings.groupBy("id", "host", "us", F.col("pid").alias("key")).agg(F.sum(ratio).alias("gain"), best.alias("best"), F.count("*").cast("long").alias("n_findings"), F.sort_array(F.collect_list(F.struct("ord", "technique", "detail"))).alias("told"))
+    body = F.array_join(F.transform("told", lambda x: F.concat(x["technique"], F.lit(": "), F.coalesce(minimise(x["detail"]), F.lit("")))), "; ")
     unit = half_life_s * 1e6
     age = F.col("us") / unit
     block = F.floor(age / BLOCK)
@@ -37,7 +40,7 @@ def evidence(findings: DataFrame, half_life_s: float = HALF_LIFE_S, prior: float
     return (
         rows.withColumn("log_odds", total / F.col("lift"))
         .withColumn("p", sigmoid(logit(F.lit(prior)) + F.col("log_odds")))
-        .select("id", "host", "us", "key", "n_findings", F.col("best.rule").alias("rule"), F.col("best.technique").alias("technique"), "log_odds", "p")
+        .select("id", "host", "us", "key", "n_findings", F.col("best.rule").alias("rule"), F.col("best.technique").alias("technique"), "log_odds", "p", body.alias("body"))
     )
 
 
@@ -56,8 +59,19 @@ def _from_ladder(p: Column, field: int) -> Column:
     return out
 
 
+#: What an action is in the order of escalation, weakest first.
+RANKS = ("observe", "alert", "compensating_control", "freeze", "isolate")
+
+
+def admissible(actions: DataFrame, max_severity: Column | int, require_reversible: bool = True) -> DataFrame:
+    """The actions (kind, severity, reversible, ...) that may be taken, as a ladder: ``step`` by kind, then severity."""
+    allowed = actions.where((F.col("severity") <= max_severity) & (F.col("reversible") if require_reversible else F.lit(True)))
+    rank = F.array_position(F.lit(list(RANKS)), F.col("kind"))
+    return allowed.withColumn("rank", rank)
+
+
 def govern(severity: Column, reversible: Column, disruptive: Column, autonomy: str = "approve", max_auto: int = 2, require_reversible: bool = True) -> Column:
-    """struct(verdict, reason)."""
+    """struct(verdict, reason). The verdicts and reasons."""
     say = lambda verdict, reason: F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"))
     out = F.when(~disruptive, say("auto", "not disruptive"))
     if autonomy in ("observe", "alert"):
@@ -83,52 +97,80 @@ def audit(decided: DataFrame) -> DataFrame:
     return decided.where("acts").select("host", "us", "id", "action", "verdict", "reason")
 
 
-def coalesced(decided: DataFrame, window_us: int = WINDOW_US, floor: str = "medium") -> DataFrame:
+def coalesced(decided: DataFrame, window_us: int = WINDOW_US, floor: str = "medium", flush_us: int | None = None) -> DataFrame:
     """Firings that act, each with its fate: emit (with count and severity), fold, below_floor.
 
     A fold over each (host, rule) in time order. Rows are dealt by key and
-    sorted by Spark; the fold keeps one row of state, whatever the group's size.
+    sorted by Spark; the fold keeps five numbers, whatever the group's size,
+    and steps from alert to alert, not from row to row. With ``flush_us`` there
+    is a flush at every multiple of it: what was folded before a flush belongs
+    to the alert it was folded into, what comes after it to the next alert.
     """
     least = SEVERITIES.index(floor)
     firings = decided.where("acts AND verdict <> 'denied'").select("host", "rule", "us", "id", severity_rank(F.col("severity")).alias("rank"))
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, folded, worst, last, chain = None, 0, 0, None, None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, folded, since, worst, last, chain = None, 0, 0, 0, None, -1
         for batch in batches:
-            out = []
-            for host, rule, us, row, rank in batch.itertuples(index=False, name=None):
-                if (host, rule) != key:
-                    key, folded, worst, last, chain = (host, rule), 0, rank, None, None
-                folded, worst = folded + 1, max(worst, rank)
-                if worst < least:
-                    out.append((host, rule, us, row, "below_floor", 0, worst, None))
-                elif last is None or us - last >= window_us:
-                    chain, last = row, us
-                    out.append((host, rule, us, row, "emit", folded, worst, chain))
-                    folded = 0
-                else:
-                    out.append((host, rule, us, row, "fold", 0, worst, chain))
-            yield pd.DataFrame(out, columns=["host", "rule", "us", "id", "fate", "n", "rank", "alert"]).astype({"alert": "Int64"})
+            if not len(batch):
+                continue
+            hosts, names = (batch.column(c).dictionary_encode() for c in ("host", "rule"))
+            h, r = hosts.indices.to_numpy(), names.indices.to_numpy()
+            us, ids, rank = (batch.column(c).to_numpy() for c in ("us", "id", "rank"))
+            fate, n = np.full(len(us), 1, np.int8), np.zeros(len(us), np.int64)  # 0 below the floor, 1 fold, 2 emit
+            high, alert = np.empty(len(us), np.int32), np.full(len(us), -1, np.int64)
+            heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(us)], strict=True):
+                mine = (hosts.dictionary[int(h[a])].as_py(), names.dictionary[int(r[a])].as_py())
+                if mine != key:
+                    key, folded, since, worst, last, chain = mine, 0, 0, int(rank[a]), None, -1
+                high[a:b] = np.maximum(np.maximum.accumulate(rank[a:b]), worst)
+                worst = int(high[b - 1])
+                i = a + int(np.searchsorted(high[a:b], least))
+                fate[a:i] = 0
+                folded += i - a
+                while i < b:
+                    if last is not None:  # rows before the window lapses are folded
+                        until = i + int(np.searchsorted(us[i:b], last + window_us))
+                        alert[i:until] = chain
+                        if until > i:
+                            flush = int(us[until - 1]) // flush_us if flush_us else 0
+                            new = until - max(i, int(np.searchsorted(us[:until], flush * flush_us))) if flush_us else until - i
+                            folded, since = (folded if flush == since else 0) + new, flush
+                        i = until
+                        if i == b:
+                            break
+                        if flush_us and int(us[i]) // flush_us != since:
+                            folded = 0
+                    fate[i], n[i], alert[i], last, chain = 2, folded + 1, ids[i], int(us[i]), int(ids[i])
+                    folded, since = 0, last // flush_us if flush_us else 0
+                    i += 1
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rule"), batch.column("us"), batch.column("id"), pa.array(np.array(["below_floor", "fold", "emit"], object)[fate]), pa.array(n), pa.array(high), pa.array(alert, mask=alert < 0)], names=["host", "rule", "us", "id", "fate", "n", "rank", "alert"])
 
     schema = "host string, rule string, us long, id long, fate string, n long, rank int, alert long"
-    return firings.repartition("host", "rule").sortWithinPartitions("host", "rule", "us", "id").mapInPandas(fold, schema)
-
-
-def restated(fates: DataFrame) -> DataFrame:
-    """A flush at the end of data: each last alert of a (host, rule), raised by what was folded since."""
-    last = fates.groupBy("host", "rule").agg(F.max("alert").alias("any_alert"), F.max_by("alert", F.when(F.col("fate") == "emit", F.struct("us", "id"))).alias("alert")).where("any_alert IS NOT NULL")
-    rows = fates.join(last.select("host", "rule", F.col("alert").alias("last_alert")), ["host", "rule"]).where("alert = last_alert")
-    out = rows.groupBy("host", "rule", "alert").agg(F.sum("n").alias("n"), F.count_if(F.col("fate") == "fold").alias("folded"), F.max("rank").alias("rank"))
+    return firings.repartition("host", "rule").sortWithinPartitions("host", "rule", "us", "id").mapInArrow(fold, schema)
+
+
+def restated(fates: DataFrame, flush_us: int | None = None) -> DataFrame:
+    """Alerts raised by what was folded into them before a flush: the one at the end
+    of the data, and with ``flush_us`` those at its multiples (as in ``coalesced``)."""
+    after = Window.partitionBy("host", "rule").orderBy("us", "id").rowsBetween(1, Window.unboundedFollowing)
+    then = F.first(F.when(F.col("fate") == "emit", F.col("us")), ignorenulls=True).over(after)
+    flushed = F.col("then").isNull() if flush_us is None else F.col("then").isNull() | (F.floor(F.col("us") / flush_us) < F.floor(F.col("then") / flush_us))
+    rows = fates.withColumn("then", then).where("alert IS NOT NULL")
+    folded = F.count_if((F.col("fate") == "fold") & flushed)
+    ranks = F.max(F.when((F.col("fate") == "emit") | flushed, F.col("rank")))
+    out = rows.groupBy("host", "rule", "alert").agg(F.sum("n").alias("n"), folded.alias("folded"), ranks.alias("rank"))
     return out.where("folded > 0").select("host", "rule", "alert", (F.col("n") + F.col("folded")).alias("n"), "rank")
 
 
-def alert_rows(decided: DataFrame, fates: DataFrame) -> DataFrame:
-    """Emitted alerts with title and description."""
+def alert_rows(decided: DataFrame, fates: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+    """Emitted alerts with title, description (with the body) and severity. ``titles``: of SIGMA rules, by id."""
     emitted = fates.where("fate = 'emit'").select("host", "rule", "id", "us", "n", "rank")
-    rows = emitted.join(decided.select("id", "p", "action", "action_kind", "verdict", "technique"), "id")
-    title = F.concat(title_of(F.col("rule")), F.when(F.col("verdict") == "approval", " \u2014 awaiting approval").otherwise(""))
+    rows = emitted.join(decided.select("id", "p", "action", "action_kind", "verdict", "technique", "body"), "id")
+    title = F.concat(title_of(F.col("rule"), titles), F.when(F.col("verdict") == "approval", " \u2014 awaiting approval").otherwise(""))
     severity = F.element_at(F.lit(list(SEVERITIES)), F.col("rank") + 1)
-    text = F.format_string("%s (p=%.4f, n=%d) via %s", "action", "p", "n", "rule")
+    text = F.format_string("%s (p=%.4f, n=%d) via %s; %s", "action", "p", "n", "rule", "body")
     return rows.select(F.concat_ws("-", "host", F.col("id").cast("string")).alias("alert_id"), "host", "rule", "id", "us", "technique", title.alias("title"), text.alias("description"), severity.alias("severity"), F.col("n").alias("count"), "action_kind", "verdict")
 
 
@@ -138,6 +180,28 @@ def alert_queue(fates: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("severity_rank"), F.desc("last_seen_us"), "host", "rule")
 
 
+def by_severity(queue: DataFrame) -> DataFrame:
+    """How many detections a filter on each severity would show; none is a row of 0."""
+    ranks = queue.sparkSession.createDataFrame([(i, name) for i, name in enumerate(SEVERITIES)], "severity_rank int, severity string")
+    counts = queue.groupBy("severity_rank").agg(F.count("*").alias("detections"))
+    return ranks.join(counts, "severity_rank", "left").select("severity", F.coalesce("detections", F.lit(0)).alias("detections"))
+
+
+#: Images that are never acted against while they run from the system's directory.
+CRITICAL_IMAGES = ("system", "registry", "memory compression", "idle", "smss.exe", "csrss.exe", "wininit.exe", "services.exe", "lsass.exe", "winlogon.exe", "explorer.exe", "dwm.exe", "fontdrvhost.exe", "svchost.exe")
+
+
+def refusal(pid: Column, image: Column, own_pid: Column, own_image: Column, system_directory: Column) -> Column:
+    """Why nothing may be done to a process; null if nothing forbids it."""
+    folded = lambda c: F.lower(F.translate(F.regexp_replace(F.trim(c), r"[\\/]+$", ""), "/", "\\"))
+    name = F.trim(F.regexp_extract(folded(image), r"([^\\]*)$", 1))
+    inside = folded(image).startswith(F.concat(folded(system_directory), F.lit("\\"))) & (folded(system_directory) != "")
+    return (
+        F.when(pid <= 4, "system process").when(pid == own_pid, "own process").when(F.coalesce(F.trim(image), F.lit("")) == "", "unknown image")
+        .when(F.lower(F.trim(image)) == F.lower(F.trim(own_image)), "own image").when(name.isin(*CRITICAL_IMAGES) & inside, "critical image")
+    )
+
+
 def response_plan(alerts: DataFrame, pids: DataFrame) -> DataFrame:
     """Proposed suspensions: a plan, nothing acts."""
     return alerts.where("action_kind = 'freeze'").join(pids.select("id", "pid"), "id").select("alert_id", "pid", F.lit("suspend").alias("response"), (F.col("verdict") == "auto").alias("automatic"))

@@ -7,15 +7,6 @@ from pyspark.sql import functions as F
 
 from telarium.functions.scalars import capacity, entropy
 
-#: Fixed values: (provider, event id, shape, is kernel-side).
-SHAPES = (
-    ("Microsoft-Windows-Kernel-Process", 1, "process_start", True), ("Microsoft-Windows-Kernel-Process", 2, "process_exit", True), ("Microsoft-Windows-Kernel-Process", 5, "image_load", True),
-    ("Microsoft-Windows-Kernel-Registry", 5, "registry_set", True), ("Microsoft-Windows-DNS-Client", 3006, "dns_query", False), ("Microsoft-Windows-PowerShell", 4104, "script_block", False),
-    ("Microsoft-Windows-Kernel-File", 12, "file_create", True), ("Microsoft-Windows-Kernel-File", 20, "file_rename", True), ("Microsoft-Windows-Kernel-File", 27, "file_delete", True),
-    ("Microsoft-Windows-Kernel-Network", 10, "network_connect", True), ("Microsoft-Windows-Kernel-Network", 11, "network_disconnect", True), ("Microsoft-Windows-Security-Auditing", 4688, "process_start_audit", True),
-    ("Microsoft-Windows-WMI-Activity", 23, "wmi_process", False), ("Microsoft-Windows-WMI-Activity", 5861, "wmi_subscription", False), ("Microsoft-Windows-TaskScheduler", 106, "task_registered", False),
-)
-
 
 def ratio(part: Column, whole: Column, empty: float = 1.0) -> Column:
     return F.when(whole > 0, part / whole).otherwise(empty)
@@ -57,8 +48,9 @@ def coverage(events: DataFrame) -> DataFrame:
 
 
 def novelty_summary(events: DataFrame, key: Column) -> DataFrame:
-    counts = events.groupBy("host", key.alias("key")).agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("once"))
-    return counts.select("host", "distinct", "total", ratio(F.col("distinct"), F.col("total"), 0.0).alias("novelty_rate"), ratio(F.col("distinct"), F.col("distinct") + F.col("once")).alias("coverage_estimate"))
+    counts = events.groupBy("host", key.alias("key")).agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"))
+    # the first sighting of each key is the novel one
+    return counts.select("host", "distinct", "total", ratio(F.col("distinct"), F.col("total"), 0.0).alias("novelty_rate"), ratio(F.col("distinct"), 2 * F.col("distinct")).alias("coverage_estimate"))
 
 
 def fanout_ratio(edges: DataFrame) -> DataFrame:
@@ -66,6 +58,43 @@ def fanout_ratio(edges: DataFrame) -> DataFrame:
     return degree.crossJoin(F.broadcast(degree.agg(F.max("degree").alias("most")))).select("src", "degree", (F.col("degree") / F.col("most")).alias("fanout"))
 
 
+#: Providers that are named in a histogram of unrecognised events.
+NAMED_PROVIDERS = 512
+
+
+def unrecognised(raw: DataFrame, named: int = NAMED_PROVIDERS) -> DataFrame:
+    """Count by (provider, event_id) of rows without a shape; the first ``named`` providers
+    (by time of their first row) have their name, all others are one row of nulls."""
+    counts = raw.where("shape IS NULL").groupBy("provider", "event_id").agg(F.count("*").alias("n"), F.min(F.struct("us", "id")).alias("first"))
+    order = counts.groupBy("provider").agg(F.min("first").alias("first")).orderBy("first", "provider").limit(named).select("provider", F.lit(True).alias("named"))
+    rows = counts.join(F.broadcast(order), "provider", "left")
+    shown = lambda c: F.when(F.col("named"), F.col(c)).alias(c)
+    return rows.select(shown("provider"), shown("event_id"), "n").groupBy("provider", "event_id").agg(F.sum("n").alias("n"))
+
+
+def sensor_accounting(rows: DataFrame, most_verbose: int = 4) -> DataFrame:
+    """By host: received = filtered + delivered + dropped, what was lost, coverage, mean payload bytes.
+
+    ``rows``: host, level, shape, failure, payload_bytes.
+    """
+    ok = F.col("shape").isNotNull() & F.col("failure").isNull()
+    passed = F.col("level") <= most_verbose
+    out = rows.groupBy("host").agg(
+        F.count("*").alias("received"), F.count_if(~passed).alias("filtered"), F.count_if(passed & ok).alias("delivered"), F.count_if(passed & ~ok).alias("dropped"),
+        F.sum(F.when(passed & ok, F.col("payload_bytes"))).alias("bytes"),
+    )
+    closes = F.col("received") == F.col("filtered") + F.col("delivered") + F.col("dropped")
+    mean = F.when(F.col("delivered") > 0, F.col("bytes") / F.col("delivered")).otherwise(0.0)
+    return out.select("host", "received", "filtered", "delivered", "dropped", closes.alias("closes"), (F.col("received") - F.col("delivered")).alias("lost"), ratio(F.col("delivered"), F.col("received")).alias("coverage"), mean.alias("mean_payload_bytes"))
+
+
+def patch_latency(patches: DataFrame, group: str, days: str, weaponised_after: float, q: float = 0.9) -> DataFrame:
+    """Mean and percentile of days to patch, and how long the mean leaves open after an exploit exists."""
+    mean = patches.groupBy(group).agg(F.avg(days).alias("mean_days"))
+    rows = mean.join(nearest_rank(patches, group, days, q).withColumnRenamed("value", "percentile"), group)
+    return rows.withColumn("exposure", F.greatest(F.lit(0.0), F.col("mean_days") - weaponised_after))
+
+
 def shape_counts(raw: DataFrame, shapes: DataFrame) -> DataFrame:
     """attempted, mapped, undecodable for all shapes, zeros included."""
     counts = raw.where("shape IS NOT NULL").groupBy("shape").agg(F.count("*").alias("attempted"), F.count_if(F.col("failure").isNull()).alias("mapped"), F.count_if(F.col("failure").isNotNull()).alias("undecodable"))
@@ -89,7 +118,13 @@ def telemetry_gaps(raw: DataFrame, shapes: DataFrame, window_us: int = 600_000_0
     other = F.when(F.col("kernel"), F.max(F.when(~F.col("kernel"), F.col("attempted")).otherwise(0)).over(side)).otherwise(F.max(F.when(F.col("kernel"), F.col("attempted")).otherwise(0)).over(side))
     rows = dense.withColumn("fired", F.coalesce(F.max("attempted").over(before), F.lit(0)) > 0).withColumn("other", other)
     state = F.when((F.col("attempted") == 0) & F.col("fired") & (F.col("other") > 0), "silent").when(F.col("attempted") > F.col("mapped"), "decode_failure")
-    return rows.withColumn("state", state).where("state IS NOT NULL").select("host", "win", "shape", "state", "attempted", "mapped")
+    severity = F.when(state == "silent", 2).otherwise(1)
+    return rows.withColumn("state", state).where("state IS NOT NULL").select("host", "win", "shape", "state", severity.alias("severity"), "attempted", "mapped")
+
+
+def in_gap_order(gaps: DataFrame) -> DataFrame:
+    """The worst gaps of each window first, then by shape."""
+    return gaps.orderBy("host", "win", F.desc("severity"), "shape")
 
 
 def technique_coverage(rules: DataFrame, findings: DataFrame) -> DataFrame:
@@ -97,6 +132,20 @@ def technique_coverage(rules: DataFrame, findings: DataFrame) -> DataFrame:
     return rules.groupBy("technique").agg(F.count("*").alias("rules")).join(seen, "technique", "left").fillna(0)
 
 
+def unobserved(universe: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Members of the universe that were never seen, once each."""
+    return universe.select(key).distinct().join(seen.select(key).distinct(), key, "left_anti")
+
+
+def throughput(rows: DataFrame) -> DataFrame:
+    """By host: raw rows, those that became events, their rate over the span of ``us``, and their share."""
+    span = (F.max("us") - F.min("us")) / 1e6
+    scored = F.count_if(F.col("shape").isNotNull() & F.col("failure").isNull())
+    out = rows.groupBy("host").agg(F.count("*").alias("raw"), scored.alias("scored"), span.alias("span"))
+    rate = F.when(F.col("span") > 0, F.col("scored") / F.col("span")).otherwise(0.0)
+    return out.select("host", "raw", "scored", rate.alias("per_second"), ratio(F.col("scored"), F.col("raw")).alias("coverage"))
+
+
 def duty(sensors: DataFrame, beats: DataFrame) -> DataFrame:
     """Beats on time and missed by sensor, and their share; a sensor without any counts as available."""
     each = beats.groupBy("sensor").agg(F.count_if("on_time").alias("observed"), F.count_if(~F.col("on_time")).alias("missed"))

@@ -1,7 +1,7 @@
 """Detection rules: a predicate over one telemetry row, with a likelihood pair.
 
-All rules run in one pass: an array of structs, filtered and exploded. The
-rows' facts (tracked parent, novelty, siblings) come from ``operators.facts``.
+All rules run in one pass: a row meets only the rules of its kind, as an array
+of structs that is exploded; generated code throughout. The rows' facts (tracked parent, novelty, siblings) come from ``operators.facts``.
 """
 
 from __future__ import annotations
@@ -81,10 +81,18 @@ class Rule:
             out = F.when(tier[0], tier[which]).otherwise(out)
         return out
 
-    def finding(self) -> Column:
-        fires = F.coalesce((F.col("kind") == self.kind) & self.when, F.lit(False))
+    def finding(self, order: int) -> Column:
+        fires = F.coalesce(self.when, F.lit(False))
         clamp = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1.0), c))
-        return F.when(fires, F.struct(F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), clamp(self.pair(1)).alias("hit"), clamp(self.pair(2)).alias("miss")))
+        return F.when(fires, F.struct(F.lit(order).alias("ord"), F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), clamp(self.pair(1)).alias("hit"), clamp(self.pair(2)).alias("miss"), F.expr(DETAILS[self.kind]).alias("detail")))
+
+
+#: What a finding shows of an event of each kind.
+DETAILS = {
+    "process_start": "coalesce(command_line, image)", "process_exit": "concat('exit code ', cast(exit_code AS string))", "image_load": "path", "registry_set": "concat_ws(chr(92), key_path, value_name)",
+    "dns_query": "query_name", "script_block": "substring(script_text, 1, 80)", "file_create": "path", "file_delete": "path", "file_rename": "new_path", "network_connect": "destination_ip",
+    "network_disconnect": "destination_ip", "wmi_process": "command_line", "wmi_subscription": "coalesce(consumer, 'no consumer')", "task_registered": "task_name",
+}
 
 
 def _blob(text: Column) -> Column:
@@ -99,7 +107,7 @@ def _blob(text: Column) -> Column:
 
 
 def rules() -> list[Rule]:
-    """The rules, in the order in which they run."""
+    """The rules, in the order in which they run. Pairs and titles."""
     c = F.col
     only = lambda hit, miss: ((None, hit, miss),)
     writable = lambda p: contains_any(c(p), WRITABLE)
@@ -133,15 +141,19 @@ def rules() -> list[Rule]:
     ]
 
 
-def title_of(rule: Column) -> Column:
-    out = F.lit("Suspicious activity")
-    for r in rules():
-        out = F.when(rule == r.name, r.title).otherwise(out)
-    return out
+def title_of(rule: Column, more: dict[str, str] | None = None) -> Column:
+    """Title of a rule; ``more``: titles of SIGMA rules by id, which come first."""
+    titles = {r.name: r.title for r in rules()} | (more or {})
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in titles.items() for x in pair)), rule), F.lit("Suspicious activity"))
 
 
 def findings(events: DataFrame, chosen: list[Rule] | None = None, keep: tuple[str, ...] = ("id", "host", "us", "pid", "kind")) -> DataFrame:
     """One row for each rule that fires; ``ord`` is its place in the rule order."""
-    chosen = rules() if chosen is None else chosen
-    fired = F.filter(F.array(*(F.struct(F.lit(i).alias("ord"), r.finding().alias("f")) for i, r in enumerate(chosen))), lambda x: x["f"].isNotNull())
-    return events.select(*keep, F.explode(fired).alias("x")).select(*keep, "x.ord", "x.f.*")
+    by_kind: dict[str, list[Column]] = {}
+    for i, rule in enumerate(rules() if chosen is None else chosen):
+        by_kind.setdefault(rule.kind, []).append(rule.finding(i))
+    fired = F
+    for kind, found in by_kind.items():
+        fired = fired.when(F.col("kind") == kind, F.array(*found))
+    rows = events.where(F.col("kind").isin(*by_kind)).select(*keep, F.explode(fired).alias("x"))
+    return rows.where("x IS NOT NULL").select(*keep, "x.*")

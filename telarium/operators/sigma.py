@@ -22,12 +22,19 @@ from telarium.functions.scalars import in_range4, ip4
 LEVELS = {"critical": (0.90, 0.005), "high": (0.75, 0.010), "medium": (0.50, 0.020), "low": (0.30, 0.050), "informational": (0.15, 0.100)}
 REFUSED = ("re", "base64", "base64offset", "windash", "wide", "utf16", "utf16le", "utf16be", "expand")
 CATEGORIES = {"process_creation": "process_start", "process_termination": "process_exit", "image_load": "image_load", "registry_set": "registry_set", "file_event": "file_create", "file_delete": "file_delete", "file_rename": "file_rename", "dns_query": "dns_query", "network_connection": "network_connect", "ps_script": "script_block"}
-#: SIGMA field -> expression over a telemetry row, with the categories that fill it.
+_ALL = tuple(CATEGORIES)
+#: SIGMA field -> (expression over a telemetry row, the categories that fill it).
 FIELDS = {
-    "Image": ("image", ("process_creation",)), "CommandLine": ("command_line", ("process_creation",)), "ParentProcessId": ("parent_pid", ("process_creation",)),
-    "ProcessId": ("pid", tuple(CATEGORIES)), "ExitCode": ("exit_code & 4294967295", ("process_termination",)), "ImageLoaded": ("path", ("image_load",)), "Signed": ("signed", ("image_load",)),
-    "TargetObject": ("concat_ws(chr(92), key_path, value_name)", ("registry_set",)), "TargetFilename": ("coalesce(new_path, path)", ("file_event", "file_delete", "file_rename")),
-    "QueryName": ("query_name", ("dns_query",)), "DestinationIp": ("destination_ip", ("network_connection",)), "DestinationPort": ("destination_port", ("network_connection",)), "ScriptBlockText": ("script_text", ("ps_script",)),
+    "EventID": ("event_id", _ALL), "Provider_Name": ("provider", _ALL), "Channel": ("provider", _ALL), "ProcessId": ("pid", _ALL),
+    "Image": ("image", ("process_creation",)), "CommandLine": ("command_line", ("process_creation",)), "ParentImage": ("reported_parent", ("process_creation",)),
+    "ParentProcessId": ("parent_pid", ("process_creation",)), "User": ("user_name", ("process_creation",)), "ExitCode": ("exit_code & 4294967295", ("process_termination",)),
+    "ImageLoaded": ("path", ("image_load",)), "Signed": ("signed", ("image_load",)), "Signature": ("signer", ("image_load",)),
+    "TargetObject": ("concat_ws(chr(92), key_path, value_name)", ("registry_set",)), "Details": ("value_data", ("registry_set",)),
+    "TargetFilename": ("coalesce(new_path, path)", ("file_event", "file_delete", "file_rename")), "SourceFilename": ("coalesce(old_path, new_path)", ("file_rename",)),
+    "QueryName": ("query_name", ("dns_query",)), "QueryResults": ("answers", ("dns_query",)),
+    "SourceIp": ("source_ip", ("network_connection",)), "SourcePort": ("source_port", ("network_connection",)), "DestinationIp": ("destination_ip", ("network_connection",)),
+    "DestinationPort": ("destination_port", ("network_connection",)), "Protocol": ("'tcp'", ("network_connection",)),
+    "ScriptBlockText": ("script_text", ("ps_script",)), "ScriptBlockId": ("script_block_id", ("ps_script",)), "Path": ("script_path", ("ps_script",)),
 }
 
 
@@ -122,8 +129,11 @@ def selection_test(body) -> Column:
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [field_test(k, v) for k, v in g.items()]) for g in groups])
 
 
-def condition_test(text: str, selections: dict[str, Column]) -> Column:
-    """not binds before and, and before or; `N of x*`, `all of`, `any of`, parentheses."""
+def condition_tree(text: str, selections: list[str]) -> tuple:
+    """("is", name), ("not", x), ("and", x, y), ("or", x, y) or ("least", n, names).
+
+    not binds before and, and before or; `N of x*`, `all of`, `any of`, parentheses.
+    """
     words = re.findall(r"\(|\)|[^\s()]+", text)
     at = 0
 
@@ -137,13 +147,13 @@ def condition_test(text: str, selections: dict[str, Column]) -> Column:
         at += 1
         return words[at - 1]
 
-    def names(pattern: str) -> list[Column]:
-        found = list(selections) if pattern == "them" else [n for n in selections if re.fullmatch(re.escape(pattern).replace(r"\*", ".*"), n)]
+    def names(pattern: str) -> list[str]:
+        found = selections if pattern == "them" else [n for n in selections if re.fullmatch(re.escape(pattern).replace(r"\*", ".*"), n)]
         if not found:
             raise Refused(f"nothing named {pattern}")
-        return [selections[n] for n in found]
+        return list(found)
 
-    def atom() -> Column:
+    def atom() -> tuple:
         word = take()
         if word == "(":
             out = either()
@@ -151,33 +161,29 @@ def condition_test(text: str, selections: dict[str, Column]) -> Column:
                 raise Refused("no closing parenthesis")
             return out
         if word.lower() == "not":
-            return ~atom()
+            return "not", atom()
         if peek() == "of":
             take()
-            tests = names(take())
-            least = len(tests) if word.lower() == "all" else 1 if word.lower() == "any" else int(word) if word.isdigit() else None
-            if least is None or least > len(tests):
+            found = names(take())
+            least = len(found) if word.lower() == "all" else 1 if word.lower() == "any" else int(word) if word.isdigit() else None
+            if least is None or least > len(found):
                 raise Refused(f"quantifier {word}")
-            return reduce(lambda a, b: a + b, [t.cast("int") for t in tests]) >= least
+            return "least", least, found
         if word == "|":
             raise Refused("aggregation")
         if word not in selections:
             raise Refused(f"unknown selection {word}")
-        return selections[word]
+        return "is", word
 
-    def both() -> Column:
-        out = atom()
-        while peek() == "and":
+    def chain(word: str, inner) -> tuple:
+        out = inner()
+        while peek() == word:
             take()
-            out = out & atom()
+            out = (word, out, inner())
         return out
 
-    def either() -> Column:
-        out = both()
-        while peek() == "or":
-            take()
-            out = out | both()
-        return out
+    def either() -> tuple:
+        return chain("or", lambda: chain("and", atom))
 
     out = either()
     if at < len(words):
@@ -185,6 +191,47 @@ def condition_test(text: str, selections: dict[str, Column]) -> Column:
     return out
 
 
+def condition_test(tree: tuple, selections: dict[str, Column]) -> Column:
+    match tree:
+        case "is", name:
+            return selections[name]
+        case "not", x:
+            return ~condition_test(x, selections)
+        case "and", x, y:
+            return condition_test(x, selections) & condition_test(y, selections)
+        case "or", x, y:
+            return condition_test(x, selections) | condition_test(y, selections)
+        case _, least, names:
+            return reduce(lambda a, b: a + b, [selections[n].cast("int") for n in names]) >= least
+
+
+def satisfiable(tree: tuple, selections: dict[str, bool]) -> bool:
+    """Whether some event can meet the condition, given which selections can be met; a negation counts as met."""
+    match tree:
+        case "is", name:
+            return selections[name]
+        case "not", _:
+            return True
+        case "and", x, y:
+            return satisfiable(x, selections) and satisfiable(y, selections)
+        case "or", x, y:
+            return satisfiable(x, selections) or satisfiable(y, selections)
+        case _, least, names:
+            return sum(selections[n] for n in names) >= least
+
+
+def _can_be_met(body, category: str) -> bool:
+    """Whether a group of the selection reads only fields that the category fills."""
+    filled = lambda name: name in FIELDS and category in FIELDS[name][1]
+
+    def test(key: str, needles) -> bool:
+        name, *modifiers = key.split("|")
+        needles = needles if isinstance(needles, list) else [needles]
+        return None in needles or filled(name) and ("fieldref" not in modifiers or all(filled(str(n)) for n in needles))
+
+    return any(all(test(k, v) for k, v in group.items()) for group in (body if isinstance(body, list) else [body]))
+
+
 @dataclass
 class Compiled:
     rule_id: str
@@ -211,9 +258,10 @@ def compile_rule(rule: dict) -> Compiled:
     tags = [str(t) for t in rule.get("tags") or []]
     technique = next((t[len("attack.") :].upper() for t in tags if re.fullmatch(r"attack\.t\d.*", t, re.I)), "TA0000")
     slug = re.sub(r"[^a-z0-9]+", "_", str(rule.get("title", "")).lower()).strip("_")
-    filled = lambda k: k in FIELDS and source["category"] in FIELDS[k][1]
-    possible = any(any(all(filled(k.split("|")[0]) for k in g) for g in (body if isinstance(body, list) else [body])) for body in detection.values())
-    return Compiled(str(rule.get("id") or slug), str(rule.get("title", "")), str(rule.get("level", "informational")).lower(), technique, source["category"], condition_test(condition, {k: selection_test(v) for k, v in detection.items()}), sorted({k for k in used if k not in FIELDS}), possible)
+    category, tree = source["category"], condition_tree(condition, list(detection))
+    test = condition_test(tree, {k: selection_test(v) for k, v in detection.items()})
+    unmapped = sorted({k for k in used if k not in FIELDS or category not in FIELDS[k][1]})
+    return Compiled(str(rule.get("id") or slug), str(rule.get("title", "")), str(rule.get("level", "informational")).lower(), technique, category, test, unmapped, satisfiable(tree, {k: _can_be_met(v, category) for k, v in detection.items()}))
 
 
 def load(rules: list[dict]) -> tuple[list[Compiled], list[tuple[str, str]]]:
@@ -248,13 +296,14 @@ def pair(level: str) -> tuple[float, float]:
 
 
 def hits(events: DataFrame, rules: list[Compiled], chunk: int = 100) -> DataFrame:
-    """Findings of the rules, one pass for each category and chunk of rules."""
+    """Findings of the rules, one pass for each category and chunk of rules; ``ord`` follows the native rules'."""
     rows, out = view(events), None
+    found = lambda i, r: F.when(r.test, F.struct(F.lit(1000 + i).alias("ord"), F.lit(r.rule_id).alias("rule"), F.lit(r.technique).alias("technique"), F.lit(pair(r.level)[0]).alias("hit"), F.lit(pair(r.level)[1]).alias("miss"), F.lit(r.title).alias("detail")))
     for category in sorted({r.category for r in rules}):
-        mine = [r for r in rules if r.category == category]
+        mine = [(i, r) for i, r in enumerate(rules) if r.category == category]
         for at in range(0, len(mine), chunk):
-            fired = F.array(*(F.when(r.test, F.struct(F.lit(1000 + i).alias("ord"), F.lit(r.rule_id).alias("rule"), F.lit(r.technique).alias("technique"), F.lit(pair(r.level)[0]).alias("hit"), F.lit(pair(r.level)[1]).alias("miss"))) for i, r in enumerate(mine[at : at + chunk], at)))
-            part = rows.where(F.col("category") == category).select("id", "host", "us", "pid", "kind", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("x")).select("id", "host", "us", "pid", "kind", "x.*")
+            part = rows.where(F.col("category") == category).select("id", "host", "us", "pid", "kind", F.explode(F.array(*(found(i, r) for i, r in mine[at : at + chunk]))).alias("x"))
+            part = part.where("x IS NOT NULL").select("id", "host", "us", "pid", "kind", "x.*")
             out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telarium.checkpoint import cut
 from telarium.functions import scalars
 from telarium.operators import evidence as ev
 from telarium.operators import facts, rules, sigma
@@ -81,15 +82,32 @@ fs AS (SELECT ps.*, par.parent_id, par.parent_image,
 f AS (SELECT * FROM fs UNION ALL BY NAME SELECT *, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS VARCHAR) AS parent_image, CAST(NULL AS BIGINT) AS sighting, CAST(NULL AS BIGINT) AS siblings FROM tel WHERE kind <> 'process_start')"""
 
 
+_DETAIL = """CASE kind WHEN 'process_start' THEN coalesce(command_line, image) WHEN 'process_exit' THEN 'exit code ' || exit_code WHEN 'registry_set' THEN concat_ws(chr(92), key_path, value_name)
+  WHEN 'dns_query' THEN query_name WHEN 'script_block' THEN substr(script_text, 1, 80) WHEN 'file_rename' THEN new_path WHEN 'wmi_process' THEN command_line WHEN 'wmi_subscription' THEN coalesce(consumer, 'no consumer')
+  WHEN 'task_registered' THEN task_name WHEN 'network_connect' THEN destination_ip WHEN 'network_disconnect' THEN destination_ip ELSE path END"""
+
+
 def _rule_sql(name: str, order: int) -> str:
     kind, test, hit, miss = RULE_SQL[name]
-    return f"SELECT id, host, us, pid, {order} AS ord, '{name}' AS rule, cast({hit} AS double) AS hit, cast({miss} AS double) AS miss FROM f WHERE kind = '{kind}' AND {test}"
+    return f"SELECT id, host, us, pid, {order} AS ord, '{name}' AS rule, cast({hit} AS double) AS hit, cast({miss} AS double) AS miss, '{rules.TECHNIQUES[name]}' AS technique, {_DETAIL} AS detail FROM f WHERE kind = '{kind}' AND {test}"
+
+
+def minimised_sql(column: str) -> str:
+    """Path-like words become their kind of file."""
+    last = r"regexp_extract(lower(regexp_extract(t, '([^\\/]*)$', 1)), '(\.[A-Za-z0-9]{1,8})$', 1)"
+    return f"array_to_string(list_transform(string_split({column}, ' '), lambda t: CASE WHEN contains(t, '/') OR contains(t, chr(92)) THEN CASE WHEN {last} = '' THEN 'unknown' ELSE {last} END ELSE t END), ' ')"
 
 
-FINDINGS = FACTS + ",\nfind AS (" + " UNION ALL ".join(_rule_sql(n, i) for i, n in enumerate(RULE_SQL)) + ")"
+_SIGMA_HITS = r"""SELECT id, host, us, pid, 1000 AS ord, 'shell-from-document' AS rule, 0.75 AS hit, 0.01 AS miss, 'T1204.002' AS technique, 'Shell started by a document' AS detail FROM tel WHERE kind = 'process_start' AND (ends_with(lower(reported_parent), chr(92) || 'winword.exe') OR ends_with(lower(reported_parent), chr(92) || 'excel.exe')) AND (ends_with(lower(image), chr(92) || 'cmd.exe') OR ends_with(lower(image), chr(92) || 'powershell.exe'))
+  UNION ALL SELECT id, host, us, pid, 1001, 'shared-script', 0.3, 0.05, 'T1059.001', 'Script left in shared data' FROM tel WHERE kind = 'file_create' AND ends_with(lower(path), '.ps1') AND starts_with(lower(path), 'c:' || chr(92) || 'programdata' || chr(92)) AND NOT contains(lower(path), chr(92) || 'vendor' || chr(92))
+  UNION ALL SELECT id, host, us, pid, 1002, 'port-or-range', 0.75, 0.01, 'T1571', 'Port or range' FROM tel WHERE kind = 'network_connect' AND (starts_with(destination_ip, '93.184.') OR starts_with(destination_ip, '8.8.8.')) AND destination_port >= 4444
+  UNION ALL SELECT id, host, us, pid, 1003, 'wildcard-name', 0.15, 0.1, 'TA0000', 'Wildcard name' FROM tel WHERE kind = 'dns_query' AND (((regexp_matches(query_name, '^[hH].\..*$') OR ends_with(query_name, '.TOP') OR (contains(lower(query_name), 'h') AND contains(lower(query_name), '.o'))) AND NOT regexp_matches(query_name, '^[hH].\..*$')) OR ends_with(query_name, '.TOP'))
+  UNION ALL SELECT id, host, us, pid, 1004, 'no-value-name', 0.9, 0.005, 'T1547.001', 'No value name' FROM tel WHERE kind = 'registry_set' AND contains(lower(key_path), chr(92) || 'run')""".replace("\\\\", "\\")
+FINDINGS = FACTS + ",\nfind AS (" + " UNION ALL ".join(_rule_sql(n, i) for i, n in enumerate(RULE_SQL)) + " UNION ALL " + _SIGMA_HITS + ")"
 EVIDENCE = FINDINGS + f""",
-ev AS (SELECT id, host, us, pid AS key, sum(greatest(-20, least(20, ln(hit / miss)))) AS gain, max(struct_pack(r := ln(hit / miss), o := ord, n := rule)) AS best, count(*) AS n_findings FROM find GROUP BY id, host, us, pid),
-od AS (SELECT a.id, a.host, a.us, a.key, any_value(a.n_findings) AS n_findings, any_value(a.best).n AS rule, sum(b.gain * power(2.0, -(a.us - b.us) / {HALF_LIFE_S * 1e6})) AS log_odds
+ev AS (SELECT id, host, us, pid AS key, sum(greatest(-20, least(20, ln(hit / miss)))) AS gain, max(struct_pack(r := ln(hit / miss), o := ord, n := rule, t := technique)) AS best, count(*) AS n_findings,
+  string_agg(technique || ': ' || coalesce({minimised_sql("detail")}, ''), '; ' ORDER BY ord) AS body FROM find GROUP BY id, host, us, pid),
+od AS (SELECT a.id, a.host, a.us, a.key, any_value(a.n_findings) AS n_findings, any_value(a.best).n AS rule, any_value(a.best).t AS technique, any_value(a.body) AS body, sum(b.gain * power(2.0, -(a.us - b.us) / {HALF_LIFE_S * 1e6})) AS log_odds
   FROM ev a JOIN ev b ON a.host = b.host AND a.key = b.key AND (b.us < a.us OR b.us = a.us AND b.id <= a.id) GROUP BY a.id, a.host, a.us, a.key),
 sc AS (SELECT *, 1 / (1 + exp(-(ln(0.01 / 0.99) + log_odds))) AS p FROM od),
 de AS (SELECT *, 1 - p < 20 * p AS acts,
@@ -123,11 +141,14 @@ def _one_rule(name: str):
 
 
 for _i, _name in enumerate(RULE_SQL):
-    R.add(f"rule_{_name}", _one_rule(_name), FACTS + f" SELECT * EXCLUDE ord FROM ({_rule_sql(_name, _i)})")
+    R.add(f"rule_{_name}", _one_rule(_name), FACTS + f" SELECT * EXCLUDE (ord, technique, detail) FROM ({_rule_sql(_name, _i)})")
 
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.findings(facts.enriched(telemetry(spark, sf_dir)))
+    """Findings of the native rules and of the SIGMA rules, which count alike from here on."""
+    events = telemetry(spark, sf_dir)
+    good, _ = sigma.load(SIGMA_RULES)
+    return rules.findings(facts.enriched(events)).unionByName(sigma.hits(events, good))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,58 +250,70 @@ def alert_queue(spark, sf_dir):
     return ev.alert_queue(fates(spark, sf_dir))
 
 
-@R.query(FATES + " SELECT concat_ws('-', fo.host, fo.id) AS alert_id, fo.rule, n AS count, printf('%s (p=%.4f, n=%d) via %s', action, p, n, fo.rule) AS description FROM fo JOIN de USING (id) WHERE fate = 'emit'")
+@R.query(FATES + ", q AS (SELECT host, rule, max(rank) AS r FROM fo GROUP BY host, rule HAVING count(*) FILTER (fate = 'emit') > 0) SELECT s.severity, count(q.r) AS detections FROM (VALUES (0, 'info'), (1, 'low'), (2, 'medium'), (3, 'high'), (4, 'critical')) s(r, severity) LEFT JOIN q ON q.r = s.r GROUP BY s.severity")
+def queue_by_severity(spark, sf_dir):
+    return ev.by_severity(ev.alert_queue(fates(spark, sf_dir)))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = cut(decided(spark, sf_dir))
+    return ev.alert_rows(d, ev.coalesced(d, WINDOW_US), {r["id"]: r["title"] for r in SIGMA_RULES})
+
+
+@R.query(FATES + """ SELECT concat_ws('-', fo.host, fo.id) AS alert_id, fo.rule, n AS count, technique,
+  CASE WHEN fo.rank = 4 THEN 'critical' WHEN fo.rank = 3 THEN 'high' WHEN fo.rank = 2 THEN 'medium' WHEN fo.rank = 1 THEN 'low' ELSE 'info' END AS severity,
+  printf('%s (p=%.4f, n=%d) via %s; %s', action, p, n, fo.rule, body) AS description, CASE WHEN fo.rule = 'shell-from-document' THEN 'Shell started by a document' || CASE WHEN verdict = 'approval' THEN ' \u2014 awaiting approval' ELSE '' END END AS sigma_title
+  FROM fo JOIN de USING (id) WHERE fate = 'emit'""")
 def alert_rows(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    return ev.alert_rows(d, ev.coalesced(d, WINDOW_US)).select("alert_id", "rule", F.col("count").cast("int").alias("count"), "description")
+    rows = _alerts(spark, sf_dir)
+    return rows.select("alert_id", "rule", F.col("count").cast("int").alias("count"), "technique", "severity", "description", F.when(F.col("rule") == "shell-from-document", F.col("title")).alias("sigma_title"))
+
+
+@R.query(FATES + " SELECT fo.rule, count(*) AS alerts FROM fo WHERE fate = 'emit' AND fo.rule IN ('shell-from-document', 'shared-script', 'port-or-range', 'wildcard-name', 'no-value-name') GROUP BY fo.rule")
+def sigma_in_alerts(spark, sf_dir):
+    """Alerts whose primary finding is a SIGMA rule's."""
+    emitted = fates(spark, sf_dir).where("fate = 'emit'")
+    return emitted.where(F.col("rule").isin([r["id"] for r in SIGMA_RULES])).groupBy("rule").agg(F.count("*").alias("alerts"))
 
 
 @R.query(FATES + " SELECT concat_ws('-', fo.host, fo.id) AS alert_id, tel.pid, 'suspend' AS response, false AS automatic FROM fo JOIN de USING (id) JOIN tel USING (id) WHERE fate = 'emit' AND action = 'freeze process'")
 def response_plan(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    return ev.response_plan(ev.alert_rows(d, ev.coalesced(d, WINDOW_US)), telemetry(spark, sf_dir))
+    return ev.response_plan(_alerts(spark, sf_dir), telemetry(spark, sf_dir))
 
 
-@R.query(FATES + " SELECT host, rule, alert, count(*) AS n, string_agg(id, ',' ORDER BY us, id) AS ids FROM fo WHERE alert IS NOT NULL GROUP BY host, rule, alert")
+@R.query(FATES + " SELECT host, rule, alert, id, fate, row_number() OVER (PARTITION BY host, rule, alert ORDER BY us, id) AS place FROM fo WHERE alert IS NOT NULL")
 def alert_drilldown(spark, sf_dir):
-    """The firings behind each alert, in order."""
-    rows = fates(spark, sf_dir).where("alert IS NOT NULL").groupBy("host", "rule", "alert").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("us", "id"))).alias("x"))
-    return rows.select("host", "rule", "alert", "n", F.array_join(F.transform("x", lambda e: e["id"].cast("string")), ",").alias("ids"))
+    """The firings behind each alert, one row each, in order."""
+    place = F.row_number().over(Window.partitionBy("host", "rule", "alert").orderBy("us", "id"))
+    return fates(spark, sf_dir).where("alert IS NOT NULL").select("host", "rule", "alert", "id", "fate", place.alias("place"))
 
 
 # SIGMA --------------------------------------------------------------------
 
-#: Rules of the production set, as in their files.
+#: Rules of the production set.
 SIGMA_RULES = [
-    {"title": "Certutil download", "id": "certutil-download", "level": "medium", "tags": ["attack.command-and-control", "attack.t1105"], "logsource": {"category": "process_creation", "product": "windows"}, "detection": {"selection_img": [{"Image|endswith": "\\certutil.exe"}], "selection_flags": {"CommandLine|contains": ["urlcache ", "verifyctl "]}, "selection_http": {"CommandLine|contains": "http"}, "condition": "all of selection_*"}},
-    {"title": "Executable in temp, no document", "id": "temp-exe", "level": "low", "tags": ["attack.t1027.004"], "logsource": {"category": "file_event"}, "detection": {"selection_extension": {"TargetFilename|endswith": [".exe", ".ps1"]}, "selection_staging": {"TargetFilename|contains": ["\\Temp\\", "\\ProgramData\\"]}, "filter": {"TargetFilename|contains": "\\repos\\"}, "condition": "selection_extension and selection_staging and not filter"}},
+    {"title": "Shell started by a document", "id": "shell-from-document", "level": "high", "tags": ["attack.execution", "attack.t1204.002"], "logsource": {"category": "process_creation", "product": "windows"}, "detection": {"opener": {"ParentImage|endswith": ["\\winword.exe", "\\excel.exe"]}, "shell": [{"Image|endswith": "\\cmd.exe"}, {"Image|endswith": "\\powershell.exe"}], "condition": "opener and shell"}},
+    {"title": "Script left in shared data", "id": "shared-script", "level": "low", "tags": ["attack.t1059.001"], "logsource": {"category": "file_event"}, "detection": {"script": {"TargetFilename|endswith": ".ps1"}, "shared": {"TargetFilename|startswith": "C:\\ProgramData\\"}, "vendor": {"TargetFilename|contains": "\\vendor\\"}, "condition": "script and shared and not vendor"}},
     {"title": "Port or range", "id": "port-or-range", "level": "high", "tags": ["attack.t1571"], "logsource": {"category": "network_connection"}, "detection": {"range": {"DestinationIp|cidr": ["93.184.0.0/16", "8.8.8.0/24"]}, "port": {"DestinationPort|gte": 4444}, "condition": "range and port"}},
     {"title": "Wildcard name", "id": "wildcard-name", "level": "informational", "tags": [], "logsource": {"category": "dns_query"}, "detection": {"a": {"QueryName": "h?.*"}, "b": {"QueryName|endswith|cased": ".TOP"}, "c": {"QueryName|contains|all": ["h", ".o"]}, "condition": "1 of them and not a or b"}},
     {"title": "No value name", "id": "no-value-name", "level": "critical", "tags": ["attack.t1547.001"], "logsource": {"category": "registry_set"}, "detection": {"run": {"TargetObject|contains": "\\run"}, "gone": {"CommandLine": None}, "condition": "run and gone"}},
     {"title": "Refused", "id": "refused", "level": "low", "logsource": {"category": "process_creation"}, "detection": {"a": {"CommandLine|re": "x.*"}, "condition": "a"}},
     {"title": "Wrong source", "id": "wrong-source", "logsource": {"service": "security"}, "detection": {"a": {"Image": "x"}, "condition": "a"}},
 ]
-_SIGMA_SQL = f"""WITH {TEL}, hit AS (
-  SELECT id, 'certutil-download' AS rule, 'T1105' AS technique, 0.5 AS hit, 0.02 AS miss FROM tel WHERE kind = 'process_start' AND ends_with(lower(image), chr(92) || 'certutil.exe') AND (contains(lower(command_line), 'urlcache ') OR contains(lower(command_line), 'verifyctl ')) AND contains(lower(command_line), 'http')
-  UNION ALL SELECT id, 'temp-exe', 'T1027.004', 0.3, 0.05 FROM tel WHERE kind = 'file_create' AND (ends_with(lower(path), '.exe') OR ends_with(lower(path), '.ps1')) AND (contains(lower(path), chr(92) || 'temp' || chr(92)) OR contains(lower(path), chr(92) || 'programdata' || chr(92))) AND NOT contains(lower(path), chr(92) || 'repos' || chr(92))
-  UNION ALL SELECT id, 'port-or-range', 'T1571', 0.75, 0.01 FROM tel WHERE kind = 'network_connect' AND (starts_with(destination_ip, '93.184.') OR starts_with(destination_ip, '8.8.8.')) AND destination_port >= 4444
-  UNION ALL SELECT id, 'wildcard-name', 'TA0000', 0.15, 0.1 FROM tel WHERE kind = 'dns_query' AND (((regexp_matches(query_name, '^[hH].\\..*$') OR ends_with(query_name, '.TOP') OR (contains(lower(query_name), 'h') AND contains(lower(query_name), '.o'))) AND NOT regexp_matches(query_name, '^[hH].\\..*$')) OR ends_with(query_name, '.TOP'))
-  UNION ALL SELECT id, 'no-value-name', 'T1547.001', 0.9, 0.005 FROM tel WHERE kind = 'registry_set' AND contains(lower(key_path), chr(92) || 'run'))"""
-
-
-@R.query(_SIGMA_SQL + " SELECT id, rule, technique, cast(hit AS double) AS hit, cast(miss AS double) AS miss FROM hit")
+@R.query(f"WITH {TEL}, hit AS ({_SIGMA_HITS}) SELECT id, rule, technique, cast(hit AS double) AS hit, cast(miss AS double) AS miss FROM hit")
 def sigma_hits(spark, sf_dir):
     good, _ = sigma.load(SIGMA_RULES)
     return sigma.hits(telemetry(spark, sf_dir), good).select("id", "rule", "technique", "hit", "miss")
 
 
-@R.query()
+@R.query(f"""WITH {TEL}, hit AS ({_SIGMA_HITS}), c AS (SELECT rule, count(*) AS fired FROM hit GROUP BY rule)
+  SELECT t.*, coalesce(fired, 0) AS fired FROM (VALUES ('shell-from-document', 'high', 'T1204.002', true), ('shared-script', 'low', 'T1059.001', true), ('port-or-range', 'high', 'T1571', true), ('wildcard-name', 'informational', 'TA0000', true), ('no-value-name', 'critical', 'T1547.001', true)) t(rule, level, technique, can_fire) LEFT JOIN c USING (rule)""")
 def sigma_rule_catalog(spark, sf_dir):
     """The rules table beside how often each fired."""
     good, bad = sigma.load(SIGMA_RULES)
     table, _ = sigma.catalog(spark, good, bad)
     fired = sigma.hits(telemetry(spark, sf_dir), good).groupBy("rule").agg(F.count("*").alias("fired"))
-    return table.join(F.broadcast(fired), "rule", "left").fillna(0, ["fired"])
+    return table.join(F.broadcast(fired), "rule", "left").select("rule", "level", "technique", "can_fire", F.coalesce("fired", F.lit(0)).alias("fired"))
 
 
 def _sigma_test(name: str, category: str, selection: dict, condition: str, where: str, kind: str) -> None:
@@ -302,6 +335,7 @@ _sigma_test("sigma_fieldref", "process_creation", {"a": {"ProcessId|fieldref": "
 _sigma_test("sigma_absent", "process_creation", {"a": {"CommandLine": None}}, "a", "command_line IS NULL", "process_start")
 _sigma_test("sigma_groups", "process_creation", {"a": [{"Image|endswith": "cmd.exe"}, {"Image|endswith": "certutil.exe", "CommandLine|contains": "http"}]}, "a", "(ends_with(lower(image), 'cmd.exe') OR (ends_with(lower(image), 'certutil.exe') AND contains(lower(command_line), 'http')))", "process_start")
 _sigma_test("sigma_quantifier", "dns_query", {"x1": {"QueryName|contains": "1"}, "x2": {"QueryName|contains": "2"}, "x3": {"QueryName|endswith": ".org"}}, "2 of x*", "cast(contains(query_name, '1') AS int) + cast(contains(query_name, '2') AS int) + cast(ends_with(lower(query_name), '.org') AS int) >= 2", "dns_query")
+_sigma_test("sigma_more_fields", "process_creation", {"a": {"ParentImage|contains": "office", "User|startswith": "user"}, "b": {"EventID": 1, "Provider_Name|endswith": "process"}}, "a and b", "contains(lower(reported_parent), 'office') AND starts_with(lower(user_name), 'user')", "process_start")
 _sigma_test("sigma_not_absent", "process_creation", {"a": {"CommandLine|contains": "http"}}, "not a", "NOT coalesce(contains(lower(command_line), 'http'), false)", "process_start")
 
 
@@ -312,7 +346,10 @@ def sigma_view(spark, sf_dir):
     return sigma.view(telemetry(spark, sf_dir)).select("id", "category", F.col("TargetObject").alias("target_object"), F.col("ExitCode").alias("exit_code"))
 
 
-@R.query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', cast({a} AS double), cast({b} AS double))" for k, (a, b) in sigma.LEVELS.items()) + ") AS t(level, hit, miss) CROSS JOIN (SELECT count(*) AS events FROM events) e")
+@R.query(f"WITH {TEL}, hit AS ({_SIGMA_HITS}) SELECT level, count(*) AS hits, min(l.hit) AS hit, min(l.miss) AS miss FROM hit JOIN (VALUES ('shell-from-document', 'high', 0.75::DOUBLE, 0.01::DOUBLE), ('shared-script', 'low', 0.3, 0.05), ('port-or-range', 'high', 0.75, 0.01), ('wildcard-name', 'informational', 0.15, 0.1), ('no-value-name', 'critical', 0.9, 0.005)) l(rule, level, hit, miss) ON hit.rule = l.rule GROUP BY level")
 def sigma_level(spark, sf_dir):
-    levels = spark.createDataFrame([(k, *v) for k, v in sigma.LEVELS.items()], "level string, hit double, miss double")
-    return levels.crossJoin(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.count("*").alias("events")))
+    """Hits by level, with the pair that the level stands for."""
+    good, bad = sigma.load(SIGMA_RULES)
+    table, _ = sigma.catalog(spark, good, bad)
+    found = sigma.hits(telemetry(spark, sf_dir), good).join(F.broadcast(table.select("rule", "level")), "rule")
+    return found.groupBy("level").agg(F.count("*").alias("hits"), F.min("hit").alias("hit"), F.min("miss").alias("miss"))

@@ -6,13 +6,19 @@ runs in Spark and in DuckDB (``{us}`` is the engine's microseconds of ``ts``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telarium.sources.shapes import SHAPES
+
 SPARK_US, DUCKDB_US = "unix_micros(cast(ts AS timestamp))", "epoch_us(ts)"
 
 _COLUMNS = """id, host, us, pid, kind, parent_pid, image, command_line, exit_code, query_name, path, new_path,
-  destination_ip, destination_port, bytes_sent, key_path, value_name, script_text, signed, is_local, client_machine, consumer, task_name, k"""
+  destination_ip, destination_port, bytes_sent, key_path, value_name, script_text, signed, is_local, client_machine, consumer, task_name,
+  provider, event_id, user_name, reported_parent, signer, value_data, old_path, answers, source_ip, source_port, script_block_id, script_path, k"""
+
+_PROVIDER = "CASE kind " + " ".join(f"WHEN '{shape}' THEN '{provider}'" for provider, _, shape, _ in SHAPES) + " END"
+_EVENT_ID = "CASE kind " + " ".join(f"WHEN '{shape}' THEN {number}" for _, number, shape, _ in SHAPES) + " END"
 
 TELEMETRY_SQL = f"""
 WITH e AS (
@@ -63,6 +69,17 @@ SELECT id, host, us, pid, kind,
   CASE WHEN kind = 'wmi_process' THEN CASE k % 5 WHEN 0 THEN '.' WHEN 1 THEN '' WHEN 2 THEN 'WS-7' END END AS client_machine,
   CASE WHEN kind = 'wmi_subscription' THEN CASE k % 3 WHEN 0 THEN 'CommandLineEventConsumer.Name="x"' WHEN 1 THEN 'NTEventLogEventConsumer' END END AS consumer,
   CASE WHEN kind = 'task_registered' THEN replace(CASE k % 4 WHEN 0 THEN '/Microsoft/Windows/Defrag' WHEN 1 THEN '/WindowsUpdateHelper' WHEN 2 THEN '/Backup' ELSE '/defender-scan' END, '/', chr(92)) END AS task_name,
+  {_PROVIDER} AS provider, {_EVENT_ID} AS event_id,
+  CASE WHEN kind IN ('process_start', 'wmi_process', 'task_registered') AND k % 4 <> 3 THEN concat('user', cast(k % 5 AS string)) END AS user_name,
+  CASE WHEN kind = 'process_start' AND k % 3 <> 2 THEN replace(CASE k % 3 WHEN 0 THEN 'C:/Program Files/Office/winword.exe' ELSE 'C:/Windows/explorer.exe' END, '/', chr(92)) END AS reported_parent,
+  CASE WHEN kind = 'image_load' AND k % 3 = 0 THEN 'Example Signing' END AS signer,
+  CASE WHEN kind = 'registry_set' AND k % 3 <> 1 THEN concat('data', cast(k AS string)) END AS value_data,
+  CASE WHEN kind = 'file_rename' AND k % 5 <> 0 THEN concat('C:', chr(92), 'old', cast(k AS string), '.txt') END AS old_path,
+  CASE WHEN kind = 'dns_query' AND k % 3 = 0 THEN concat('10.0.0.', cast(k % 250 AS string)) END AS answers,
+  CASE WHEN kind IN ('network_connect', 'network_disconnect') THEN concat('192.168.0.', cast(k % 250 AS string)) END AS source_ip,
+  CASE WHEN kind IN ('network_connect', 'network_disconnect') THEN 40000 + k END AS source_port,
+  CASE WHEN kind = 'script_block' AND k % 2 = 0 THEN concat('block-', cast(k AS string)) END AS script_block_id,
+  CASE WHEN kind = 'script_block' AND k % 3 = 0 THEN concat('C:', chr(92), 'scripts', chr(92), 'a.ps1') END AS script_path,
   k
 FROM t
 """
@@ -81,6 +98,7 @@ EVENT_FIELDS = "id bigint, host string, timestamp timestamp, received_at timesta
 ALERT_FIELDS = "id string, rule_id string, title string, description string, severity string, timestamp timestamp, host string, events array<bigint>, mitre_techniques array<string>, count int, status string"
 BATCH_SCHEMA = f"batch_id string, sent_at timestamp, events array<struct<{', '.join(f.replace(' ', ':', 1) for f in EVENT_FIELDS.split(', '))}>>, alerts array<struct<{', '.join(f.replace(' ', ':', 1) for f in ALERT_FIELDS.split(', '))}>>"
 
+#: Bounds of the envelope.
 MAX_PAYLOAD_BYTES, MAX_BATCH_EVENTS, SCHEMA_VERSION = 65_536, 5_000, 2
 
 
@@ -116,6 +134,30 @@ def with_reject_reason(events: DataFrame, size_column: str = "payload") -> DataF
     return events.withColumn("reject_reason", reason)
 
 
+def with_batch_reject_reason(batches: DataFrame) -> DataFrame:
+    """Adds the reason for which a whole batch goes to quarantine (null: accepted)."""
+    size = F.coalesce(F.size("events"), F.lit(0))
+    reason = F.when(F.coalesce(F.trim("batch_id"), F.lit("")) == "", "empty batch id").when(size > MAX_BATCH_EVENTS, "too many events").when(F.exists(F.coalesce("alerts", F.array().cast(batches.schema["alerts"].dataType)), lambda a: F.coalesce(F.trim(a["id"]), F.lit("")) == ""), "empty alert id")
+    return batches.withColumn("reject_reason", reason)
+
+
+def receipts(deliveries: DataFrame, alerts: DataFrame, known_alerts: DataFrame) -> DataFrame:
+    """One receipt for each delivery (batch_id, delivery): accepted_events, accepted_alerts, duplicate.
+
+    ``deliveries``: batch_id, delivery (their order), events (a count);
+    ``alerts``: batch_id, alert_id; ``known_alerts``: alert_id. A batch counts
+    at its first delivery; an alert counts if no earlier batch had it.
+    """
+    first = F.col("delivery") == F.min("delivery").over(Window.partitionBy("batch_id"))
+    rows = deliveries.withColumn("duplicate", ~first)
+    sent = alerts.select("batch_id", "alert_id").distinct().join(rows.where("NOT duplicate").select("batch_id", "delivery"), "batch_id")
+    new = sent.join(known_alerts.select("alert_id").distinct(), "alert_id", "left_anti").groupBy("alert_id").agg(F.min_by("batch_id", F.struct("delivery", "batch_id")).alias("batch_id"))
+    counts = new.groupBy("batch_id").agg(F.count("*").alias("n"))
+    rows = rows.join(counts, "batch_id", "left")
+    once = lambda c: F.when(F.col("duplicate"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    return rows.select("batch_id", "delivery", once(F.col("events")).alias("accepted_events"), once(F.col("n")).alias("accepted_alerts"), "duplicate")
+
+
 def write_events(events: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Partitioned by date and a bucket of hosts, in files of bounded size."""
     rows = events.withColumn("date", F.to_date(F.timestamp_micros("us"))).withColumn("host_bucket", F.pmod(F.xxhash64("host"), F.lit(64)).cast("int"))
