@@ -63,9 +63,8 @@ def ip_of_bytes(raw: Column) -> Column:
     """
     digits, size = F.lower(F.hex(raw)), F.octet_length(raw)
     family = F.substring(digits, 1, 4)
-    short = F.when(family == "0200", _ip4(digits, 4)).when(family != "1700", _ip6(digits, 0))
-    long = F.when(family == "1700", _ip6(digits, 8)).when(family == "0200", _ip4(digits, 4))
-    return F.when(size == 4, _ip4(digits, 0)).when(size == 16, short).when(size == 28, long)
+    six = F.when((size == 16) & (family != "1700"), digits).when((size == 28) & (family == "1700"), F.substring(digits, 17, 32))
+    return F.when(size == 4, _ip4(digits, 0)).when(size.isin(16, 28) & (family == "0200"), _ip4(digits, 4)).when(six.isNotNull(), _ip6(six, 0))
 
 
 def registry_value(kind: Column, raw: Column) -> Column:

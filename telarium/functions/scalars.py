@@ -123,4 +123,9 @@ def filetime(ticks: Column) -> Column:
 
 
 def backoff(n: Column, base_ms: int, ceiling_ms: int) -> Column:
-    return F.least(F.lit(ceiling_ms).cast("bigint"), F.shiftleft(F.lit(base_ms).cast("bigint"), F.least(n, F.lit(30)).cast("int")))
+    return F.least(F.lit(ceiling_ms).cast("bigint"), F.lit(base_ms).cast("bigint") * F.pow(F.lit(2), F.least(n, F.lit(30))).cast("bigint"))
+
+
+def may_restart(attempt: Column, most: int) -> Column:
+    """Whether a restart is within budget; the attempt numbered ``most`` is not."""
+    return attempt < most

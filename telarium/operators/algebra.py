@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,11 @@ def information_set(rows: DataFrame) -> DataFrame:
     return good.withColumn("share", F.col("weight") / F.sum("weight").over(w)).withColumn("best", best)
 
 
+def refined(rows: DataFrame, keep: Column) -> DataFrame:
+    """An information set without the hypotheses that ``keep`` rules out, normalised anew."""
+    return information_set(rows.where(keep))
+
+
 def uncertainty_split(rows: DataFrame, group: str, p: str) -> DataFrame:
     out = rows.groupBy(group).agg(entropy(F.avg(p)).alias("total"), F.avg(entropy(F.col(p))).alias("aleatoric"))
     return out.withColumn("epistemic", F.greatest(F.col("total") - F.col("aleatoric"), F.lit(0.0)))
@@ -47,6 +53,11 @@ def load_factor(used: Column, budget: Column) -> Column:
     return F.when(budget <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), used / budget)))
 
 
+def overload(rate: Column, capacity: Column) -> Column:
+    """Offered load over capacity; at no capacity 0 without load, else infinite."""
+    return F.when(capacity > 0, rate / capacity).when(rate <= 0, 0.0).otherwise(float("inf"))
+
+
 def noisy_counts(counts: DataFrame, epsilon: float, sensitivity: float = 1.0) -> DataFrame:
     """Laplace noise by inverse CDF on the column ``u`` in (0, 1)."""
     scale = sensitivity / max(epsilon, 1e-9)
@@ -82,10 +93,66 @@ def mttr(steps: DataFrame) -> DataFrame:
     return cost.groupBy("incident").agg(F.sum("most").alias("mttr"), F.sum("total").alias("serial"))
 
 
-def trust_weighted(findings: DataFrame, trust: DataFrame, ratio: str = "ratio") -> DataFrame:
-    """log-ratio times the trust of its source (absent or NaN: 0.5), clamped to 0..1."""
-    t = F.when(F.col("trust").isNull() | F.isnan("trust"), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust"))))
-    return findings.join(trust, "source", "left").withColumn("weighted", F.col(ratio) * t)
+def availability(mttf: Column, mttr: Column) -> Column:
+    """Share of time up; negative times count as 0, and what never fails nor mends is up."""
+    up, down = F.greatest(mttf, F.lit(0.0)), F.greatest(mttr, F.lit(0.0))
+    return F.when(up + down > 0, up / (up + down)).otherwise(1.0)
+
+
+def resilience(rows: DataFrame) -> DataFrame:
+    """``rows`` (detection, containment, recovery, clamped) with their product and the weakest of
+    them; of equals, the one that comes first."""
+    stages = ("detection", "containment", "recovery")
+    rows = rows.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) for c in stages})
+    d, c, r = map(F.col, stages)
+    return rows.withColumn("score", d * c * r).withColumn("weakest", F.when((d <= c) & (d <= r), "detection").when(c <= r, "containment").otherwise("recovery"))
+
+
+def expected_loss(p: Column, false_alarm: Column, miss: Column, acted: Column) -> Column:
+    return F.when(acted, false_alarm * (1 - p)).otherwise(miss * p)
+
+
+def regret(p: Column, false_alarm: Column, miss: Column, acted: Column) -> Column:
+    """Loss of what was done over that of the better choice."""
+    best = F.least(false_alarm * (1 - p), miss * p)
+    return F.greatest(F.lit(0.0), expected_loss(p, false_alarm, miss, acted) - best)
+
+
+def minimax_acts(false_alarm: Column, miss: Column) -> Column:
+    """Whether acting has the smaller worst case, whatever the evidence."""
+    return false_alarm <= miss
+
+
+def robust_threshold(false_alarm: Column, miss: Column, doubt: Column) -> Column:
+    """Threshold with the cost of false alarms raised and that of misses lowered by ``doubt`` (0 to below 1)."""
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1 - 2.0**-52), doubt))
+    high, low = false_alarm * (1 + u), miss * (1 - u)
+    return F.when(high + low > 0, high / (high + low)).otherwise(0.0)
+
+
+def trust(value: Column) -> Column:
+    """Clamped to 0..1; unknown (null) and NaN are 0.5."""
+    return F.when(value.isNull() | F.isnan(value), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+
+def propagated(origin: Column, decay: Column, hops: Column) -> Column:
+    return trust(trust(origin) * F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), decay)), hops))
+
+
+def degraded(sources: DataFrame, incidents: DataFrame) -> DataFrame:
+    """``sources`` (source, trust) with trust cut by the factor of every incident (source, factor)."""
+    factor = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("factor")))
+    cut_by = incidents.groupBy("source").agg(F.count_if(factor == 0).alias("zeros"), F.sum(F.when(factor > 0, F.log(factor))).alias("logs"))
+    rows = sources.join(cut_by, "source", "left")
+    left = F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp(F.coalesce("logs", F.lit(0.0))))
+    return rows.select("source", (trust(F.col("trust")) * left).alias("trust"))
+
+
+def trust_weighted(findings: DataFrame, known: DataFrame, ratio: str = "ratio") -> DataFrame:
+    """log-ratio times the trust of its source (absent or NaN: 0.5), clamped to 0..1, and times
+    ``similarity`` (clamped too), if there is such a column, for rules taken from elsewhere."""
+    similar = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))) if "similarity" in findings.columns else F.lit(1.0)
+    return findings.join(known, "source", "left").withColumn("weighted", F.col(ratio) * trust(F.col("trust")) * similar)
 
 
 def happens_before(a: Column, b: Column) -> Column:
@@ -95,14 +162,106 @@ def happens_before(a: Column, b: Column) -> Column:
     return F.forall(keys, lambda k: at(a, k) <= at(b, k)) & F.exists(keys, lambda k: at(a, k) < at(b, k))
 
 
+def concurrent(a: Column, b: Column) -> Column:
+    """Neither clock is componentwise at most the other."""
+    at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
+    keys = F.array_union(F.map_keys(a), F.map_keys(b))
+    return F.exists(keys, lambda k: at(a, k) < at(b, k)) & F.exists(keys, lambda k: at(a, k) > at(b, k))
+
+
 def clock_merge(clocks: DataFrame, group: str, clock: str) -> DataFrame:
     each = clocks.select(group, F.explode(clock).alias("actor", "n")).groupBy(group, "actor").agg(F.max("n").alias("n"))
     return each.groupBy(group).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("actor", "n")))).alias(clock))
 
 
 def trace_actions(trace: DataFrame) -> DataFrame:
-    order = F.sort_array(F.collect_list(F.struct("us", "id", "action")))
-    return trace.groupBy("actor").agg(F.array_join(F.transform(order, lambda x: x["action"]), ">").alias("actions"))
+    """The actions of each actor in order, one row each; no actor's trace is held at once."""
+    place = F.row_number().over(Window.partitionBy("actor").orderBy("us", "id"))
+    return trace.select("actor", place.alias("place"), "action")
+
+
+def _steps(pattern: tuple) -> list[tuple]:
+    """A pattern as numbered states with moves (state, action or None for any, next); empty moves are ("", ...)."""
+    moves: list[tuple] = []
+    count = iter(range(1 << 30))
+
+    def build(p: tuple) -> tuple[int, int]:
+        a, b = next(count), next(count)
+        kind, *inner = p
+        if kind == "atom":
+            moves.append((a, inner[0], b))
+        elif kind == "any":
+            moves.append((a, None, b))
+        elif kind == "seq":
+            at = a
+            for x in inner:
+                start, end = build(x)
+                moves.append((at, "", start))
+                at = end
+            moves.append((at, "", b))
+        elif kind == "alt":
+            for x in inner:
+                start, end = build(x)
+                moves.extend(((a, "", start), (end, "", b)))
+        else:  # star
+            start, end = build(inner[0])
+            moves.extend(((a, "", b), (a, "", start), (end, "", start), (end, "", b)))
+        return a, b
+
+    start, end = build(pattern)
+    return [("start", start), ("end", end), *moves]
+
+
+class Matcher:
+    """A pattern over actions, step by step: ("atom", x), ("any",), ("seq", ...), ("alt", ...), ("star", p)."""
+
+    def __init__(self, pattern: tuple):
+        (_, start), (_, self.end), *self.moves = _steps(pattern)
+        self.start = self._closed({start})
+        self.known: dict[tuple, frozenset] = {}
+
+    def _closed(self, states: set[int]) -> frozenset:
+        todo, out = list(states), set(states)
+        while todo:
+            at = todo.pop()
+            for a, action, b in self.moves:
+                if a == at and action == "" and b not in out:
+                    out.add(b)
+                    todo.append(b)
+        return frozenset(out)
+
+    def step(self, states: frozenset, action: str) -> frozenset:
+        if (states, action) not in self.known:
+            self.known[states, action] = self._closed({b for a, x, b in self.moves if a in states and x != "" and x in (None, action)})
+        return self.known[states, action]
+
+
+def matching_traces(trace: DataFrame, pattern: tuple) -> DataFrame:
+    """(actor, matches): whether the pattern matches an actor's whole trace.
+
+    Rows are dealt by actor and sorted by Spark; the matcher keeps a set of
+    states, whatever the length of a trace.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(pattern)
+        key, states, begun = None, matcher.start, False
+        for batch in batches:
+            actors, found = [], []
+            for actor, action in zip(batch.column("actor").to_pylist(), batch.column("action").to_pylist(), strict=True):
+                if not begun or actor != key:
+                    if begun:
+                        actors.append(key)
+                        found.append(matcher.end in states)
+                    key, states, begun = actor, matcher.start, True
+                states = matcher.step(states, action)
+            yield pa.RecordBatch.from_arrays([pa.array(actors, batch.schema.field("actor").type), pa.array(found, pa.bool_())], names=["actor", "matches"])
+            kind = batch.schema.field("actor").type
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([matcher.end in states])], names=["actor", "matches"])
+
+    kind = trace.schema["actor"].dataType.simpleString()
+    return trace.select("actor", "us", "id", "action").repartition("actor").sortWithinPartitions("actor", "us", "id").mapInArrow(walk, f"actor {kind}, matches boolean")
 
 
 def causal_links(trace: DataFrame, horizon_us: int) -> DataFrame:

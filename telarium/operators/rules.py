@@ -1,7 +1,8 @@
 """Detection rules: a predicate over one telemetry row, with a likelihood pair.
 
-All rules run in one pass: a row meets only the rules of its kind, as an array
-of structs that is exploded; generated code throughout. The rows' facts (tracked parent, novelty, siblings) come from ``operators.facts``.
+A row meets only the rules of its kind, as an array of structs that is
+exploded. Kinds go in passes of a few rules each: the filter on the kind
+reaches the scan, and no pass outgrows a generated method. The rows' facts (tracked parent, novelty, siblings) come from ``operators.facts``.
 """
 
 from __future__ import annotations
@@ -95,6 +96,10 @@ DETAILS = {
 }
 
 
+#: Rules that share a pass over the rows of their kinds.
+RULES_A_PASS = 4
+
+
 def _blob(text: Column) -> Column:
     """An encoded blob of 20 or more characters behind the first place of a marker."""
     low, tests = F.lower(text), None
@@ -152,8 +157,17 @@ def findings(events: DataFrame, chosen: list[Rule] | None = None, keep: tuple[st
     by_kind: dict[str, list[Column]] = {}
     for i, rule in enumerate(rules() if chosen is None else chosen):
         by_kind.setdefault(rule.kind, []).append(rule.finding(i))
-    fired = F
+    passes: list[dict[str, list[Column]]] = []
     for kind, found in by_kind.items():
-        fired = fired.when(F.col("kind") == kind, F.array(*found))
-    rows = events.where(F.col("kind").isin(*by_kind)).select(*keep, F.explode(fired).alias("x"))
-    return rows.where("x IS NOT NULL").select(*keep, "x.*")
+        last = passes[-1] if passes and sum(map(len, passes[-1].values())) + len(found) <= RULES_A_PASS else None
+        if last is None:
+            passes.append({})
+        passes[-1][kind] = found
+    out = None
+    for kinds in passes:
+        fired = F
+        for kind, found in kinds.items():
+            fired = fired.when(F.col("kind") == kind, F.array(*found))
+        rows = events.where(F.col("kind").isin(*kinds)).select(*keep, F.explode(fired).alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
+        out = rows if out is None else out.unionAll(rows)
+    return out

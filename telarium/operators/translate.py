@@ -1,7 +1,7 @@
 """Raw events to typed telemetry: a shape by provider and id, fields by their spellings, failures with a reason.
 
-One projection over the raw rows; nothing is shuffled but for the optional
-look-ups (registry keys by handle, device mounts and image metadata by path).
+A projection for each shape over the rows of its provider and id, a filter
+that reaches the scan; nothing is shuffled but for the optional look-ups (registry keys by handle, device mounts and image metadata by path).
 """
 
 from __future__ import annotations
@@ -32,12 +32,9 @@ def number(chain: str, kind: str = "bigint") -> Column:
 
 def address(chain: str) -> Column:
     """The first spelling that is an address: a number, or bytes written as 0x and hex."""
-
-    def one(name: str) -> Column:
-        raw = F.try_element_at("fields", F.lit(name))
-        return F.when(raw.rlike("^[0-9]+$"), dec.ip4_of_number(raw.try_cast("bigint"))).when(raw.rlike("^0x(?:[0-9A-Fa-f]{2})+$"), dec.ip_of_bytes(F.unhex(F.substring(raw, 3, 128))))
-
-    return F.coalesce(*(one(n) for n in CHAINS[chain]))
+    fits = lambda raw: F.when(raw.rlike("^(?:[0-9]+|0x(?:[0-9A-Fa-f]{8}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{56}))$"), raw)
+    raw = F.coalesce(*(fits(F.try_element_at("fields", F.lit(n))) for n in CHAINS[chain]))
+    return F.when(raw.startswith("0x"), dec.ip_of_bytes(F.unhex(F.substring(raw, 3, 56)))).when(raw.isNotNull(), dec.ip4_of_number(raw.try_cast("bigint")))
 
 
 def dos_path(path: Column, mounts: Column) -> Column:
@@ -70,65 +67,87 @@ def with_mounts(rows: DataFrame, mounts: DataFrame) -> DataFrame:
     return rows.join(each, "host", "left")
 
 
-def translated(raw: DataFrame, shapes: DataFrame) -> DataFrame:
-    """``raw`` (host, ticks, provider, event_id, pid, fields) with shape, kind, us, failure and typed columns.
+#: What a shape may carry beside ``kind`` and ``pid``.
+TYPED = {
+    "parent_pid": "bigint", "image": "string", "command_line": "string", "user_name": "string", "reported_parent": "string", "integrity": "string", "exit_code": "bigint",
+    "path": "string", "new_path": "string", "old_path": "string", "key_path": "string", "value_name": "string", "value_data": "string", "query_name": "string", "query_type": "string",
+    "script_text": "string", "script_block_id": "string", "script_path": "string", "source_ip": "string", "source_port": "int", "destination_ip": "string", "destination_port": "int",
+    "bytes_sent": "bigint", "client_machine": "string", "is_local": "boolean", "namespace": "string", "event_filter": "string", "consumer": "string", "task_name": "string",
+}
+
+
+#: The typed column of each required field.
+_COLUMNS_OF = {
+    "process_start": ("image",), "process_start_audit": ("image",), "process_exit": (), "image_load": ("path",), "registry_set": ("key_path",), "dns_query": ("query_name",), "script_block": ("script_text",),
+    "file_create": ("path",), "file_rename": ("new_path",), "file_delete": ("path",), "network_connect": ("source_ip", "destination_ip"), "network_disconnect": ("source_ip", "destination_ip"),
+    "wmi_process": ("command_line",), "wmi_subscription": ("namespace", "event_filter"), "task_registered": ("task_name",),
+}
+
+
+def _fields(shape: str, learned: Column, dos) -> dict[str, Column]:
+    """The typed columns of a shape; ``pid`` only where the event names its process."""
+    network = {"pid": number("net_pid"), "source_ip": address("saddr"), "source_port": F.coalesce(number("sport", "int"), F.lit(0)), "destination_ip": address("daddr"), "destination_port": F.coalesce(number("dport", "int"), F.lit(0))}
+    start = {"pid": number("process_id"), "parent_pid": number("parent_process_id")}
+    new_name = F.coalesce(text("file_new_name"), text("file_old_name"))
+    match shape:
+        case "process_start":
+            return start | {"image": dos(text("image_name"))}
+        case "process_start_audit":
+            return start | {"image": dos(text("new_process_name")), "command_line": text("command_line"), "user_name": text("subject_user_name"), "reported_parent": dos(text("parent_process_name")), "integrity": dec.integrity_level(text("mandatory_label"))}
+        case "process_exit":
+            return {"pid": number("process_id"), "exit_code": number("exit_code").bitwiseAND(0xFFFFFFFF)}
+        case "image_load":
+            return {"pid": number("process_id"), "path": dos(text("image_name"))}
+        case "registry_set":
+            return {"key_path": registry_path(F.coalesce(text("key_name"), learned)), "value_name": text("value_name"), "value_data": text("captured_data")}
+        case "dns_query":
+            return {"query_name": text("query_name"), "query_type": F.coalesce(dec.query_type(number("query_type")), F.lit("A"))}
+        case "script_block":
+            return {"script_text": capped_text(text("script_text")), "script_block_id": text("script_block_id"), "script_path": dos(text("script_path"))}
+        case "file_create" | "file_delete":
+            return {"path": dos(text("file_name"))}
+        case "file_rename":
+            return {"new_path": dos(new_name), "old_path": dos(F.coalesce(text("file_old_name"), new_name))}
+        case "network_connect":
+            return network
+        case "network_disconnect":
+            return network | {"bytes_sent": number("size")}
+        case "wmi_process":
+            return {"pid": number("wmi_created_pid"), "command_line": text("wmi_command_line"), "user_name": text("wmi_user"), "client_machine": text("wmi_client_machine"), "is_local": number("wmi_is_local") != 0}
+        case "wmi_subscription":
+            return {"namespace": text("wmi_namespace"), "event_filter": text("wmi_event_filter"), "consumer": text("wmi_consumer")}
+        case _:
+            return {"task_name": text("task_name"), "user_name": text("user_context")}
+
+
+def translated(raw: DataFrame) -> DataFrame:
+    """``raw`` (host, ticks, provider, event_id, pid, fields) with shape, kernel, kind, us, failure and typed columns.
 
     Optional columns: ``mounts`` (see ``dos_path``) and ``learned_key``, the
     path known for the event's registry handle. A row of no shape has null in
     ``shape``; a row with a reason in ``failure`` is undecodable.
     """
-    rows = raw.withColumnRenamed("pid", "header_pid").join(F.broadcast(shapes), ["provider", "event_id"], "left")
     mounts = F.col("mounts") if "mounts" in raw.columns else F.lit(None).cast("array<struct<device:string,root:string>>")
     learned = F.col("learned_key") if "learned_key" in raw.columns else F.lit(None).cast("string")
-    shape = F.col("shape")
-    of = lambda *names: shape.isin(*names)
-    pick = lambda **by: F.coalesce(*(F.when(shape == s, c) for s, c in by.items()))
-    network, starts = of("network_connect", "network_disconnect"), of("process_start", "process_start_audit")
-    key = F.coalesce(text("key_name"), learned)
-    new_name = F.coalesce(text("file_new_name"), text("file_old_name"))
-    dos = lambda c: dos_path(c, mounts)
-    addresses = {"saddr": address("saddr"), "daddr": address("daddr")}
-    value = {chain: text(chain) for chains in REQUIRED.values() for alternatives in chains for chain in alternatives} | addresses | {"key_name": key}
-    failure = F.when(F.col("us").isNull(), "not a valid time")
-    for name, chains in REQUIRED.items():
-        for alternatives in chains:
-            failure = failure.when((shape == name) & F.coalesce(*(value[c] for c in alternatives)).isNull(), f"no {CHAINS[alternatives[0]][0]}")
-    made = {
-        "kind": F.when(shape == "process_start_audit", "process_start").otherwise(shape),
-        "pid": F.coalesce(F.when(starts | of("process_exit", "image_load"), number("process_id")), F.when(network, number("net_pid")), F.when(of("wmi_process"), number("wmi_created_pid")), F.col("header_pid")),
-        "parent_pid": F.when(starts, number("parent_process_id")),
-        "image": pick(process_start=dos(text("image_name")), process_start_audit=dos(text("new_process_name"))),
-        "command_line": pick(process_start_audit=text("command_line"), wmi_process=text("wmi_command_line")),
-        "user_name": pick(process_start_audit=text("subject_user_name"), wmi_process=text("wmi_user"), task_registered=text("user_context")),
-        "reported_parent": pick(process_start_audit=dos(text("parent_process_name"))),
-        "integrity": pick(process_start_audit=dec.integrity_level(text("mandatory_label"))),
-        "exit_code": pick(process_exit=number("exit_code").cast("bigint").bitwiseAND(0xFFFFFFFF)),
-        "path": pick(image_load=dos(text("image_name")), file_create=dos(text("file_name")), file_delete=dos(text("file_name"))),
-        "new_path": pick(file_rename=dos(new_name)),
-        "old_path": pick(file_rename=dos(F.coalesce(text("file_old_name"), new_name))),
-        "key_path": pick(registry_set=registry_path(key)),
-        "value_name": pick(registry_set=text("value_name")),
-        "value_data": pick(registry_set=text("captured_data")),
-        "query_name": pick(dns_query=text("query_name")),
-        "query_type": pick(dns_query=F.coalesce(dec.query_type(number("query_type")), F.lit("A"))),
-        "script_text": pick(script_block=capped_text(text("script_text"))),
-        "script_block_id": pick(script_block=text("script_block_id")),
-        "script_path": pick(script_block=dos(text("script_path"))),
-        "source_ip": F.when(network, addresses["saddr"]),
-        "source_port": F.when(network, F.coalesce(number("sport", "int"), F.lit(0))),
-        "destination_ip": F.when(network, addresses["daddr"]),
-        "destination_port": F.when(network, F.coalesce(number("dport", "int"), F.lit(0))),
-        "bytes_sent": pick(network_disconnect=number("size")),
-        "client_machine": pick(wmi_process=text("wmi_client_machine")),
-        "is_local": pick(wmi_process=number("wmi_is_local") != 0),
-        "namespace": pick(wmi_subscription=text("wmi_namespace")),
-        "event_filter": pick(wmi_subscription=text("wmi_event_filter")),
-        "consumer": pick(wmi_subscription=text("wmi_consumer")),
-        "task_name": pick(task_registered=text("task_name")),
-    }
-    rows = rows.withColumn("us", filetime(F.col("ticks")))
-    keep = [c for c in rows.columns if c not in made and c not in ("fields", "mounts", "learned_key", "header_pid")]
-    return rows.select(*keep, F.when(shape.isNotNull(), failure).alias("failure"), *(c.alias(name) for name, c in made.items()))
+    us = filetime(F.col("ticks"))
+    keep = [c for c in raw.columns if c not in ("fields", "mounts", "learned_key", "pid", "us", "shape", "kernel", "kind", "failure", *TYPED)]
+    any_shape, out = F.lit(False), None
+    for provider, event_id, shape, kernel in SHAPES:
+        mine = (F.col("provider") == provider) & (F.col("event_id") == event_id)
+        any_shape = any_shape | mine
+        made = _fields(shape, learned, lambda c: dos_path(c, mounts))
+        kind = "process_start" if shape == "process_start_audit" else shape
+        typed = [made.get(name, F.lit(None)).cast(of).alias(name) for name, of in TYPED.items()]
+        pid = F.coalesce(made["pid"], F.col("pid")) if "pid" in made else F.col("pid")
+        part = raw.where(mine).select(*keep, us.alias("us"), pid.alias("pid"), *typed)
+        failure = F.when(F.col("us").isNull(), "not a valid time")
+        for alternatives, column in zip(REQUIRED[shape], _COLUMNS_OF[shape], strict=True):
+            failure = failure.when(F.col(column).isNull(), f"no {CHAINS[alternatives[0]][0]}")
+        part = part.select(*keep, "us", F.lit(shape).alias("shape"), F.lit(kernel).alias("kernel"), F.lit(kind).alias("kind"), failure.alias("failure"), "pid", *TYPED)
+        out = part if out is None else out.unionAll(part)
+    none = lambda of: F.lit(None).cast(of)
+    rest = raw.where(~F.coalesce(any_shape, F.lit(False))).select(*keep, us.alias("us"), none("string").alias("shape"), none("boolean").alias("kernel"), none("string").alias("kind"), none("string").alias("failure"), F.col("pid"), *(none(of).alias(name) for name, of in TYPED.items()))
+    return out.unionAll(rest)
 
 
 def with_image_metadata(loads: DataFrame, images: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from telarium.functions import scalars
 from telarium.operators import evidence as ev
 from telarium.operators import facts, rules, sigma
 from telarium.plans.register import TEL, Registry
-from telarium.sources.telemetry import telemetry
+from telarium.sources.telemetry import stored, telemetry
 
 R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
@@ -146,7 +146,7 @@ for _i, _name in enumerate(RULE_SQL):
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the native rules and of the SIGMA rules, which count alike from here on."""
-    events = telemetry(spark, sf_dir)
+    events = stored(spark, "telemetry", sf_dir, lambda: telemetry(spark, sf_dir))
     good, _ = sigma.load(SIGMA_RULES)
     return rules.findings(facts.enriched(events)).unionByName(sigma.hits(events, good))
 
@@ -193,6 +193,13 @@ def process_edges(spark, sf_dir):
     return facts.parents(telemetry(spark, sf_dir)).where("parent_id IS NOT NULL").select(F.col("parent_image").alias("src"), F.col("image").alias("dst")).distinct()
 
 
+@R.query(FACTS + """, e AS (SELECT id, us, host || ':' || coalesce(parent_image, '<unobserved>') AS src, host || ':' || image AS dst FROM fs),
+n AS (SELECT node, min((us, id)) AS first FROM (SELECT src AS node, us, id FROM e UNION ALL SELECT dst, us, id FROM e) GROUP BY node), k AS (SELECT e.*, min((us, id)) OVER (PARTITION BY src, dst) AS fe FROM e)
+SELECT k.id, CAST(CASE WHEN fe < (k.us, k.id) THEN 0 WHEN a.first < (k.us, k.id) AND b.first < (k.us, k.id) THEN 0.5 ELSE 1 END AS DOUBLE) AS score FROM k JOIN n a ON a.node = src JOIN n b ON b.node = dst""")
+def process_edge_novelty(spark, sf_dir):
+    return facts.edge_novelty(facts.process_edges(telemetry(spark, sf_dir))).select("id", "score")
+
+
 @R.query(EVIDENCE + " SELECT id, host, key, us, CAST(n_findings AS BIGINT) AS n_findings, round(log_odds, 6) AS log_odds FROM sc")
 def evidence_decay(spark, sf_dir):
     return scored(spark, sf_dir).select("id", "host", "key", "us", "n_findings", F.round("log_odds", 6).alias("log_odds"))

@@ -102,7 +102,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows of all 15 shapes with a property bag: alternate spellings, blanks, lost
     fields, times that are none and unknown ids."""
     c = F.col
-    rows = telemetry(spark, sf_dir).withColumn("shape", F.when((c("kind") == "process_start") & (c("id") % 3 == 0), "process_start_audit").otherwise(c("kind")))
+    rows = src.stored(spark, "telemetry", sf_dir, lambda: telemetry(spark, sf_dir))
     lost, other = c("id") % 17 == 0, c("id") % 11 == 0
     entry = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     plain = lambda chain, value: [entry(CHAINS[chain][0], value)]
@@ -132,15 +132,19 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "wmi_subscription": must("wmi_namespace", F.lit("root")) + must("wmi_event_filter", F.lit("filter")) + plain("wmi_consumer", c("consumer")),
         "task_registered": must("task_name", c("task_name")) + plain("user_context", c("user_name")),
     }
-    entries = F
-    for shape, found in bags.items():
-        entries = entries.when(c("shape") == shape, F.array(*found))
-    bag = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    table = spark.createDataFrame([(p, e, s) for p, e, s, _ in SHAPES], "provider string, event_id int, shape string")
-    rows = rows.drop("provider", "event_id").join(F.broadcast(table), "shape").withColumn("event_id", F.when(c("id") % 13 == 0, 9999).otherwise(c("event_id")))
     ticks = F.when(c("id") % 97 == 0, F.lit(5)).otherwise(c("us") * 10 + F.lit(116_444_736_000_000_000))
     mounts = F.array(*(F.struct(F.lit(d).alias("device"), F.lit(r).alias("root")) for d, r in _MOUNTS))
-    return rows.select("id", "host", c("us").alias("seen_us"), ticks.alias("ticks"), "provider", "event_id", F.lit(900).cast("bigint").alias("pid"), bag.alias("fields"), F.pmod("k", F.lit(6)).alias("level"), (100 + c("k")).alias("payload_bytes"), mounts.alias("mounts"))
+    out = None
+    for provider, event_id, shape, _ in SHAPES:
+        bag = F.map_from_entries(F.filter(F.array(*bags[shape]), lambda e: e["value"].isNotNull()))
+        audited = {"process_start": c("id") % 3 != 0, "process_start_audit": c("id") % 3 == 0}.get(shape, F.lit(True))
+        mine = rows.where((c("kind") == shape.removesuffix("_audit")) & audited)
+        part = mine.select(
+            "id", "host", c("us").alias("seen_us"), ticks.alias("ticks"), F.lit(provider).alias("provider"), F.when(c("id") % 13 == 0, 9999).otherwise(event_id).alias("event_id"),
+            F.lit(900).cast("bigint").alias("pid"), bag.alias("fields"), F.pmod("k", F.lit(6)).alias("level"), (100 + c("k")).alias("payload_bytes"), mounts.alias("mounts"),
+        )
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 #: (device, root) of each host here.
@@ -160,7 +164,8 @@ sh AS (SELECT *, CASE WHEN shape IS NULL THEN NULL WHEN id % 97 = 0 THEN 'not a
 
 def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All raw rows, translated; ``us`` is when the row was seen."""
-    return translate.translated(raw_events(spark, sf_dir), translate.shape_table(spark)).withColumn("decoded_us", F.col("us")).withColumn("us", F.col("seen_us"))
+    build = lambda: translate.translated(src.laid_out(raw_events(spark, sf_dir), "provider", "event_id"))
+    return src.stored(spark, "translated", sf_dir, build, "shape").withColumn("decoded_us", F.col("us")).withColumn("us", F.col("seen_us"))
 
 
 @R.query(f"WITH {_RAW} SELECT id, shape FROM sh")

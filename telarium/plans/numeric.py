@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telarium.functions import scalars as sc
 from telarium.operators import algebra as al
 from telarium.operators import facts, reports
 from telarium.plans.register import Registry
@@ -66,15 +67,22 @@ def _latency(spark, sf_dir):
     return rows.select(F.col("p_brand").alias("brand"), F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("days"))
 
 
-@R.query("WITH d AS (SELECT p_brand AS brand, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) SELECT brand, round(avg(days), 6) AS mean_days, round(greatest(0, avg(days) - 15), 6) AS exposure FROM d GROUP BY brand")
+@R.query("WITH d AS (SELECT p_brand AS brand, datediff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY days) AS rn, count(*) OVER (PARTITION BY brand) AS n FROM d) SELECT brand, round(avg(days), 6) AS mean_days, CAST(max(days) FILTER (rn = floor((n - 1) * 0.9 + 0.5) + 1) AS INTEGER) AS percentile, round(greatest(0, avg(days) - 15), 6) AS exposure FROM r GROUP BY brand")
 def patch_latency(spark, sf_dir):
-    return _latency(spark, sf_dir).groupBy("brand").agg(F.round(F.avg("days"), 6).alias("mean_days"), F.round(F.greatest(F.lit(0.0), F.avg("days") - 15), 6).alias("exposure"))
+    rows = reports.patch_latency(_latency(spark, sf_dir), "brand", "days", 15)
+    return rows.select("brand", F.round("mean_days", 6).alias("mean_days"), "percentile", F.round("exposure", 6).alias("exposure"))
 
 
 @R.query("WITH s AS (SELECT l_orderkey AS incident, l_linenumber AS step, l_quantity * 60 AS seconds, l_returnflag = 'N' AS parallel FROM lineitem), i AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY step, parallel, seconds) AS rn, count(*) FILTER (NOT parallel) OVER (PARTITION BY incident ORDER BY step, parallel, seconds) AS before FROM s), c AS (SELECT incident, parallel, CASE WHEN parallel THEN before ELSE rn END AS isl, max(seconds) AS most, sum(seconds) AS total FROM i GROUP BY ALL) SELECT incident, round(sum(most), 3) AS mttr, round(sum(total), 3) AS serial, round(86400 / (86400 + sum(most)), 6) AS availability FROM c GROUP BY incident")
 def mttr(spark, sf_dir):
     steps = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("incident"), F.col("l_linenumber").alias("step"), (F.col("l_quantity") * 60).alias("seconds"), (F.col("l_returnflag") == "N").alias("parallel"))
-    return al.mttr(steps).select("incident", F.round("mttr", 3).alias("mttr"), F.round("serial", 3).alias("serial"), F.round(86400 / (86400 + F.col("mttr")), 6).alias("availability"))
+    return al.mttr(steps).select("incident", F.round("mttr", 3).alias("mttr"), F.round("serial", 3).alias("serial"), F.round(al.availability(F.lit(86400.0), F.col("mttr")), 6).alias("availability"))
+
+
+@R.query("WITH s AS (SELECT s_nationkey AS site, avg(s_acctbal) / 5000 AS d, 0.5 + s_nationkey / 40.0 AS c, count(*) / 40.0 AS r FROM supplier GROUP BY s_nationkey), k AS (SELECT site, greatest(0, least(1, d)) AS d, greatest(0, least(1, c)) AS c, greatest(0, least(1, r)) AS r FROM s) SELECT site, round(d * c * r, 6) AS score, CASE WHEN d <= c AND d <= r THEN 'detection' WHEN c <= r THEN 'containment' ELSE 'recovery' END AS weakest FROM k")
+def resilience(spark, sf_dir):
+    rows = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("site")).agg((F.avg("s_acctbal") / 5000).cast("double").alias("detection"), (F.count("*") / 40.0).alias("recovery")).withColumn("containment", 0.5 + F.col("site") / 40.0)
+    return al.resilience(rows).select("site", F.round("score", 6).alias("score"), "weakest")
 
 
 @R.query("WITH d AS (SELECT p_brand AS site, p_partkey AS decoy, least(1, p_size / 50.0) AS f, (p_partkey % 10) / 10.0 AS t FROM part) SELECT site, round(sum(f * t), 6) AS yield, arg_max(decoy, (f * t, -decoy)) AS best FROM d GROUP BY site")
@@ -131,9 +139,11 @@ def fanout_ratio(spark, sf_dir):
     return reports.fanout_ratio(_edges(spark, sf_dir)).select("src", "degree", F.round("fanout", 6).alias("fanout"))
 
 
-@R.query("SELECT DISTINCT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT l_partkey FROM lineitem)")
+@R.query("WITH e AS (SELECT c_custkey AS src, c_custkey * 7 % 200 AS dst FROM customer) SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)")
 def isolated_nodes(spark, sf_dir):
-    return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")).distinct().join(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node")), "node", "left_anti")
+    """Nodes that no edge leads to."""
+    edges = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") * 7 % 200).alias("dst"))
+    return reports.unobserved(edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node")), "node")
 
 
 @R.query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
@@ -172,13 +182,22 @@ def trust_weighted(spark, sf_dir):
     return al.trust_weighted(rows, trust).select("s_suppkey", F.round("weighted", 6).alias("weighted"))
 
 
-@R.query("SELECT s_suppkey, round(n_nationkey / 25.0 * power(0.8, s_suppkey % 5), 6) AS trust FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@R.query("SELECT s_suppkey, round(n_nationkey / 25.0 * power(0.8, s_suppkey % 5), 6) AS trust, round(least(n_nationkey / 25.0, 0.5), 6) AS meet, round(greatest(n_nationkey / 25.0, 0.5), 6) AS join_ FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def trust_propagate(spark, sf_dir):
     rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.select("s_suppkey", F.round(F.col("n_nationkey") / 25.0 * F.pow(F.lit(0.8), F.col("s_suppkey") % 5), 6).alias("trust"))
+    origin = F.col("n_nationkey") / 25.0
+    both = (al.trust(origin), al.trust(F.lit(None).cast("double")))
+    return rows.select("s_suppkey", F.round(al.propagated(origin, F.lit(0.8), F.col("s_suppkey") % 5), 6).alias("trust"), F.round(F.least(*both), 6).alias("meet"), F.round(F.greatest(*both), 6).alias("join_"))
+
+
+@R.query("WITH i AS (SELECT s_nationkey AS source, CASE WHEN s_suppkey % 50 = 0 THEN 0.0 ELSE 0.9 END AS f FROM supplier WHERE s_suppkey % 3 = 0), g AS (SELECT source, product(f) AS f FROM i GROUP BY source) SELECT n_nationkey AS source, round(n_nationkey / 25.0 * coalesce(f, 1), 6) AS trust FROM nation LEFT JOIN g ON source = n_nationkey")
+def trust_degrade(spark, sf_dir):
+    sources = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), (F.col("n_nationkey") / 25.0).alias("trust"))
+    incidents = _t(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("source"), F.when(F.col("s_suppkey") % 50 == 0, 0.0).otherwise(0.9).alias("factor"))
+    return al.degraded(sources, incidents).select("source", F.round("trust", 6).alias("trust"))
 
 
-@R.query("WITH t AS (SELECT user_id AS actor, string_agg(event_type, '>' ORDER BY ts, event_id) AS actions FROM events GROUP BY user_id) SELECT actor, actions FROM t")
+@R.query("SELECT user_id AS actor, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS place, event_type AS action FROM events")
 def trace_actions(spark, sf_dir):
     return al.trace_actions(_trace(spark, sf_dir))
 
@@ -189,7 +208,19 @@ def _trace(spark, sf_dir):
 
 @R.query("WITH t AS (SELECT user_id AS actor, string_agg(event_type, '>' ORDER BY ts, event_id) AS actions FROM events GROUP BY user_id) SELECT actor, regexp_full_match(actions, '.*signup>(view>|click>)*purchase.*') AS matches FROM t")
 def trace_pattern(spark, sf_dir):
-    return al.trace_actions(_trace(spark, sf_dir)).select("actor", F.col("actions").rlike(r"\A.*signup>(view>|click>)*purchase.*\z").alias("matches"))
+    anything = ("star", ("any",))
+    browsing = ("star", ("alt", ("atom", "view"), ("atom", "click")))
+    return al.matching_traces(_trace(spark, sf_dir), ("seq", anything, ("atom", "signup"), browsing, ("atom", "purchase"), anything))
+
+
+@R.query("WITH c AS (SELECT user_id, max(event_id % 1000) FILTER (event_type = 'click') AS a, max(event_id % 1000) FILTER (event_type = 'view') AS b FROM events GROUP BY user_id), k AS (SELECT user_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM c), p AS (SELECT x.user_id, x.a, x.b, y.a AS c, y.b AS d FROM k x JOIN k y ON y.user_id = x.user_id + 1) SELECT user_id, a <= c AND b <= d AND (a < c OR b < d) AS before, (a < c OR b < d) AND (a > c OR b > d) AS concurrent FROM p")
+def happens_before(spark, sf_dir):
+    """Each actor's clock against the next actor's."""
+    rows = _t(spark, sf_dir, "events").where("event_type IN ('click', 'view')").select("user_id", F.create_map("event_type", F.col("event_id") % 1000).alias("clock"))
+    known = _t(spark, sf_dir, "events").select("user_id").distinct()
+    clocks = known.join(al.clock_merge(rows, "user_id", "clock"), "user_id", "left").withColumn("clock", F.coalesce("clock", F.create_map().cast("map<string,bigint>")))
+    pairs = clocks.join(clocks.select((F.col("user_id") - 1).alias("user_id"), F.col("clock").alias("next")), "user_id")
+    return pairs.select("user_id", al.happens_before(F.col("clock"), F.col("next")).alias("before"), al.concurrent(F.col("clock"), F.col("next")).alias("concurrent"))
 
 
 @R.query("WITH t AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id AS actor, (user_id * 7) % 150 AS target FROM events) SELECT count(*) AS links, CAST(sum(a_id) AS BIGINT) AS checksum FROM (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM t a JOIN t b ON (a.actor = b.actor OR a.target = b.actor) AND (a.us < b.us OR a.us = b.us AND a.id < b.id) AND b.us - a.us <= 21600000000)")
@@ -203,8 +234,27 @@ def payload_access(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.missing", "string").isNull().alias("absent"))
 
 
-@R.query("SELECT event_type, round(avg(CASE WHEN value / 1000.0 > 1.0 / 21 THEN 0 ELSE 20 * least(1, greatest(0, value / 1000.0)) END), 6) AS regret FROM events WHERE value IS NOT NULL GROUP BY event_type")
+@R.query("WITH e AS (SELECT event_type, least(1, greatest(0, value / 1000.0)) AS p, event_id % 2 = 0 AS acted, 1.0 + event_id % 3 AS a, 1.0 + event_id % 5 AS b FROM events WHERE value IS NOT NULL) SELECT event_type, round(avg(greatest(0, CASE WHEN acted THEN a * (1 - p) ELSE b * p END - least(a * (1 - p), b * p))), 6) AS regret, count(*) FILTER (a <= b) AS minimax_acts, round(avg(a * 1.2 / (a * 1.2 + b * 0.8)), 6) AS robust_threshold FROM e GROUP BY event_type")
 def regret(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").where("value IS NOT NULL")
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 1000.0))
-    acts = F.col("value") / 1000.0 > 1.0 / 21
-    return _t(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.round(F.avg(F.when(acts, 0.0).otherwise(20 * p)), 6).alias("regret"))
+    a, b = 1.0 + F.col("event_id") % 3, 1.0 + F.col("event_id") % 5
+    return rows.groupBy("event_type").agg(F.round(F.avg(al.regret(p, a, b, F.col("event_id") % 2 == 0)), 6).alias("regret"), F.count_if(al.minimax_acts(a, b)).alias("minimax_acts"), F.round(F.avg(al.robust_threshold(a, b, F.lit(0.2))), 6).alias("robust_threshold"))
+
+
+@R.query("WITH h AS (SELECT c_nationkey AS c, c_mktsegment AS hypothesis, sum(c_acctbal) - 5000 AS weight FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY ALL), g AS (SELECT * FROM h WHERE weight > 0) SELECT c, hypothesis, round(weight / sum(weight) OVER (PARTITION BY c), 6) AS share FROM g")
+def information_refined(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("case"), F.col("c_mktsegment").alias("ord")).agg((F.sum("c_acctbal") - 5000).alias("weight"))
+    return al.refined(rows, F.col("ord") != "BUILDING").select(F.col("case").alias("c"), F.col("ord").alias("hypothesis"), F.round("share", 6).alias("share"))
+
+
+@R.query("SELECT o_custkey % 10 AS queue, CASE WHEN o_custkey % 10 = 3 THEN CAST('Infinity' AS DOUBLE) ELSE round(sum(o_orderkey % 7) / (o_custkey % 10 - 3.0), 6) END AS overload FROM orders WHERE o_custkey % 10 >= 3 GROUP BY o_custkey % 10")
+def overload(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").where("o_custkey % 10 >= 3").groupBy((F.col("o_custkey") % 10).alias("queue")).agg(F.sum(F.col("o_orderkey") % 7).alias("rate"))
+    return rows.select("queue", F.round(al.overload(F.col("rate"), F.col("queue") - 3.0), 6).alias("overload"))
+
+
+@R.query("SELECT event_id, least(60000, 500 * power(2, least(event_id % 40, 30))::BIGINT) AS delay_ms, event_id % 40 < 5 AS restart FROM events")
+def restart_backoff(spark, sf_dir):
+    n = F.col("event_id") % 40
+    return _t(spark, sf_dir, "events").select("event_id", sc.backoff(n, 500, 60_000).alias("delay_ms"), sc.may_restart(n, 5).alias("restart"))

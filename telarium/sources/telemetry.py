@@ -6,9 +6,12 @@ runs in Spark and in DuckDB (``{us}`` is the engine's microseconds of ``ts``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from telarium.checkpoint import folder
 from telarium.sources.shapes import SHAPES
 
 SPARK_US, DUCKDB_US = "unix_micros(cast(ts AS timestamp))", "epoch_us(ts)"
@@ -94,6 +97,32 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql.replace("FROM events", "FROM {events}").replace("FROM documents", "FROM {documents}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def laid_out(events: DataFrame, *by: str) -> DataFrame:
+    """``events`` written to the shared folder by kind (or ``by``) and read back, as such a table lies on
+    disk: a pass over some kinds then reads their files and its own columns only."""
+    spark = events.sparkSession
+    at = f"{folder(spark)}/telemetry-{uuid.uuid4().hex}"
+    events.write.partitionBy(*(by or ("kind",))).parquet(at)
+    return spark.read.schema(events.schema).parquet(at)
+
+
+_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def stored(spark: SparkSession, name: str, sf_dir: str, build, *by: str) -> DataFrame:
+    """A table derived from the input tables, written once a session by kind (or ``by``) as ingest would leave it.
+
+    It holds whole tables. An application that sees its input change calls ``build`` itself.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _STORED:
+        rows, at = build(), f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*(by or ("kind",))).parquet(at)
+        _STORED[key] = (at, rows.schema)
+    at, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(at)
+
+
 EVENT_FIELDS = "id bigint, host string, timestamp timestamp, received_at timestamp, schema_version int, source string, provider string, event_id int, pid bigint, tid bigint, level int, kind string, payload string"
 ALERT_FIELDS = "id string, rule_id string, title string, description string, severity string, timestamp timestamp, host string, events array<bigint>, mitre_techniques array<string>, count int, status string"
 BATCH_SCHEMA = f"batch_id string, sent_at timestamp, events array<struct<{', '.join(f.replace(' ', ':', 1) for f in EVENT_FIELDS.split(', '))}>>, alerts array<struct<{', '.join(f.replace(' ', ':', 1) for f in ALERT_FIELDS.split(', '))}>>"
