@@ -27,6 +27,8 @@ def evidence(findings: DataFrame, half_life_s: float = HALF_LIFE_S, prior: float
     and ``body``, the minimised details of its findings in rule order (a few dozen at most)."""
     ratio = log_ratio(F.col("hit"), F.col("miss"))
     best = F.max(F.struct(ratio.alias("ratio"), "ord", "rule", "technique"))
+    if "detail" not in findings.columns:
+        findings = findings.withColumn("detail", F.lit(None).cast("string"))
     events = findings.groupBy("id", "host", "us", F.col("pid").alias("key")).agg(F.sum(ratio).alias("gain"), best.alias("best"), F.count("*").cast("long").alias("n_findings"), F.sort_array(F.collect_list(F.struct("ord", "technique", "detail"))).alias("told"))
     body = F.array_join(F.transform("told", lambda x: F.concat(x["technique"], F.lit(": "), F.coalesce(minimise(x["detail"]), F.lit("")))), "; ")
     unit = half_life_s * 1e6
