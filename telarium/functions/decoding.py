@@ -44,14 +44,16 @@ def _ip4(digits: Column, at: int) -> Column:
     return F.concat_ws(".", *(_byte(digits, at + i) for i in range(4)))
 
 
+#: Zero groups in a row, the longest first; the text before and behind a run are groups of their own.
+_ZERO_RUNS = "|".join(f"(.*?)(?:^|:)0(?::0){{{run - 1}}}(?:$|:)(.*)" for run in range(8, 1, -1))
+_SHORTENED = "".join(f"${i}" for i in range(1, 15, 2)) + "::" + "".join(f"${i}" for i in range(2, 15, 2))
+
+
 def _ip6(digits: Column, at: int) -> Column:
     """Shortest form: the first of the longest runs of zero groups becomes ``::``."""
-    groups = [F.substring(digits, 2 * at + 4 * i + 1, 4) for i in range(8)]
-    plain = F.concat_ws(":", *(F.regexp_replace(g, "^0{1,3}", "") for g in groups))
-    out = plain
-    for run in range(2, 9):
-        around = f"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?:$|:)(.*)$"
-        out = F.when(plain.rlike(around), F.concat(F.regexp_extract(plain, around, 1), F.lit("::"), F.regexp_extract(plain, around, 2))).otherwise(out)
+    groups = F.regexp_replace(F.substring(digits, 2 * at + 1, 32), "(.{4})(?!$)", "$1:")
+    plain = F.regexp_replace(groups, "(^|:)0{1,3}", "$1")
+    out = F.regexp_replace(plain, f"^(?:{_ZERO_RUNS})$", _SHORTENED)
     mapped = F.substring(digits, 2 * at + 1, 24) == "0" * 20 + "ffff"
     return F.when(mapped, F.concat(F.lit("::ffff:"), _ip4(digits, at + 12))).otherwise(out)
 

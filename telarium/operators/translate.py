@@ -86,7 +86,6 @@ _COLUMNS_OF = {
 
 def _fields(shape: str, learned: Column, dos) -> dict[str, Column]:
     """The typed columns of a shape; ``pid`` only where the event names its process."""
-    network = {"pid": number("net_pid"), "source_ip": address("saddr"), "source_port": F.coalesce(number("sport", "int"), F.lit(0)), "destination_ip": address("daddr"), "destination_port": F.coalesce(number("dport", "int"), F.lit(0))}
     start = {"pid": number("process_id"), "parent_pid": number("parent_process_id")}
     new_name = F.coalesce(text("file_new_name"), text("file_old_name"))
     match shape:
@@ -108,10 +107,9 @@ def _fields(shape: str, learned: Column, dos) -> dict[str, Column]:
             return {"path": dos(text("file_name"))}
         case "file_rename":
             return {"new_path": dos(new_name), "old_path": dos(F.coalesce(text("file_old_name"), new_name))}
-        case "network_connect":
-            return network
-        case "network_disconnect":
-            return network | {"bytes_sent": number("size")}
+        case "network_connect" | "network_disconnect":
+            network = {"pid": number("net_pid"), "source_ip": address("saddr"), "source_port": F.coalesce(number("sport", "int"), F.lit(0)), "destination_ip": address("daddr"), "destination_port": F.coalesce(number("dport", "int"), F.lit(0))}
+            return network if shape == "network_connect" else network | {"bytes_sent": number("size")}
         case "wmi_process":
             return {"pid": number("wmi_created_pid"), "command_line": text("wmi_command_line"), "user_name": text("wmi_user"), "client_machine": text("wmi_client_machine"), "is_local": number("wmi_is_local") != 0}
         case "wmi_subscription":
@@ -131,13 +129,15 @@ def translated(raw: DataFrame) -> DataFrame:
     learned = F.col("learned_key") if "learned_key" in raw.columns else F.lit(None).cast("string")
     us = filetime(F.col("ticks"))
     keep = [c for c in raw.columns if c not in ("fields", "mounts", "learned_key", "pid", "us", "shape", "kernel", "kind", "failure", *TYPED)]
+    none = lambda of: F.lit(None).cast(of)
+    empty = {name: none(of).alias(name) for name, of in TYPED.items()}
     any_shape, out = F.lit(False), None
     for provider, event_id, shape, kernel in SHAPES:
         mine = (F.col("provider") == provider) & (F.col("event_id") == event_id)
         any_shape = any_shape | mine
         made = _fields(shape, learned, lambda c: dos_path(c, mounts))
         kind = "process_start" if shape == "process_start_audit" else shape
-        typed = [made.get(name, F.lit(None)).cast(of).alias(name) for name, of in TYPED.items()]
+        typed = [made[name].cast(of).alias(name) if name in made else empty[name] for name, of in TYPED.items()]
         pid = F.coalesce(made["pid"], F.col("pid")) if "pid" in made else F.col("pid")
         part = raw.where(mine).select(*keep, us.alias("us"), pid.alias("pid"), *typed)
         failure = F.when(F.col("us").isNull(), "not a valid time")
@@ -145,8 +145,7 @@ def translated(raw: DataFrame) -> DataFrame:
             failure = failure.when(F.col(column).isNull(), f"no {CHAINS[alternatives[0]][0]}")
         part = part.select(*keep, "us", F.lit(shape).alias("shape"), F.lit(kernel).alias("kernel"), F.lit(kind).alias("kind"), failure.alias("failure"), "pid", *TYPED)
         out = part if out is None else out.unionAll(part)
-    none = lambda of: F.lit(None).cast(of)
-    rest = raw.where(~F.coalesce(any_shape, F.lit(False))).select(*keep, us.alias("us"), none("string").alias("shape"), none("boolean").alias("kernel"), none("string").alias("kind"), none("string").alias("failure"), F.col("pid"), *(none(of).alias(name) for name, of in TYPED.items()))
+    rest = raw.where(~F.coalesce(any_shape, F.lit(False))).select(*keep, us.alias("us"), none("string").alias("shape"), none("boolean").alias("kernel"), none("string").alias("kind"), none("string").alias("failure"), F.col("pid"), *empty.values())
     return out.unionAll(rest)
 
 
