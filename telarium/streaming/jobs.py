@@ -6,11 +6,13 @@ of their own before the watermark; the batch job picks them up.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from telarium.functions.scalars import log_ratio
@@ -31,6 +33,57 @@ def split_late(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.where(~late), events.where(late)
 
 
+def process_parents(events: DataFrame, forget_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(id, host, parent_id, parent_image, siblings) of each process start, as ``facts.with_facts`` gives them.
+
+    The state is that of one (host, pid), three values, so a busy host is not
+    one task: a start is a record under its own pid and a look-up under its
+    parent's. It goes with the process's exit, or ``forget_ms`` after the last
+    event that touched it. Order is (us, id) inside a micro-batch.
+    """
+    rows = events.where("kind IN ('process_start', 'process_exit')")
+    lookup = F.struct(F.col("parent_pid").alias("key"), F.lit(0).alias("turn"))
+    own = F.struct(F.col("pid").alias("key"), F.when(F.col("kind") == "process_start", 1).otherwise(2).alias("turn"))
+    turns = F.when(F.col("kind") == "process_start", F.array(lookup, own)).otherwise(F.array(own))
+    rows = rows.select("host", "us", "id", "image", F.explode(turns).alias("t")).select("host", "t.key", "t.turn", "us", "id", "image")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parent, image, children = state.get if state.exists else (None, None, 0)
+        out = []
+        for turn, row, name in pd.concat(list(batches)).sort_values(["us", "id", "turn"])[["turn", "id", "image"]].itertuples(index=False, name=None):
+            if turn == 0:
+                out.append((int(row), key[0], parent, image, children if parent is not None else 0))
+                children += parent is not None
+            else:
+                parent, image, children = (int(row), name, 0) if turn == 1 else (None, None, 0)
+        if parent is not None:
+            state.update((parent, image, children))
+            state.setTimeoutDuration(forget_ms)
+        elif state.exists:
+            state.remove()
+        made = pd.DataFrame(out, columns=["id", "host", "parent_id", "parent_image", "siblings"])
+        yield made.astype({"parent_id": "Int64"})
+
+    schema = "id long, host string, parent_id long, parent_image string, siblings long"
+    return rows.groupBy("host", "key").applyInPandasWithState(step, schema, "parent long, image string, children long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def image_sightings(events: DataFrame) -> DataFrame:
+    """(id, host, sighting) of each process start: how often its host started that image up to it. The state of an image is one number."""
+    rows = events.where("kind = 'process_start'").select("host", F.lower("image").alias("name"), "us", "id")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else (0,)
+        new = pd.concat(list(batches)).sort_values(["us", "id"])
+        state.update((seen + len(new),))
+        yield pd.DataFrame({"id": new["id"], "host": key[0], "sighting": range(seen + 1, seen + len(new) + 1)})
+
+    return rows.groupBy("host", "name").applyInPandasWithState(step, "id long, host string, sighting long", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
 def decayed_evidence(findings: DataFrame, half_life_s: float) -> DataFrame:
     """Evidence of each (host, key) after each event; a key's state is two numbers."""
     rows = findings.select("host", F.col("pid").alias("key"), "us", "id", log_ratio(F.col("hit"), F.col("miss")).alias("gain"))
@@ -86,10 +139,109 @@ def deduplicated(batches: DataFrame, horizon: str = "1 hour") -> DataFrame:
     return batches.withWatermark("sent_at", horizon).dropDuplicatesWithinWatermark(["batch_id"])
 
 
-def shape_windows(raw: DataFrame) -> DataFrame:
-    """Counts of shapes by host and 10-minute window, for gap detection."""
-    rows = raw.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", LATE)
-    return rows.groupBy("host", F.window("ts", "10 minutes").alias("win"), "shape").agg(F.count("*").alias("attempted"), F.count_if(F.col("failure").isNull()).alias("mapped"))
+def closed_windows(raw: DataFrame, shapes: list[tuple[str, bool]], window: str = "10 minutes") -> DataFrame:
+    """One row of counts for each host and window that the watermark has passed, to be written as a table that ``gaps`` follows.
+
+    ``shapes``: (shape, whether the kernel's side fires it), a fixed list of at most 63.
+    """
+    rows = raw.where("shape IS NOT NULL").withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", LATE)
+    counts = [F.count_if(F.col("shape") == name).alias(f"a{i}") for i, (name, _) in enumerate(shapes)]
+    counts += [F.count_if((F.col("shape") == name) & F.col("failure").isNull()).alias(f"m{i}") for i, (name, _) in enumerate(shapes)]
+    closed = rows.groupBy("host", F.window("ts", window).alias("w")).agg(*counts)
+    return closed.select("host", F.expr("unix_micros(w.start) div (unix_micros(w.end) - unix_micros(w.start))").alias("win"), *(c for c in closed.columns if c[0] in "am" and c[1:].isdigit()))
+
+
+def gaps(closed: DataFrame, shapes: list[tuple[str, bool]]) -> DataFrame:
+    """Silent shapes and decode failures of each closed window, as ``reports.telemetry_gaps`` gives them.
+
+    The state of a host is one number whose bits say which shapes have ever fired.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (fired,) = state.get if state.exists else (0,)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("win").to_dict("records"):
+            tried = [int(row[f"a{i}"]) for i in range(len(shapes))]
+            active = {side: any(n for n, (_, kernel) in zip(tried, shapes, strict=True) if kernel == side) for side in (True, False)}
+            for i, (name, kernel) in enumerate(shapes):
+                mapped = int(row[f"m{i}"])
+                if not tried[i] and fired >> i & 1 and active[not kernel]:
+                    out.append((key[0], int(row["win"]), name, "silent", 2, 0, 0))
+                elif tried[i] > mapped:
+                    out.append((key[0], int(row["win"]), name, "decode_failure", 1, tried[i], mapped))
+            fired |= sum(1 << i for i, n in enumerate(tried) if n)
+        state.update((fired,))
+        yield pd.DataFrame(out, columns=["host", "win", "shape", "state", "severity", "attempted", "mapped"])
+
+    schema = "host string, win long, shape string, state string, severity int, attempted long, mapped long"
+    return closed.groupBy("host").applyInPandasWithState(step, schema, "fired long", "append", GroupStateTimeout.NoTimeout)
+
+
+def liveness(beats: DataFrame, interval_ms: int, grace_ms: int, late: str = LATE) -> DataFrame:
+    """(sensor, at_ms, state) whenever a sensor (sensor, ms) turns alive or stale.
+
+    It is stale from the first millisecond after its deadline, which a timer
+    watches in event time; a beat from before the latest one changes nothing.
+    """
+    rows = beats.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
+    patience = interval_ms + max(grace_ms, 0)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, alive = state.get if state.exists else (-1, False)
+        out = []
+        if not state.hasTimedOut:
+            for ms in sorted(int(x) for batch in batches for x in batch["ms"]):
+                if alive and ms > last + patience:
+                    out.append((key[0], last + patience + 1, "stale"))
+                    alive = False
+                last = max(last, ms)
+                if not alive and ms == last:
+                    out.append((key[0], ms, "alive"))
+                    alive = True
+        if alive and last + patience < state.getCurrentWatermarkMs():
+            out.append((key[0], last + patience + 1, "stale"))
+            alive = False
+        state.update((last, alive))
+        if alive:
+            state.setTimeoutTimestamp(last + patience + 1)
+        yield pd.DataFrame(out, columns=["sensor", "at_ms", "state"])
+
+    return rows.groupBy("sensor").applyInPandasWithState(step, "sensor string, at_ms long, state string", "last long, alive boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def metered(rows: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """``rows``, whose ``counts`` (aggregates) a ``Counters`` listener adds up under their names."""
+    return rows.observe(name, *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()))
+
+
+class Counters(StreamingQueryListener):
+    """Totals over all micro-batches of the session's streams: what ``metered`` counts, and ``errors``, the queries that failed."""
+
+    def __init__(self):
+        self._lock, self._totals = threading.Lock(), {"errors": 0}
+
+    def totals(self) -> dict[str, int]:
+        with self._lock:
+            return dict(self._totals)
+
+    def _add(self, name: str, n: int) -> None:
+        with self._lock:
+            self._totals[name] = self._totals.get(name, 0) + n
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for row in event.progress.observedMetrics.values():
+            for name, n in row.asDict().items():
+                self._add(name, int(n or 0))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception is not None:
+            self._add("errors", 1)
 
 
 def merge_alerts(path: str):
