@@ -80,7 +80,7 @@ def _members(tokens: DataFrame) -> dict[int, _Members]:
     """The map of each token length; Spark sets the bits, 64 to a row."""
     out = {}
     for size, count in tokens.groupBy("token_words").agg(F.count("*")).collect():
-        bits = min(MAX_BITS, max(12, (16 * count).bit_length()))
+        bits = min(MAX_BITS, max(12, (256 * count).bit_length()))  # at most one word in 256 is let through in vain
         at = F.shiftrightunsigned("token", 64 - bits)
         rows = tokens.where(F.col("token_words") == size).groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - bits}) & 63 AS int))")).alias("set")).toArrow()
         words = np.zeros(1 << (bits - 6), np.uint64)
