@@ -41,8 +41,8 @@ CACHE_UNITS = 700_000
 LONG = 160
 _NONE = 1 << 60
 #: Fixed value: the characters with the Unicode property White_Space.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 
 
 def byte_letters() -> dict[str, int]:

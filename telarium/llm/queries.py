@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telarium.llm import bpe, decontaminate, html_text, near_dup, personal_data, quality_lm, quality_rules, secret_scan, token_rollup, url_filter
-from telarium.llm.common import cut, table
+from telarium.llm import bpe, decontaminate, html_text, id_store, near_dup, period_runs, personal_data, quality_lm, quality_rules, secret_scan, token_alignment, token_rollup, url_filter
+from telarium.llm.common import cut, folder, table
 
 #: The vocabulary of the production queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The sentencepiece model that it is aligned with.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Tokenizer versions of the roll-up.
 OLD, NEW = "byte_bpe_50k", "byte_bpe_multi_50k"
 
@@ -74,7 +78,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
+def op11_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    at = f"{folder(spark)}/ids-{uuid.uuid4().hex}"
+    id_store.write(docs, VOCABULARY, at)
+    return id_store.get(spark, at, docs, ids=False)
+
+
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES, groups=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_lm, op2_bpe, op3_minhash, op4_token_rollup, op5_personal_data, op6_secrets, op7_url_cascade, op8_decontaminate, op9_html_text, op10_quality_rules)
+    for f in (op1_quality_lm, op2_bpe, op3_minhash, op4_token_rollup, op5_personal_data, op6_secrets, op7_url_cascade, op8_decontaminate, op9_html_text, op10_quality_rules, op11_id_store, op12_period_runs, op13_token_alignment)
 }
