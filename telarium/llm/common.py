@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from telarium.checkpoint import cut, folder
 
-__all__ = ["blocks", "cut", "folder", "same", "table", "text_hash", "texts_of", "with_fields"]
+__all__ = ["blocks", "cut", "folder", "row_of", "same", "table", "text_hash", "texts_of", "unpacked", "with_fields"]
 
 #: Bytes of text that one numpy step works on; a longer text is a step alone.
 BLOCK_BYTES = 1 << 20
@@ -33,6 +33,17 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_of(df: DataFrame, *without: str) -> Column:
+    """The caller's row as one struct, so that no name of ours can clash with one of its columns."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
+def unpacked(df: DataFrame, row: str = "row", **new: Column) -> DataFrame:
+    """The columns of the struct ``row``; those named in ``new`` are replaced, others of ``new`` are added."""
+    names = df.schema[row].dataType.names
+    return df.select(*(new.get(c, F.col(row).getField(c)).alias(c) for c in names), *(v.alias(c) for c, v in new.items() if c not in names))
+
+
 def same(*pairs: tuple[Column, Column]) -> Column:
     """Null-safe equality of several columns."""
     out = None

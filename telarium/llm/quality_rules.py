@@ -12,8 +12,9 @@ operator), while documents that differ in any line count apart.
 
 One pass over the texts leaves a row of numbers for each document and 16 bytes
 for each line; every later step works on those. Line counts are aggregated in
-two levels (line and document, then line), so a line in a third of all
-documents is no hot key. Windows and lines are compared by 64-bit hashes.
+two levels (line and document, then line), and frequent lines are broadcast while
+they are few, else joined salted, so a line in a third of all documents is no
+hot key. A text of n lines costs n log n. Windows and lines are compared by 64-bit hashes.
 
 Defined cases: null text has no words and fails the base rules. A null host is
 a host of its own. Rows that agree in ``doc_id`` and text get the same verdict.
@@ -24,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telarium.llm.common import cut, same, text_hash
+from telarium.llm.common import cut, row_of, same, text_hash, unpacked
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MAX_DOCUMENTS, MAX_REMOVED_PERCENT = 50, 70
+#: Frequent lines that are broadcast (8 bytes each); beyond, each goes to so many partitions.
+LINES_SENT, SALTS = 1_000_000, 32
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -43,7 +46,7 @@ def _line_key(host: Column, line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, part, the base figures and the hashed lines; one row for each row."""
+    """id, doc_id, part, the base figures and the hashed lines with their words and places; one row for each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = F.col("source").cast("string")
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
@@ -52,7 +55,10 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id", text_hash(F.col("text").cast("string")).alias("part"), words.alias("words"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.transform(F.filter(_normal_lines(text), lambda x: x != ""), lambda x: F.struct(_line_key(host, x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"))).alias("lines"),
+        F.filter(
+            F.transform(_normal_lines(text), lambda x, i: F.when(x != "", F.struct(_line_key(host, x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"), i.alias("at")))),
+            lambda x: x.isNotNull(),
+        ).alias("lines"),
     )
     n = F.size("words")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
@@ -78,15 +84,22 @@ def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataF
     return pairs.groupBy("h").agg(F.count("*").alias("documents")).where(F.col("documents") > max_documents).select("h")
 
 
+def _removed(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(id, gone, removed): words in, and places of, the lines that are frequent."""
+    lines = rows.select("id", F.explode("lines").alias("x")).select("id", "x.*")
+    if hot.count() <= LINES_SENT:
+        found = lines.join(F.broadcast(hot), "h", "left_semi")
+    else:
+        salted = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
+    return found.groupBy("id").agg(F.sum("w").cast("long").alias("gone"), F.collect_list("at").alias("removed"))
+
+
 def verdicts(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """A row for each row of ``docs``: base figures, frequent lines, kept."""
-    rows = cut(measured(docs))
-    hot = frequent_lines(rows, max_documents)
-    found = rows.select("doc_id", "part", F.explode(F.array_distinct("lines.h")).alias("h")).join(hot, "h", "left_semi")
-    found = found.groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.collect_set("h").alias("removed"))
-    out = rows.join(found, same((F.col("doc_id"), F.col("d")), (F.col("part"), F.col("p"))), "left").drop("d", "p")
-    gone = F.aggregate(F.filter("lines", lambda x: F.coalesce(F.array_contains("removed", x["h"]), F.lit(False))), F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
-    out = out.withColumn("n_removed_words", gone).drop("lines")
+    """A row for each row of ``docs``: base figures, words and places of frequent lines, kept."""
+    rows = cut(measured(docs).withColumn("id", F.monotonically_increasing_id()))
+    found = _removed(rows, cut(frequent_lines(rows, max_documents)))
+    out = rows.drop("lines").join(found, "id", "left").withColumn("n_removed_words", F.coalesce("gone", F.lit(0).cast("long"))).drop("id", "gone")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("n_removed_words") < MIN_WORDS) | (100 * F.col("n_removed_words") > MAX_REMOVED_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
@@ -94,11 +107,13 @@ def verdicts(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
 
 def keep_good(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The kept documents, without their frequent lines; columns as in ``docs``."""
-    good = verdicts(docs, max_documents).where("kept").groupBy(F.col("doc_id").alias("d__"), F.col("part").alias("p__")).agg(F.first("removed").alias("r__"))
-    out = docs.join(good, same((F.col("doc_id"), F.col("d__")), (text_hash(F.col("text")), F.col("p__"))))
-    host = F.col("source").cast("string")
-    # lines and their normal forms go side by side: both are cut at the same line ends
-    kept = F.filter(F.arrays_zip(F.split("text", "\n").alias("raw"), _normal_lines(F.col("text")).alias("key")), lambda x: ~F.array_contains("r__", _line_key(host, x["key"])))
-    text = F.when(F.col("r__").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n"))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*columns)
+    good = verdicts(docs, max_documents).where("kept").groupBy(F.col("doc_id").alias("d"), F.col("part").alias("p")).agg(F.first("removed").alias("removed"))
+    text = F.col("text").cast("string")
+    rows = docs.select(row_of(docs).alias("row"), "doc_id", text.alias("text"), text_hash(text).alias("part"))
+    out = rows.join(good, same((F.col("doc_id"), F.col("d")), (F.col("part"), F.col("p"))))
+    # places of the lines that stay, in order; a set operation, as texts may have very many lines
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")
+    cleaned = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    out = out.withColumn("lines", lines).select("row", cleaned.alias("text"))
+    return unpacked(out, text=F.col("text"), **({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}))
