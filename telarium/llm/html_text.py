@@ -7,18 +7,24 @@ subtrees in more than ``MAX_PAGES`` pages of a host are deleted. Pages that are
 copies of each other count once (a page is the hash of its whole tree), so an
 article copied over a site is no template. Elements whose role is plain
 (menus, headers, footers, asides, forms, scripts, adverts, notices, reader
-comments) are deleted on any page. If the page names its article, the text is
-taken from there; paragraphs and headings inside it are never templates.
+comments) are deleted on any page: by their tag or role, or by a class or id
+that is one of these words or a usual compound of them as a whole (a wrapper
+of class ``has-sidebar`` or ``nav-open`` is none). If the page names its
+article, the text is taken from there, also from inside an element that would
+be deleted by its class, if there is no other; paragraphs and headings inside
+it are never templates.
 
 Hashes are counted in two levels (host, hash and page, then host and hash), so
-a host with a third of all pages is no hot key. The templates are broadcast
-while they have at most ``HASHES_SENT`` hashes, and then no html is shuffled.
-Beyond that, pages meet them in shares of a host of some ``PAGES_A_SHARE``
-pages, each with a copy of the host's list.
+a host with a third of all pages is no hot key. The templates are sent to tasks
+once, 8 bytes each, while they are at most ``HASHES_SENT``, and then no html is
+shuffled. Beyond that, a host is dealt to shares of some ``PAGES_A_SHARE``
+pages; a task reads a share's hashes (8 bytes each), then its pages.
 
 Defined cases: null html or a page without text gives the empty string. White
 space is what Unicode says. A null or odd url has the empty host. Every row
-gives one row. A page of any length is read whole.
+gives one row; an empty table gives an empty one. A page of any length is read
+whole. Columns of the caller are carried, whatever their names; ``text`` and
+``n_chars`` are replaced, ``html`` goes.
 """
 
 from __future__ import annotations
@@ -32,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telarium.llm.common import cut, with_fields
+from telarium.llm.common import cut, row_of, unpacked
 from telarium.llm.url_filter import with_host_and_path
 
 MAX_PAGES = 20
@@ -51,7 +58,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul br".split())
 _DROP = frozenset("head title nav aside footer form menu dialog button select option datalist fieldset input label search script style noscript template textarea iframe svg math object audio video canvas".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|gdpr|notices?|sidebar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|overlay|widget|toolbar|pagination)(?:$|[\s_-])", re.I)
+#: Classes and ids that say what is deleted, each as a whole.
+_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu navbar navigation nav breadcrumb breadcrumbs footer comments disqus replies share sharing social related recommended newsletter subscribe popup modal overlay widget widgets toolbar pagination pager".split())
+_OUTSIDE = frozenset("header masthead".split())
+_FIRST = "ad ads advert banner cookie cookies consent site page global main primary secondary top bottom left right nav sub reader user comment comments related social share sharing newsletter sidebar footer".split()
+_LAST = "ad ads advert banner slot unit box bar notice notices sidebar menu nav navbar navigation footer comments list section form posts articles stories links buttons icons signup popup modal overlay widget widgets block".split()
+#: Compounds as sites write them: the first word says what it is, or the last does.
+_COMPOUND = re.compile(rf"(?:ads?|advert|banner|cookies?|consent|comments?|related|social|shar(?:e|ing)|newsletter)[-_](?:{'|'.join(_LAST)})|(?:{'|'.join(_FIRST)})[-_](?:ads?|advert|banner|notices?|sidebar|menu|nav|navbar|navigation|footer|comments)")
+_COMPOUND_OUTSIDE = re.compile("(?:site|page|global|top|main)[-_](?:header|masthead)")
 _CLOSES_P = _BLOCK - {"br", "body", "html", "head", "title", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 _FOREIGN = frozenset(("svg", "math"))
@@ -66,29 +80,36 @@ _ROOTS = frozenset(("html", "body", "article", "main", "#root"))
 class Node:
     __slots__ = ("tag", "children", "drop", "block")
 
-    def __init__(self, tag: str, drop: bool = False):
+    def __init__(self, tag: str, drop: str = ""):
         self.tag, self.drop, self.block, self.children = tag, drop, tag in _BLOCK, []
 
 
-def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
+def _named(value: str, in_main: bool) -> bool:
+    """Whether a class or id attribute holds a word, whole, for what is deleted; an article has headers of its own."""
+    return any(w in _WORDS or _COMPOUND.fullmatch(w) or not in_main and (w in _OUTSIDE or _COMPOUND_OUTSIDE.fullmatch(w)) for w in value.lower().split())
+
+
+def _dropped(tag: str, attrs: str, in_main: bool) -> str:
+    """Why an element is deleted; empty if it stays."""
     if tag in _DROP or (tag == "header" and not in_main):
-        return True
+        return "form" if tag in ("form", "fieldset") else "tag"
     if tag in _ROOTS or not attrs.strip():
-        return False
+        return ""
+    why = ""
     for name, *values in _ATTR.findall(attrs):
         value, name = "".join(values), name.lower()
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NAMES.search(value):
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return "hidden"
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _named(value, in_main):
+            why = "name"
+    return why
 
 
 def _unclosed(nodes: list[Node]) -> None:
     """An object without an end tag holds what follows it in its parent, which stays."""
     for node in nodes:
         if node.tag == "object":
-            node.drop = False
+            node.drop = ""
 
 
 def parse(page: str) -> Node:
@@ -169,29 +190,47 @@ def subtree_hashes(page: str) -> tuple[int, list[int]]:
     return whole, sorted(set(hashes.values()))
 
 
-def main_text(page: str, template: set[int]) -> str:
-    root = parse(page)
-    hashes: dict[int, int] = {}
-    if template:
-        _walk(root, hashes)
-    parts: list[str] = []
-    mains: list[Node] = []
-    todo: list = [root]
+def _mains(root: Node, through: tuple[str, ...] = ()) -> list[Node]:
+    """The outermost named articles, in page order; ``through``: reasons to delete that don't count."""
+    found: list[Node] = []
+    todo = [root]
     while todo:
         node = todo.pop()
-        if node.tag in _MAIN and not node.drop:
-            mains.append(node)
-        elif not node.drop:
+        if node.drop and node.drop not in through:
+            continue
+        if node.tag in _MAIN:
+            found.append(node)
+        else:
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return found
+
+
+def _recurring(root: Node, template: set[int] | np.ndarray) -> set[int]:
+    """Ids of the block elements whose hashes are in ``template`` (a set, or a sorted array)."""
+    if not len(template):
+        return set()
+    hashes: dict[int, int] = {}
+    _walk(root, hashes)
+    if isinstance(template, set):
+        return {k for k, h in hashes.items() if h in template}
+    values = np.fromiter(hashes.values(), np.int64, len(hashes))
+    at = np.minimum(np.searchsorted(template, values), len(template) - 1)
+    return {k for k, met in zip(hashes, (template[at] == values).tolist(), strict=True) if met}
+
+
+def main_text(page: str, template: set[int] | np.ndarray) -> str:
+    root = parse(page)
+    recurs = _recurring(root, template)
+    mains = _mains(root) or _mains(root, ("name", "form"))
+    parts: list[str] = []
     for top in mains or [root]:
-        todo = [top]
+        todo: list = [top]
         while todo:
             item = todo.pop()
             if isinstance(item, str):
                 parts.append(item)
                 continue
-            recurs = hashes.get(id(item)) in template if template else False
-            if item.drop or recurs and not (mains and item.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th")):
+            if item.drop and item is not top or id(item) in recurs and not (mains and item.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th")):
                 parts.append(" ")
                 continue
             if item.block:
@@ -215,48 +254,86 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(host, hashes): subtrees in more than ``max_pages`` distinct pages of a host.
+    """(host, hash): subtrees in more than ``max_pages`` distinct pages of a host.
 
-    A host's list has at most its pages times their elements over ``max_pages``
-    entries; sites have a few dozen.
+    There are at most as many as the pages' elements over ``max_pages``; sites
+    have a few dozen.
     """
     rows = with_host_and_path(pages.select("url", F.col("html").cast("string").alias("html"))).select("host", "html")
     each = rows.mapInArrow(_pieces, "host string, page long, hash long")
-    counts = each.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_pages)
-    return counts.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    counts = each.groupBy("host", "hash", "page").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > max_pages).select("host", "hash")
 
 
-def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` with hashes__ of their host, by a shuffle in which a large host is many shares.
+def _sorted_lists(hosts: pa.Array, hashes: np.ndarray) -> dict[str, np.ndarray]:
+    """The sorted hashes of each host."""
+    codes = hosts.combine_chunks().dictionary_encode() if isinstance(hosts, pa.ChunkedArray) else hosts.dictionary_encode()
+    numbers = codes.indices.to_numpy()
+    order = np.lexsort((hashes, numbers))
+    ends = np.cumsum(np.bincount(numbers, minlength=len(codes.dictionary)))
+    return {host: hashes[order[a:b]] for host, a, b in zip(codes.dictionary.to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False)}
 
-    Hosts of more than one share are told to all tasks: at most one for every
-    ``PAGES_A_SHARE`` pages.
-    """
-    large = rows.groupBy(F.col("host").alias("h__")).agg(F.ceil(F.count("*") / PAGES_A_SHARE).cast("int").alias("n__")).where("n__ > 1")
-    large = F.broadcast(cut(large))
-    own = F.pmod(F.xxhash64("url", "html"), F.coalesce("n__", F.lit(1))).cast("int")
-    rows = rows.join(large, F.col("host") == F.col("h__"), "left").withColumn("share__", own).drop("h__", "n__")
-    known = known.join(large, F.col("host__") == F.col("h__"), "left").withColumn("of__", F.explode(F.sequence(F.lit(0), F.coalesce("n__", F.lit(1)) - 1))).drop("h__", "n__")
-    return rows.join(known, (F.col("host") == F.col("host__")) & (F.col("share__") == F.col("of__")), "left").drop("host__", "of__", "share__", "host")
 
+_NONE = np.zeros(0, np.int64)
+
+
+def _texts(part: pa.RecordBatch, lists: list[np.ndarray]) -> pa.RecordBatch:
+    texts = [main_text(page or "", known).encode("utf-8", "replace").decode() for page, known in zip(part.column("html").to_pylist(), lists, strict=True)]
+    return pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["row", "text", "n_chars"])
 
-def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """``pages`` with text and n_chars in place of html."""
-    known = cut(templates(pages, max_pages)).withColumnsRenamed({"host": "host__", "hashes": "hashes__"})
-    rows = with_host_and_path(pages.drop("host", "path", "text", "n_chars")).drop("path")
-    if (known.agg(F.sum(F.size("hashes__") + 4)).first()[0] or 0) <= HASHES_SENT:
-        rows = rows.join(F.broadcast(known), F.col("host") == F.col("host__"), "left").drop("host__", "host")
-    else:
-        rows = _dealt(rows, known)
-    rows = rows.withColumn("html", F.col("html").cast("string"))
-    keep = [c for c in rows.columns if c not in ("html", "hashes__")]
+
+def _by_broadcast(rows: DataFrame, known: DataFrame, schema: str) -> DataFrame:
+    table = known.toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast(_sorted_lists(table.column("host"), table.column("hash").to_numpy()) if len(table) else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                texts = [main_text(page or "", set(known or ())) for page, known in zip(part.column("html").to_pylist(), part.column("hashes__").to_pylist(), strict=True)]
-                texts = [t.encode("utf-8", "replace").decode() for t in texts]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=[*keep, "text", "n_chars"])
+                yield _texts(part, [sent.value.get(h, _NONE) for h in part.column("host").to_pylist()])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_shares(rows: DataFrame, known: DataFrame, schema: str) -> DataFrame:
+    """A large host is many shares; each task reads a share's hashes before its pages.
+
+    Hosts of more than one share are told to all tasks: at most one for every
+    ``PAGES_A_SHARE`` pages.
+    """
+    large = rows.groupBy(F.col("host").alias("of")).agg(F.ceil(F.count("*") / PAGES_A_SHARE).cast("int").alias("n")).where("n > 1")
+    large = F.broadcast(cut(large))
+    share = F.pmod(F.xxhash64("html", F.monotonically_increasing_id()), F.coalesce("n", F.lit(1))).cast("int")
+    pages = rows.join(large, F.col("host") == F.col("of"), "left").select("host", share.alias("share"), F.lit(None).cast("long").alias("hash"), "html", "row")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("share")
+    lists = known.join(large, F.col("host") == F.col("of"), "left").select("host", copies, "hash", F.lit(None).cast("string").alias("html"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    both = lists.unionAll(pages).repartition("host", "share").sortWithinPartitions("host", "share", F.col("hash").isNull())
 
-    return rows.mapInArrow(run, with_fields(rows.select(*keep).schema, "text string, n_chars bigint"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, known_here = None, [], _NONE
+        for batch in batches:
+            hosts, shares, hashes = batch.column("host").to_pylist(), batch.column("share").to_pylist(), batch.column("hash")
+            page = np.asarray(hashes.is_null())
+            firsts = [i for i in range(len(batch)) if not i or hosts[i] != hosts[i - 1] or shares[i] != shares[i - 1] or page[i] != page[i - 1] or i % 64 == 0]
+            for a, b in zip(firsts, [*firsts[1:], len(batch)], strict=True):
+                if (hosts[a], shares[a]) != key:
+                    key, held, known_here = (hosts[a], shares[a]), [], _NONE
+                if not page[a]:
+                    held.append(hashes.slice(a, b - a).to_numpy())
+                    continue
+                if held:
+                    known_here, held = np.sort(np.concatenate(held)), []
+                part = batch.slice(a, b - a)
+                yield _texts(part, [known_here] * (b - a))
+
+    return both.mapInArrow(run, schema)
+
+
+def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``pages`` with text and n_chars in place of html."""
+    known = cut(templates(pages, max_pages))
+    rows = pages.select(row_of(pages, "html", "text", "n_chars").alias("row"), "url", F.col("html").cast("string").alias("html"))
+    rows = with_host_and_path(rows).select("row", "host", "html")
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("text string, n_chars bigint").fields])
+    found = _by_broadcast(rows, known, schema) if known.count() <= HASHES_SENT else _by_shares(rows, known, schema)
+    return unpacked(found, text=F.col("text"), n_chars=F.col("n_chars"))
