@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telarium.llm.common import blocks, cut, same, text_hash
+from telarium.llm.common import blocks, cut, row_of, same, text_hash, unpacked
 from telarium.llm.words import ALNUM, shingle_hashes, word_hashes, word_spans
 
 WINDOW, TOKEN = 10, 3
@@ -186,4 +186,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents in which a window of an item occurs."""
     bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("part").alias("bad_part"))
-    return docs.join(bad, same((F.col("doc_id"), F.col("bad_id")), (text_hash(F.col("text")), F.col("bad_part"))), "left_anti")
+    rows = docs.select(row_of(docs).alias("row"), "doc_id", text_hash(F.col("text").cast("string")).alias("part"))
+    return unpacked(rows.join(bad, same((F.col("doc_id"), F.col("bad_id")), (F.col("part"), F.col("bad_part"))), "left_anti"))

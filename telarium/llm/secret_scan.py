@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telarium.llm.common import row_of, unpacked
+
 TRAINING_ROWS = 3000
 TREES, DEPTH, LEAF = 15, 5, 8
 THRESHOLD = 0.5
@@ -195,38 +197,38 @@ def score(forest: tuple, feature) -> Column:
 
 
 def _candidates(docs: DataFrame, forest: tuple, threshold: float) -> DataFrame:
-    """``docs`` with gaps__, the text between candidates, and found__: (lead, value, before, score, secret) of each.
+    """row, text, gaps (the text between candidates) and found: (lead, value, before, score, secret) of each.
 
     A text is its first gap, then each candidate's lead and value with the gap behind.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     path = F.col("source")
     named = rf"(?i)^({_NAMED}[\"']?)"  # no other candidate holds a sign of assignment
-    rows = docs.withColumn("hits__", F.regexp_extract_all(text, F.lit(_CANDIDATE), 0)).withColumn("gaps__", F.split(text, _CANDIDATE, -1))
+    rows = docs.select(row_of(docs).alias("row"), F.col("text"), path.alias("source"), F.regexp_extract_all(text, F.lit(_CANDIDATE), 0).alias("hits"), F.split(text, _CANDIDATE, -1).alias("gaps"))
 
     def parts(hit: Column, i: Column) -> Column:
         lead = F.regexp_extract(hit, named, 1)
-        near = F.right(F.concat(F.when(i > 0, F.get("hits__", i - 1)).otherwise(""), F.get("gaps__", i)), F.lit(NEAR))
-        after = F.regexp_extract(F.left(F.get("gaps__", i + 1), F.lit(NEAR)), r"^[^\n]*", 0)
+        near = F.right(F.concat(F.when(i > 0, F.get("hits", i - 1)).otherwise(""), F.get("gaps", i)), F.lit(NEAR))
+        after = F.regexp_extract(F.left(F.get("gaps", i + 1), F.lit(NEAR)), r"^[^\n]*", 0)
         candidate = hit.rlike("[0-9]") | (lead != "")
         return F.struct(lead.alias("lead"), F.substring(hit, F.length(lead) + 1, F.length(hit)).alias("value"), F.concat(F.regexp_extract(near, r"[^\n]*$", 0), lead).alias("before"), after.alias("after"), candidate.alias("candidate"))
 
-    described = F.transform(F.transform("hits__", parts), lambda p: F.struct(p["lead"].alias("lead"), p["value"].alias("value"), p["before"].alias("before"), p["candidate"].alias("candidate"), *(c.alias(k) for k, c in features(p["value"], p["before"], p["after"], path).items())))
+    described = F.transform(F.transform("hits", parts), lambda p: F.struct(p["lead"].alias("lead"), p["value"].alias("value"), p["before"].alias("before"), p["candidate"].alias("candidate"), *(c.alias(k) for k, c in features(p["value"], p["before"], p["after"], path).items())))
     scored = F.transform(described, lambda p: F.struct(p["lead"].alias("lead"), p["value"].alias("value"), p["before"].alias("before"), F.when(p["candidate"], F.round(score(forest, lambda k: p[k]), 6)).alias("score")))
-    return rows.withColumn("found__", F.transform(scored, lambda p: F.struct(p["lead"].alias("lead"), p["value"].alias("value"), p["before"].alias("before"), p["score"].alias("score"), F.coalesce(p["score"] >= threshold, F.lit(False)).alias("secret")))).drop("hits__")
+    return rows.withColumn("found", F.transform(scored, lambda p: F.struct(p["lead"].alias("lead"), p["value"].alias("value"), p["before"].alias("before"), p["score"].alias("score"), F.coalesce(p["score"] >= threshold, F.lit(False)).alias("secret")))).drop("hits")
 
 
 def scan(docs: DataFrame, forest: tuple | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with findings: array of (value, before, score), in text order, and n_candidates."""
     rows = _candidates(docs.drop("findings", "n_candidates"), forest or production_forest(docs), threshold)
-    found = F.transform(F.filter("found__", lambda p: p["secret"]), lambda p: F.struct(p["value"].alias("value"), p["before"].alias("before"), p["score"].alias("score")))
-    return rows.withColumn("findings", found).withColumn("n_candidates", F.size(F.filter("found__", lambda p: p["score"].isNotNull())).cast("long")).drop("found__", "gaps__")
+    found = F.transform(F.filter("found", lambda p: p["secret"]), lambda p: F.struct(p["value"].alias("value"), p["before"].alias("before"), p["score"].alias("score")))
+    return unpacked(rows, findings=found, n_candidates=F.size(F.filter("found", lambda p: p["score"].isNotNull())).cast("long"))
 
 
 def redact(docs: DataFrame, forest: tuple | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every found secret replaced at its place; columns as in ``docs``."""
     rows = _candidates(docs, forest or production_forest(docs), threshold)
-    shown = F.transform("found__", lambda p, i: F.concat(p["lead"], F.when(p["secret"], F.lit(REDACTED)).otherwise(p["value"]), F.get("gaps__", i + 1)))
-    clean = F.when(F.exists("found__", lambda p: p["secret"]), F.concat(F.get("gaps__", F.lit(0)), F.array_join(shown, ""))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", clean)
-    return rows.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    shown = F.transform("found", lambda p, i: F.concat(p["lead"], F.when(p["secret"], F.lit(REDACTED)).otherwise(p["value"]), F.get("gaps", i + 1)))
+    clean = F.when(F.exists("found", lambda p: p["secret"]), F.concat(F.get("gaps", F.lit(0)), F.array_join(shown, ""))).otherwise(F.col("text"))
+    rows = rows.select("row", clean.alias("text"))
+    return unpacked(rows, text=F.col("text"), **({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}))

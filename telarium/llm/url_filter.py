@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telarium.llm.common import cut
+from telarium.llm.common import cut, row_of, unpacked
 
 BITS_PER_KEY, HASHES = 10, 5
 #: 8 MB as a literal.
@@ -124,20 +124,20 @@ def _fits(host: str, path: str) -> Column:
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` with host, path, rule and verdict. ``listed``: one column ``key`` of hosts."""
-    rows = with_host_and_path(pages.drop("host", "path", "rule", "verdict"))
+    """``pages`` with host, path, rule and verdict, which replace columns of these names. ``listed``: one column ``key`` of hosts."""
+    rows = with_host_and_path(pages.select(row_of(pages, "host", "path", "rule", "verdict").alias("row"), "url"))
     built = cascades(listed, rows.select(F.col("host").alias("key")))
     if len(built) == 1:
-        rows = rows.withColumn("on__", built[0].listed(F.col("host")))
+        rows = rows.withColumn("on", built[0].listed(F.col("host")))
     else:  # a scan for each share, each with its own literals
-        shares = [rows.where(_share(F.col("host"), len(built)) == i).withColumn("on__", c.listed(F.col("host"))) for i, c in enumerate(built)]
+        shares = [rows.where(_share(F.col("host"), len(built)) == i).withColumn("on", c.listed(F.col("host"))) for i, c in enumerate(built)]
         rows = reduce(DataFrame.unionAll, shares)
-    on = F.col("on__")
+    on = F.col("on")
     rule, verdict = F.lit(None).cast("string"), F.when(on, "block").otherwise("allow")
     for say, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = _fits(host, path)
         rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, say).otherwise(verdict)
-    return rows.withColumn("rule", rule).withColumn("verdict", verdict).drop("on__")
+    return unpacked(rows.select("row", "host", "path", rule.alias("rule"), verdict.alias("verdict")), host=F.col("host"), path=F.col("path"), rule=F.col("rule"), verdict=F.col("verdict"))
 
 
 def production_list(spark: SparkSession) -> DataFrame:
