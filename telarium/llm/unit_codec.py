@@ -5,10 +5,15 @@ white space with the word behind it. Nor does a piece of a sentencepiece model
 whose pieces hold U+2581 at their beginning only. So a text's ids are those of
 its units one behind another. Units are numbered when first met and given to
 the libraries many at a time; the ids of a block of texts are then gathered by
-the units' numbers. The store is bounded and starts anew when it is full.
-
-A unit may also be a tuple of one string: a text that has to be encoded whole
-(one with the string of a special token, or with a U+2581 of its own).
+the units' numbers. The store is bounded: when it is full, units that few
+blocks had go.
+
+A unit is written without the space that it begins with. A tuple of one string
+is a text that has to be encoded as it stands: a text's first word, white
+space other than a space, or a whole text (one with the string of a special
+token, or with a U+2581 of its own). Where a text's white space is single
+spaces and line ends, units are what lies between its spaces; other texts are
+cut by a pattern.
 """
 
 from __future__ import annotations
@@ -34,11 +39,19 @@ WORDS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 #: Of a text that begins with a space: cut before each space behind a character that is not white space.
 SPACED = re.compile(f" [{WHITE}]*[^{WHITE}]*(?:[{_OTHER}][{WHITE}]*[^{WHITE}]*)*").findall
 
+_RARE = re.compile(f"[{_OTHER.replace(chr(92) + 't-' + chr(92) + 'r', '')}]").search
+
 Unit = str | tuple[str]
 #: Units to their ids in one array and the number of ids of each.
 Encode = Callable[[list[Unit]], tuple[np.ndarray, np.ndarray]]
 
 
+def _simple(text: str) -> bool:
+    """Whether each space of a text has a word on one side that it can be told from, so that no piece crosses it."""
+    odd = "  " in text or "\n \n" in text or text.endswith("\n ") or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text
+    return not odd and (text.isascii() or not _RARE(text))
+
+
 class _Numbers(dict):
     """Number of a unit; a new one gets the next."""
 
@@ -56,17 +69,29 @@ class Units:
 
     def __init__(self, *encoders: Encode):
         self.encoders = encoders
-        self._clear()
-
-    def _clear(self) -> None:
         self.numbers = _Numbers()
-        self.ids = [np.zeros(0, np.int32) for _ in self.encoders]
-        self.starts = [np.zeros(1, np.int64) for _ in self.encoders]
+        self.blocks = np.zeros(0, np.int32)  # blocks that had the unit
+        self.ids = [np.zeros(0, np.int32) for _ in encoders]
+        self.starts = [np.zeros(1, np.int64) for _ in encoders]
+
+    def _trim(self) -> None:
+        """Keeps the half, or fewer, that most blocks had."""
+        least = 2
+        while (keep := self.blocks >= least).sum() > len(keep) // 2:
+            least *= 2
+        kept = np.flatnonzero(keep)
+        names = list(self.numbers)
+        self.numbers = _Numbers()
+        self.numbers.update(zip([names[k] for k in kept], range(len(kept)), strict=True))
+        self.blocks = self.blocks[kept] // 2
+        for k, (ids, starts) in enumerate(zip(self.ids, self.starts, strict=True)):
+            self.ids[k] = ids[np.repeat(keep, np.diff(starts))]
+            self.starts[k] = np.concatenate([[0], np.cumsum(np.diff(starts)[kept])])
 
     def gather(self, texts: list[list[Unit]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each encoder, the ids of all texts and how many each text has."""
         if len(self.numbers) > KEPT or max(map(len, self.ids)) > KEPT_IDS:
-            self._clear()
+            self._trim()
         sizes = np.array(list(map(len, texts)), np.int64)
         units = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         if new := self.numbers.new:
@@ -75,6 +100,8 @@ class Units:
                 self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
                 self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(counts)])
             self.numbers.new = []
+            self.blocks = np.concatenate([self.blocks, np.zeros(len(new), np.int32)])
+        self.blocks[units] += 1
         out = []
         ends = np.cumsum(sizes)
         for ids, starts in zip(self.ids, self.starts, strict=True):
@@ -115,27 +142,32 @@ class ByteLevel:
         self.plain.encode_special_tokens = True
 
     def cut(self, text: str) -> list[Unit]:
-        return [(text,)] if any(s in text for s in self.special) else WORDS(text)
+        if any(s in text for s in self.special):
+            return [(text,)]
+        if not _simple(text):
+            return [u[1:] if u[0] == " " else (u,) for u in WORDS(text)]
+        first, *units = text.split(" ")
+        return [(first,), *units] if first else units
 
     def _ids(self, text: str) -> list[int]:
         return self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
-        """Where white space stands behind a word, units don't meet, so they can go to the library together."""
-        together = [type(u) is str and u[0] in " \n\t\r" and not u[-1].isspace() for u in units]
-        alone = lambda u: self._ids(u) if type(u) is str else self.whole.encode_batch_fast([u[0]], add_special_tokens=False)[0].ids
-        return _encoded(units, together, self._ids, alone, self.width)
+        """Where a space stands behind a word, units don't meet, so they can go to the library together."""
+        together = [type(u) is str and u != "" and not u[-1].isspace() for u in units]
+        alone = lambda u: self._ids(f" {u}") if type(u) is str else self.whole.encode_batch_fast([u[0]], add_special_tokens=False)[0].ids
+        return _encoded(units, together, lambda some: self._ids(" " + " ".join(some)), alone, self.width)
 
 
-def _encoded(units: list[Unit], together: list[bool], joined: Callable[[str], list[int]], alone: Callable[[Unit], list[int]], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(units: list[Unit], together: list[bool], joined: Callable[[list[str]], list[int]], alone: Callable[[Unit], list[int]], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of units: of those marked ``together`` many at a time, each taking the ids that make up its bytes."""
     some = [u for u, x in zip(units, together, strict=True) if x]
     mark = np.array(together, bool)
     counts, found = np.zeros(len(units), np.int64), [np.zeros(0, np.int32)]
     for at in range(0, len(some), _AT_ONCE):
-        found.append(np.array(joined("".join(some[at : at + _AT_ONCE])), np.int32))
+        found.append(np.array(joined(some[at : at + _AT_ONCE]), np.int32))
     ids = np.concatenate(found)
-    ends = np.cumsum(np.fromiter((len(u.encode()) for u in some), np.int64, len(some)))
+    ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in some), np.int64, len(some)))
     bytes_upto = np.cumsum(width[ids])
     if len(some) and bytes_upto[-1] != ends[-1]:
         raise ValueError("the vocabulary doesn't give back the bytes of a unit")
@@ -170,15 +202,17 @@ class Pieces:
 
     def cut(self, spaced: str) -> list[Unit]:
         """A U+2581 of the text's own is a space to the model, so its units would meet."""
-        return SPACED(spaced) if self.by_units and "▁" not in spaced else [(spaced,)]
+        if not self.by_units or "▁" in spaced:
+            return [(spaced,)]
+        return spaced[1:].split(" ") if _simple(spaced) else [u[1:] for u in SPACED(spaced)]
 
     def _alone(self, unit: Unit) -> list[int]:
         # the library gives nothing for the empty text, but a piece for a space at a text's end
-        return self.space if unit == " " else self.library.encode((unit if type(unit) is str else unit[0])[1:])
+        return self.space if unit == "" else self.library.encode(unit if type(unit) is str else unit[0][1:])
 
     def encode(self, units: list[Unit]) -> tuple[np.ndarray, np.ndarray]:
-        together = [type(u) is str and u[-1] != " " for u in units]
-        return _encoded(units, together, lambda text: self.library.encode(text[1:]), self._alone, self.width)
+        together = [type(u) is str and u != "" and u[-1] != " " for u in units]
+        return _encoded(units, together, lambda some: self.library.encode(" ".join(some)), self._alone, self.width)
 
 
 @lru_cache(maxsize=4)

@@ -249,3 +249,14 @@ def test_alignment_of_nothing(docs):
     assert none.count() == 0 and none.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     empty = token_alignment.align(docs.select("doc_id", F.lit(None).cast("string").alias("text")), VOCABULARY, PIECES, groups=False)
     assert empty.where("n_a + n_b + n_groups + n_links + n_best + count_sum > 0 OR groups_sha256 <> ''").count() == 0 and empty.count() == docs.count()
+
+
+def test_units_that_few_blocks_had_go(library, monkeypatch):
+    monkeypatch.setattr(unit_codec, "KEPT", 60)
+    codec = unit_codec.ByteLevel(open(VOCABULARY).read(), True)
+    units = unit_codec.Units(codec.encode)
+    for k in range(40):
+        texts = ["the old words stay " + " ".join(f"new{k}x{i}" for i in range(9)), NOISE[k]]
+        ((ids, counts),) = units.gather([codec.cut(t) for t in texts])
+        assert ids.tolist() == [x for t in texts for x in library[0].encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+    assert len(units.numbers) < 120 and {"old", "words", "stay"} <= set(units.numbers)
