@@ -41,10 +41,14 @@ def with_facts(events: DataFrame) -> DataFrame:
     return rows.withColumn("siblings", F.when(F.col("parent_id").isNull(), 0).otherwise(child))
 
 
-def process_edges(events: DataFrame, unknown: str = "<unobserved>") -> DataFrame:
-    """Edges (src, dst, label, seq) from the image of each start's tracked parent, by host, for ``edge_novelty``."""
+#: Fixed value: stands for a parent that was not seen to start.
+UNKNOWN_PARENT = "<unobserved>"
+
+
+def process_edges(events: DataFrame, unknown: str = UNKNOWN_PARENT) -> DataFrame:
+    """Edges (src, dst, label, seq) from the image of the tracked parent, by host, of each start that names a parent, for ``edge_novelty``."""
     at = lambda image: F.concat_ws(":", "host", image)
-    return parents(events).select(at(F.coalesce("parent_image", F.lit(unknown))).alias("src"), at(F.col("image")).alias("dst"), F.lit("starts").alias("label"), F.struct("us", "id").alias("seq"), "id")
+    return parents(events).where("parent_pid IS NOT NULL").select(at(F.coalesce("parent_image", F.lit(unknown))).alias("src"), at(F.col("image")).alias("dst"), F.lit("starts").alias("label"), F.struct("us", "id").alias("seq"), "id")
 
 
 def enriched(events: DataFrame) -> DataFrame:
