@@ -197,17 +197,14 @@ def write(docs: DataFrame, vocabulary: str | Path, path: str, end: int | None =
     rows = rows.withColumns({"h__": F.xxhash64("text"), "at__": F.monotonically_increasing_id()})
     order = ["key__", "h__", "at__"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key__", "text")
-    kept: list[unit_codec.Units] = []
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = unit_codec.byte_level(sent.value, True)
-        if not kept:
-            kept.append(unit_codec.Units(codec.encode))
+        codec, units = unit_codec.byte_level(sent.value, True), unit_codec.byte_level_units(sent.value, True)
         kind = "<u2" if len(codec.width) <= 1 << 16 else "<u4"
         number, ids_file, lengths_file = TaskContext.get().partitionId(), None, None
         row = at = 0
         for part, _, _ in blocks(batches):
-            ((ids, counts),) = kept[0].gather([codec.cut(t) if t else [] for t in part.column("text").to_pylist()])
+            ((ids, counts),) = units.gather([codec.cut(t) if t else [] for t in part.column("text").to_pylist()])
             if end is not None:
                 ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
             if ids_file is None:

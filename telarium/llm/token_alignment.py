@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -142,16 +143,20 @@ class Aligner:
         return [sizes_a, sizes_b, n_groups, n_links], listed, keys >> 2 * _BITS, keys & ((1 << 2 * _BITS) - 1), times
 
 
+@lru_cache(maxsize=1)
+def _aligner(a_text: str, b_model: bytes) -> Aligner:
+    """A worker keeps its units from task to task."""
+    return Aligner(a_text, b_model)
+
+
 def _links(docs: DataFrame, a_path: str | Path, b_path: str | Path, groups: bool) -> DataFrame:
     """A row a document: numbers, groups, and its distinct id pairs with how often it links them."""
     sent = docs.sparkSession.sparkContext.broadcast((Path(a_path).read_text(), Path(b_path).read_bytes()))
-    made: list[Aligner] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Aligner(*sent.value))
+        aligner = _aligner(*sent.value)
         for rows, _, _ in blocks(batches):
-            numbers, listed, row, pairs, times = made[0].block(rows.column("text").to_pylist())
+            numbers, listed, row, pairs, times = aligner.block(rows.column("text").to_pylist())
             offsets = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)), pa.int32())
             digests = [hashlib.sha256(x).hexdigest() if x else "" for x in listed]
             columns = [rows.column("doc_id"), rows.column("row__"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(digests, pa.string())]

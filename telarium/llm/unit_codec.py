@@ -220,6 +220,12 @@ def byte_level(text: str, special: bool) -> ByteLevel:
     return ByteLevel(text, special)
 
 
+@lru_cache(maxsize=2)
+def byte_level_units(text: str, special: bool) -> Units:
+    """The units that a worker keeps from task to task."""
+    return Units(byte_level(text, special).encode)
+
+
 @lru_cache(maxsize=2)
 def pieces(model: bytes) -> Pieces:
     return Pieces(model)
