@@ -50,7 +50,7 @@ def view(events: DataFrame) -> DataFrame:
     return rows.where("category IS NOT NULL").select("id", "host", "us", "pid", "kind", "category", *made)
 
 
-def _pattern(needle: str, before: bool, after: bool) -> str:
+def pattern(needle: str, before: bool, after: bool) -> str:
     out = [".*"] if before else []
     i = 0
     while i < len(needle):
@@ -69,7 +69,7 @@ def text_test(value: Column, needle: str, mode: str = "equals", cased: bool = Fa
     value = value.cast("string")
     before, after = mode in ("contains", "endswith"), mode in ("contains", "startswith")
     if re.search(r"[*?]", needle):
-        return value.rlike(("(?s)" if cased else "(?is)") + rf"\A{_pattern(needle, before, after)}\z")
+        return value.rlike(("(?s)" if cased else "(?is)") + rf"\A{pattern(needle, before, after)}\z")
     a, b = (value, needle) if cased else (F.lower(value), needle.lower())
     return {"equals": a == F.lit(b), "contains": a.contains(b), "startswith": a.startswith(b), "endswith": a.endswith(b)}[mode]
 

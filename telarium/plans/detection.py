@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telarium.checkpoint import cut
 from telarium.functions import scalars
 from telarium.operators import evidence as ev
-from telarium.operators import facts, rules, sigma
+from telarium.operators import facts, rule_index, rules, sigma
 from telarium.plans.register import TEL, Registry
 from telarium.sources.telemetry import stored, telemetry
 
@@ -99,7 +99,7 @@ def minimised_sql(column: str) -> str:
 
 
 _SIGMA_HITS = r"""SELECT id, host, us, pid, 1000 AS ord, 'shell-from-document' AS rule, 0.75 AS hit, 0.01 AS miss, 'T1204.002' AS technique, 'Shell started by a document' AS detail FROM tel WHERE kind = 'process_start' AND (ends_with(lower(reported_parent), chr(92) || 'winword.exe') OR ends_with(lower(reported_parent), chr(92) || 'excel.exe')) AND (ends_with(lower(image), chr(92) || 'cmd.exe') OR ends_with(lower(image), chr(92) || 'powershell.exe'))
-  UNION ALL SELECT id, host, us, pid, 1001, 'shared-script', 0.3, 0.05, 'T1059.001', 'Script left in shared data' FROM tel WHERE kind = 'file_create' AND ends_with(lower(path), '.ps1') AND starts_with(lower(path), 'c:' || chr(92) || 'programdata' || chr(92)) AND NOT contains(lower(path), chr(92) || 'vendor' || chr(92))
+  UNION ALL SELECT id, host, us, pid, 1001, 'user-unpacked', 0.5, 0.02, 'T1204.002', 'Program unpacked by a user' FROM tel WHERE kind = 'file_create' AND starts_with(lower(path), 'c:' || chr(92) || 'users' || chr(92)) AND (ends_with(lower(path), '.exe') OR ends_with(lower(path), '.scr'))
   UNION ALL SELECT id, host, us, pid, 1002, 'port-or-range', 0.75, 0.01, 'T1571', 'Port or range' FROM tel WHERE kind = 'network_connect' AND (starts_with(destination_ip, '93.184.') OR starts_with(destination_ip, '8.8.8.')) AND destination_port >= 4444
   UNION ALL SELECT id, host, us, pid, 1003, 'wildcard-name', 0.15, 0.1, 'TA0000', 'Wildcard name' FROM tel WHERE kind = 'dns_query' AND (((regexp_matches(query_name, '^[hH].\..*$') OR ends_with(query_name, '.TOP') OR (contains(lower(query_name), 'h') AND contains(lower(query_name), '.o'))) AND NOT regexp_matches(query_name, '^[hH].\..*$')) OR ends_with(query_name, '.TOP'))
   UNION ALL SELECT id, host, us, pid, 1004, 'no-value-name', 0.9, 0.005, 'T1547.001', 'No value name' FROM tel WHERE kind = 'registry_set' AND contains(lower(key_path), chr(92) || 'run')""".replace("\\\\", "\\")
@@ -276,7 +276,7 @@ def alert_rows(spark, sf_dir):
     return rows.select("alert_id", "rule", F.col("count").cast("int").alias("count"), "technique", "severity", "description", F.when(F.col("rule") == "shell-from-document", F.col("title")).alias("sigma_title"))
 
 
-@R.query(FATES + " SELECT fo.rule, count(*) AS alerts FROM fo WHERE fate = 'emit' AND fo.rule IN ('shell-from-document', 'shared-script', 'port-or-range', 'wildcard-name', 'no-value-name') GROUP BY fo.rule")
+@R.query(FATES + " SELECT fo.rule, count(*) AS alerts FROM fo WHERE fate = 'emit' AND fo.rule IN ('shell-from-document', 'user-unpacked', 'port-or-range', 'wildcard-name', 'no-value-name') GROUP BY fo.rule")
 def sigma_in_alerts(spark, sf_dir):
     """Alerts whose primary finding is a SIGMA rule's."""
     emitted = fates(spark, sf_dir).where("fate = 'emit'")
@@ -300,7 +300,7 @@ def alert_drilldown(spark, sf_dir):
 #: Rules of the production set.
 SIGMA_RULES = [
     {"title": "Shell started by a document", "id": "shell-from-document", "level": "high", "tags": ["attack.execution", "attack.t1204.002"], "logsource": {"category": "process_creation", "product": "windows"}, "detection": {"opener": {"ParentImage|endswith": ["\\winword.exe", "\\excel.exe"]}, "shell": [{"Image|endswith": "\\cmd.exe"}, {"Image|endswith": "\\powershell.exe"}], "condition": "opener and shell"}},
-    {"title": "Script left in shared data", "id": "shared-script", "level": "low", "tags": ["attack.t1059.001"], "logsource": {"category": "file_event"}, "detection": {"script": {"TargetFilename|endswith": ".ps1"}, "shared": {"TargetFilename|startswith": "C:\\ProgramData\\"}, "vendor": {"TargetFilename|contains": "\\vendor\\"}, "condition": "script and shared and not vendor"}},
+    {"title": "Program unpacked by a user", "id": "user-unpacked", "level": "medium", "tags": ["attack.t1204.002"], "logsource": {"category": "file_event"}, "detection": {"home": {"TargetFilename|startswith": "C:\\Users\\"}, "program": {"TargetFilename|endswith": [".exe", ".scr"]}, "condition": "all of them"}},
     {"title": "Port or range", "id": "port-or-range", "level": "high", "tags": ["attack.t1571"], "logsource": {"category": "network_connection"}, "detection": {"range": {"DestinationIp|cidr": ["93.184.0.0/16", "8.8.8.0/24"]}, "port": {"DestinationPort|gte": 4444}, "condition": "range and port"}},
     {"title": "Wildcard name", "id": "wildcard-name", "level": "informational", "tags": [], "logsource": {"category": "dns_query"}, "detection": {"a": {"QueryName": "h?.*"}, "b": {"QueryName|endswith|cased": ".TOP"}, "c": {"QueryName|contains|all": ["h", ".o"]}, "condition": "1 of them and not a or b"}},
     {"title": "No value name", "id": "no-value-name", "level": "critical", "tags": ["attack.t1547.001"], "logsource": {"category": "registry_set"}, "detection": {"run": {"TargetObject|contains": "\\run"}, "gone": {"CommandLine": None}, "condition": "run and gone"}},
@@ -309,12 +309,13 @@ SIGMA_RULES = [
 ]
 @R.query(f"WITH {TEL}, hit AS ({_SIGMA_HITS}) SELECT id, rule, technique, cast(hit AS double) AS hit, cast(miss AS double) AS miss FROM hit")
 def sigma_hits(spark, sf_dir):
-    good, _ = sigma.load(SIGMA_RULES)
-    return sigma.hits(telemetry(spark, sf_dir), good).select("id", "rule", "technique", "hit", "miss")
+    """By the index of rules, whose plan doesn't grow with them."""
+    table, _ = rule_index.load(spark, SIGMA_RULES)
+    return rule_index.hits(stored(spark, "telemetry", sf_dir, lambda: telemetry(spark, sf_dir)), table).select("id", "rule", "technique", "hit", "miss")
 
 
 @R.query(f"""WITH {TEL}, hit AS ({_SIGMA_HITS}), c AS (SELECT rule, count(*) AS fired FROM hit GROUP BY rule)
-  SELECT t.*, coalesce(fired, 0) AS fired FROM (VALUES ('shell-from-document', 'high', 'T1204.002', true), ('shared-script', 'low', 'T1059.001', true), ('port-or-range', 'high', 'T1571', true), ('wildcard-name', 'informational', 'TA0000', true), ('no-value-name', 'critical', 'T1547.001', true)) t(rule, level, technique, can_fire) LEFT JOIN c USING (rule)""")
+  SELECT t.*, coalesce(fired, 0) AS fired FROM (VALUES ('shell-from-document', 'high', 'T1204.002', true), ('user-unpacked', 'medium', 'T1204.002', true), ('port-or-range', 'high', 'T1571', true), ('wildcard-name', 'informational', 'TA0000', true), ('no-value-name', 'critical', 'T1547.001', true)) t(rule, level, technique, can_fire) LEFT JOIN c USING (rule)""")
 def sigma_rule_catalog(spark, sf_dir):
     """The rules table beside how often each fired."""
     good, bad = sigma.load(SIGMA_RULES)
@@ -353,7 +354,7 @@ def sigma_view(spark, sf_dir):
     return sigma.view(telemetry(spark, sf_dir)).select("id", "category", F.col("TargetObject").alias("target_object"), F.col("ExitCode").alias("exit_code"))
 
 
-@R.query(f"WITH {TEL}, hit AS ({_SIGMA_HITS}) SELECT level, count(*) AS hits, min(l.hit) AS hit, min(l.miss) AS miss FROM hit JOIN (VALUES ('shell-from-document', 'high', 0.75::DOUBLE, 0.01::DOUBLE), ('shared-script', 'low', 0.3, 0.05), ('port-or-range', 'high', 0.75, 0.01), ('wildcard-name', 'informational', 0.15, 0.1), ('no-value-name', 'critical', 0.9, 0.005)) l(rule, level, hit, miss) ON hit.rule = l.rule GROUP BY level")
+@R.query(f"WITH {TEL}, hit AS ({_SIGMA_HITS}) SELECT level, count(*) AS hits, min(l.hit) AS hit, min(l.miss) AS miss FROM hit JOIN (VALUES ('shell-from-document', 'high', 0.75::DOUBLE, 0.01::DOUBLE), ('user-unpacked', 'medium', 0.5, 0.02), ('port-or-range', 'high', 0.75, 0.01), ('wildcard-name', 'informational', 0.15, 0.1), ('no-value-name', 'critical', 0.9, 0.005)) l(rule, level, hit, miss) ON hit.rule = l.rule GROUP BY level")
 def sigma_level(spark, sf_dir):
     """Hits by level, with the pair that the level stands for."""
     good, bad = sigma.load(SIGMA_RULES)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telarium.checkpoint import cut
+from telarium.checkpoint import cut, folder
 from telarium.functions import scalars as sc
 from telarium.operators import evidence as ev
 from telarium.operators import facts, reports, rules, translate
@@ -15,6 +16,7 @@ from telarium.plans import detection as d
 from telarium.plans.register import TEL, Registry
 from telarium.functions import privacy
 from telarium.sources import telemetry as src
+from telarium.sources.log_table import LogTable
 from telarium.sources.shapes import CHAINS, SHAPES
 from telarium.sources.telemetry import telemetry
 
@@ -22,7 +24,7 @@ R = Registry()
 QUERIES, ORACLE = R.queries, R.oracle
 
 #: (rule, technique) of native and SIGMA rules.
-_TECHNIQUES = [*rules.TECHNIQUES.items(), ("shell-from-document", "T1204.002"), ("shared-script", "T1059.001"), ("port-or-range", "T1571"), ("wildcard-name", "TA0000"), ("no-value-name", "T1547.001")]
+_TECHNIQUES = [*rules.TECHNIQUES.items(), ("shell-from-document", "T1204.002"), ("user-unpacked", "T1204.002"), ("port-or-range", "T1571"), ("wildcard-name", "TA0000"), ("no-value-name", "T1547.001")]
 _FIRST = ", fr AS (SELECT rule, count(*) AS firings, arg_min(hit, (us, id)) AS hit, arg_min(miss, (us, id)) AS miss FROM find GROUP BY rule)"
 _H2 = "CASE WHEN {p} > 0 AND {p} < 1 THEN -({p}) * log2({p}) - (1 - ({p})) * log2(1 - ({p})) ELSE 0 END"
 _CAP = f"greatest(0, {_H2.format(p='((1 + miss - (1 - hit)) / 2)')} - ({_H2.format(p='(miss)')}) / 2 - ({_H2.format(p='(1 - hit)')}) / 2)"
@@ -341,10 +343,13 @@ def batch_dedupe(spark, sf_dir):
 
 @R.query(d.FATES + ", a AS (SELECT alert AS id, rule, host, n AS c FROM fo WHERE fate = 'emit' UNION ALL SELECT alert, rule, host, n + 1 FROM fo WHERE fate = 'emit' AND alert % 3 = 0) SELECT id, any_value(rule) AS rule, max(c) AS count FROM a GROUP BY id")
 def alert_merge(spark, sf_dir):
-    """Restatements share the id; the larger count replaces, it is never added."""
-    rows = d.fates(spark, sf_dir).where("fate = 'emit'").select(F.col("alert").alias("id"), "rule", F.col("n").alias("count"))
-    both = rows.unionAll(rows.where("id % 3 = 0").withColumn("count", F.col("count") + 1))
-    return both.groupBy("id").agg(F.max_by("rule", "count").alias("rule"), F.max("count").cast("int").alias("count"))
+    """Restatements share the id; the larger count replaces, it is never added. Through the table that takes each epoch once."""
+    rows = cut(d.fates(spark, sf_dir).where("fate = 'emit'").select(F.col("alert").alias("id"), "rule", F.col("n").cast("int").alias("count")))
+    again = rows.where("id % 3 = 0").withColumn("count", F.col("count") + 1)
+    table = LogTable(spark, f"{folder(spark)}/alerts-{uuid.uuid4().hex}", "id long, rule string, count int", ["id"], {"rule": lambda c: F.max_by(c, F.col("count")), "count": F.max}, fanout=2)
+    for epoch, batch in ((0, rows), (1, again), (1, again), (2, rows.where("id % 5 = 0"))):
+        table.append(batch, "queue", epoch)
+    return table.read()
 
 
 @R.query("SELECT doc_id, CASE WHEN strlen(text) > 65536 THEN 'payload too large' WHEN doc_id % 5 = 0 THEN 'schema version' WHEN trim(source) = '' THEN 'empty host' END AS reason FROM documents")

@@ -10,13 +10,15 @@ import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from telarium.functions.scalars import log_ratio
 from telarium.operators import rules, sigma
+from telarium.sources.log_table import LogTable
 
 LATE = "10 minutes"
 
@@ -244,18 +246,48 @@ class Counters(StreamingQueryListener):
             self._add("errors", 1)
 
 
-def merge_alerts(path: str):
-    """A ``foreachBatch`` sink: the table keeps one row for each id, the larger count wins.
+ALERTS = "host string, rule string, alert long, n long, rank int"
 
-    Each micro-batch writes its own folder, so a replayed batch replaces itself.
+
+def alert_table(spark: SparkSession, path: str) -> LogTable:
+    """One row for each alert; of a restated one the larger count stands."""
+    return LogTable(spark, path, ALERTS, ["host", "rule", "alert"], {"n": F.max, "rank": F.max})
+
+
+def merge_alerts(path: str, writer: str = "alerts"):
+    """A ``foreachBatch`` sink into ``alert_table``; a replayed batch changes nothing."""
+    return lambda batch, epoch: alert_table(batch.sparkSession, path).sink(writer)(batch, epoch)
+
+
+def merged_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return alert_table(spark, path).read()
+
+
+def event_table(spark: SparkSession, path: str, events: DataFrame, rows_per_file: int = 5_000_000) -> LogTable:
+    """Events of the columns of ``events``, laid out by date and a bucket of hosts, in files of bounded size."""
+    schema = StructType([*events.schema.fields, *StructType.fromDDL("date date, host_bucket int").fields])
+    return LogTable(spark, path, schema, rows_per_file=rows_per_file, partition_by=("date", "host_bucket"))
+
+
+def laid(events: DataFrame) -> DataFrame:
+    """``events`` with the columns that ``event_table`` is laid out by."""
+    return events.withColumn("date", F.to_date(F.timestamp_micros("us"))).withColumn("host_bucket", F.pmod(F.xxhash64("host"), F.lit(64)).cast("int"))
+
+
+def ingest(inbox: LogTable, table: LogTable, writer: str, rows_of):
+    """A ``foreachBatch`` sink for deliveries (batch_id, ...): each batch id counts once, however late it comes again.
+
+    ``rows_of`` gives a delivery's rows for ``table``; ``inbox`` keeps the ids.
+    Rows are added before ids, and both skip an epoch that they have: whatever
+    the moment of a failure, the replay of the micro-batch completes it.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        best = batch.groupBy("host", "rule", "alert").agg(F.max("n").alias("n"), F.max("rank").alias("rank"))
-        best.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        new = batch.dropDuplicates(["batch_id"]).join(inbox.read().select("batch_id"), "batch_id", "left_anti").persist()
+        try:
+            table.append(rows_of(new), writer, epoch)
+            inbox.append(new, writer, epoch)
+        finally:
+            new.unpersist()
 
     return write
-
-
-def merged_alerts(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/epoch=*").groupBy("host", "rule", "alert").agg(F.max("n").alias("n"), F.max("rank").alias("rank"))
