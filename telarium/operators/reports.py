@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telarium.checkpoint import cut
 from telarium.functions.scalars import capacity, entropy
 
 
@@ -47,10 +48,13 @@ def coverage(events: DataFrame) -> DataFrame:
     return starts.withColumn("coverage", cover).withColumn("blind_spot", 1 - cover).withColumn("gap", F.greatest(F.col("entities") - F.col("observed"), F.lit(0)))
 
 
-def novelty_summary(events: DataFrame, key: Column) -> DataFrame:
-    counts = events.groupBy("host", key.alias("key")).agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"))
-    # the first sighting of each key is the novel one
-    return counts.select("host", "distinct", "total", ratio(F.col("distinct"), F.col("total"), 0.0).alias("novelty_rate"), ratio(F.col("distinct"), 2 * F.col("distinct")).alias("coverage_estimate"))
+def novelty_summary(events: DataFrame, key: Column, since_us: int | None = None) -> DataFrame:
+    """By host: distinct keys, sightings, the share of sightings that were the first, and what part of all
+    keys has probably been seen: distinct / (distinct + first sightings since ``since_us``; null: all)."""
+    keys = events.groupBy("host", key.alias("key")).agg(F.count("*").alias("n"), F.min("us").alias("first"))
+    novel = F.count("*") if since_us is None else F.count_if(F.col("first") >= since_us)
+    counts = keys.groupBy("host").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"), novel.alias("novel"))
+    return counts.select("host", "distinct", "total", ratio(F.col("distinct"), F.col("total"), 0.0).alias("novelty_rate"), "novel", ratio(F.col("distinct"), F.col("distinct") + F.col("novel")).alias("coverage_estimate"))
 
 
 def fanout_ratio(edges: DataFrame) -> DataFrame:
@@ -72,20 +76,30 @@ def unrecognised(raw: DataFrame, named: int = NAMED_PROVIDERS) -> DataFrame:
     return rows.select(shown("provider"), shown("event_id"), "n").groupBy("provider", "event_id").agg(F.sum("n").alias("n"))
 
 
+#: Forms in which an event arrives that no typed event can be made of.
+LOST_FORMS = ("classic", "string_only", "trace_message")
+
+
 def sensor_accounting(rows: DataFrame, most_verbose: int = 4) -> DataFrame:
-    """By host: received = filtered + delivered + dropped, what was lost, coverage, mean payload bytes.
+    """By host: what became of every received event, whether the sum closes, what was lost, coverage, mean payload bytes.
 
-    ``rows``: host, level, shape, failure, payload_bytes.
+    ``rows``: host, level, shape, failure, payload_bytes, and ``form``:
+    ``manifest`` or one of ``LOST_FORMS``, which are lost before they are
+    looked at. ``received`` counts all rows. A row of a form that the sensor
+    doesn't count (null, or another) is in no class, so the sum doesn't close.
     """
+    counted = F.coalesce(F.col("form") == "manifest", F.lit(False))
     ok = F.col("shape").isNotNull() & F.col("failure").isNull()
     passed = F.col("level") <= most_verbose
     out = rows.groupBy("host").agg(
-        F.count("*").alias("received"), F.count_if(~passed).alias("filtered"), F.count_if(passed & ok).alias("delivered"), F.count_if(passed & ~ok).alias("dropped"),
-        F.sum(F.when(passed & ok, F.col("payload_bytes"))).alias("bytes"),
+        F.count("*").alias("received"), *(F.count_if(F.col("form") == f).alias(f) for f in LOST_FORMS),
+        F.count_if(counted & ~passed).alias("filtered"), F.count_if(counted & passed & ok).alias("delivered"), F.count_if(counted & passed & ~ok).alias("dropped"),
+        F.sum(F.when(counted & passed & ok, F.col("payload_bytes"))).alias("bytes"),
     )
-    closes = F.col("received") == F.col("filtered") + F.col("delivered") + F.col("dropped")
+    parts = (*LOST_FORMS, "filtered", "delivered", "dropped")
+    closes = F.col("received") == sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
     mean = F.when(F.col("delivered") > 0, F.col("bytes") / F.col("delivered")).otherwise(0.0)
-    return out.select("host", "received", "filtered", "delivered", "dropped", closes.alias("closes"), (F.col("received") - F.col("delivered")).alias("lost"), ratio(F.col("delivered"), F.col("received")).alias("coverage"), mean.alias("mean_payload_bytes"))
+    return out.select("host", "received", *parts, closes.alias("closes"), (F.col("received") - F.col("delivered")).alias("lost"), ratio(F.col("delivered"), F.col("received")).alias("coverage"), mean.alias("mean_payload_bytes"))
 
 
 def patch_latency(patches: DataFrame, group: str, days: str, weaponised_after: float, q: float = 0.9) -> DataFrame:
@@ -101,11 +115,42 @@ def shape_counts(raw: DataFrame, shapes: DataFrame) -> DataFrame:
     return shapes.select("shape").join(counts, "shape", "left").fillna(0)
 
 
+#: Relative error of the sketch by which ranks are narrowed.
+RANK_ACCURACY = 10_000
+#: Groups whose bounds are broadcast.
+GROUPS_SENT = 100_000
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """The value at index round((n - 1) * q), half away from zero."""
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, value, F.row_number().over(w.orderBy(value)).alias("rn"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("rn") == F.floor((F.col("n") - 1) * q + 0.5) + 1).select(group, F.col(value).alias("value"))
+    """The value at index round((n - 1) * q) of a group's values in order, half away from zero; nulls first.
+
+    No group is sorted: a sketch gives bounds around the rank, one pass counts
+    what lies below them and each value between them, and the rank is looked
+    for among those few. Partial sums come before every shuffle, so a group of
+    all rows is spread over all tasks. Should a bound be wrong, that group's
+    bounds are widened and it is counted again.
+    """
+    rows = rows.select(F.col(group).alias("g"), F.col(value).alias("v"))
+    sides = lambda off: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(q + off)))
+    found, left, off = None, None, 4.0 / RANK_ACCURACY
+    while True:
+        some = rows if left is None else rows.join(left, rows["g"].eqNullSafe(left["miss"]), "left_semi")
+        ends = some.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", sides(-off), RANK_ACCURACY).alias("low"), F.percentile_approx("v", sides(off), RANK_ACCURACY).alias("high"))
+        ends = cut(ends.select(F.col("g").alias("of"), F.floor((F.col("n") - 1) * q + 0.5).alias("rank"), *([F.lit(None).cast(rows.schema["v"].dataType).alias(c) for c in ("low", "high")] if off > 1 else ["low", "high"])))
+        joined = some.join(F.broadcast(ends) if ends.count() <= GROUPS_SENT else ends, some["g"].eqNullSafe(ends["of"]))
+        before = F.col("v").isNull() | (F.col("v") < F.col("low"))
+        # all below are one row, all above are none of use
+        key = F.when(~F.coalesce(before & F.col("low").isNotNull(), F.lit(False)), F.col("v"))
+        counts = joined.where(F.col("v").isNull() | F.col("high").isNull() | (F.col("v") <= F.col("high"))).groupBy("g", "rank", F.coalesce(before & F.col("low").isNotNull(), F.lit(False)).alias("below"), key.alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("nulls"))
+        order = Window.partitionBy("g").orderBy(F.desc("below"), F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        placed = cut(counts.withColumn("upto", F.sum("n").over(order)).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))))
+        # among what lies below, the rank is known only if all of it are nulls
+        good = placed.where(~F.col("below") | (F.col("nulls") == F.col("n"))).select(F.col("g").alias(group), F.col("v").alias("value"))
+        found = good if found is None else found.unionAll(good)
+        missing = cut(ends.select(F.col("of").alias("miss")).join(good.select(F.col(group).alias("has"), F.lit(1).alias("one")), F.col("miss").eqNullSafe(F.col("has")), "left").where("one IS NULL").select("miss"))
+        if missing.isEmpty():
+            return found
+        left, off = missing, off * 64
 
 
 def telemetry_gaps(raw: DataFrame, shapes: DataFrame, window_us: int = 600_000_000) -> DataFrame:

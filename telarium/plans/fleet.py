@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from telarium.checkpoint import cut, folder
 from telarium.functions import scalars as sc
 from telarium.operators import evidence as ev
-from telarium.operators import facts, reports, rules, translate
+from telarium.operators import entities, facts, reports, rules, sketches, translate
 from telarium.plans import detection as d
 from telarium.plans.register import TEL, Registry
 from telarium.functions import privacy
@@ -66,22 +66,49 @@ def coverage(spark, sf_dir):
     return reports.coverage(telemetry(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6)).withColumn("blind_spot", F.round("blind_spot", 6))
 
 
-@R.query(f"WITH {TEL}, c AS (SELECT host, lower(image) AS k, count(*) AS n FROM tel WHERE kind = 'process_start' GROUP BY ALL) SELECT host, count(*) AS distinct_n, CAST(sum(n) AS BIGINT) AS total, round(count(*) / sum(n), 6) AS novelty_rate, round(count(*) / (2 * count(*)), 6) AS coverage_estimate FROM c GROUP BY host")
+@R.query(f"WITH {TEL}, c AS (SELECT host, lower(image) AS k, count(*) AS n, min(us) AS first FROM tel WHERE kind = 'process_start' GROUP BY ALL) SELECT host, count(*) AS distinct_n, CAST(sum(n) AS BIGINT) AS total, round(count(*) / sum(n), 6) AS novelty_rate, count(*) FILTER (first >= (SELECT max(us) FROM tel) - 2160000000000) AS novel, round(count(*) / (count(*) + count(*) FILTER (first >= (SELECT max(us) FROM tel) - 2160000000000)), 6) AS coverage_estimate FROM c GROUP BY host")
 def novelty_summary(spark, sf_dir):
-    rows = reports.novelty_summary(telemetry(spark, sf_dir).where("kind = 'process_start'"), F.lower("image"))
-    return rows.select("host", F.col("distinct").alias("distinct_n"), "total", F.round("novelty_rate", 6).alias("novelty_rate"), F.round("coverage_estimate", 6).alias("coverage_estimate"))
+    """Novel are the images of the last 25 days."""
+    events = telemetry(spark, sf_dir)
+    since = events.agg(F.max("us")).first()[0] - 2_160_000_000_000
+    rows = reports.novelty_summary(events.where("kind = 'process_start'"), F.lower("image"), since)
+    return rows.select("host", F.col("distinct").alias("distinct_n"), "total", "novel", F.round("novelty_rate", 6).alias("novelty_rate"), F.round("coverage_estimate", 6).alias("coverage_estimate"))
 
 
-@R.query(f"WITH {TEL} SELECT host, pid, min(us) AS first_seen, max(us) AS last_seen, arg_max(image, (us, id)) AS label, count(*) AS n FROM tel WHERE kind = 'process_start' GROUP BY host, pid")
-def entity_state(spark, sf_dir):
-    rows = telemetry(spark, sf_dir).where("kind = 'process_start'")
-    return rows.groupBy("host", "pid").agg(F.min("us").alias("first_seen"), F.max("us").alias("last_seen"), F.max_by("image", F.struct("us", "id")).alias("label"), F.count("*").alias("n"))
+_ENTITIES = """p AS (SELECT *, us % 3 AS part FROM tel WHERE kind = 'process_start'),
+att AS (SELECT host, pid, 'parent_pid' AS key, cast(parent_pid AS varchar) AS value, us, id FROM p WHERE parent_pid IS NOT NULL UNION ALL SELECT host, pid, 'user', user_name, us, id FROM p WHERE user_name IS NOT NULL),
+la AS (SELECT host, pid, key, arg_max(value, (us, id)) AS value FROM att GROUP BY host, pid, key),
+mm AS (SELECT host, pid, string_agg(key || '=' || value, ',' ORDER BY key) AS attrs FROM la GROUP BY host, pid)"""
 
 
-@R.query(f"WITH {TEL} SELECT host, image AS label, array_to_string(list_sort(list(DISTINCT pid)), ',') AS pids FROM tel WHERE kind = 'process_start' GROUP BY host, image")
+@R.query(f"WITH {TEL}, {_ENTITIES} SELECT host, pid, min(us) AS first_seen, max(us) AS last_seen, arg_max(image, (us, id)) AS label, count(*) AS n, coalesce(any_value(attrs), '') AS attrs FROM p LEFT JOIN mm USING (host, pid) GROUP BY host, pid")
+def entity_state(spark, sf_dir):
+    """The state after three batches, out of order, with one of them sent twice."""
+    seen = entities.processes(telemetry(spark, sf_dir))
+    table = entities.state_table(spark, f"{folder(spark)}/entities-{uuid.uuid4().hex}", fanout=2)
+    for epoch, part in enumerate((2, 0, 1)):
+        batch = entities.changes(seen.where(F.col("us") % 3 == part))
+        table.append(batch, "fleet", epoch)
+    table.append(batch, "fleet", 2)
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return entities.entities(table.read()).select("host", F.col("entity").alias("pid"), F.col("first_us").alias("first_seen"), F.col("last_us").alias("last_seen"), "label", "n", attrs.alias("attrs"))
+
+
+@R.query(f"WITH {TEL} SELECT DISTINCT host, 'process' AS kind, image AS label, pid FROM tel WHERE kind = 'process_start'")
 def entity_fiber(spark, sf_dir):
-    rows = telemetry(spark, sf_dir).where("kind = 'process_start'")
-    return rows.groupBy("host", F.col("image").alias("label")).agg(F.array_join(F.sort_array(F.collect_set("pid")), ",").alias("pids"))
+    return entities.fiber(entities.processes(telemetry(spark, sf_dir))).select("host", "kind", "label", F.col("entity").alias("pid"))
+
+
+@R.query(f"WITH {TEL} SELECT host, count(DISTINCT pid) AS distinct_n, count(*) AS total, true AS within FROM tel GROUP BY host UNION ALL SELECT NULL, count(DISTINCT pid), count(*), true FROM tel")
+def fleet_distinct(spark, sf_dir):
+    """Distinct processes by host and of the fleet (null), exactly and by merged hourly sketches, which must be within four standard errors."""
+    events = telemetry(spark, sf_dir)
+    hours = cut(sketches.rolled_up(events, F.col("pid")))
+    told = sketches.estimated(sketches.merged(hours, "host")).unionByName(sketches.estimated(sketches.merged(hours).withColumn("host", F.lit(None).cast("string"))))
+    exact = events.rollup("host").agg(F.count_distinct("pid").alias("distinct_n"), F.count("*").alias("total"))
+    both = exact.join(told.select(F.col("host").alias("of"), F.col("distinct").alias("told"), F.col("n").alias("told_n")), F.col("host").eqNullSafe(F.col("of")))
+    within = (F.abs(F.col("told") - F.col("distinct_n")) <= F.greatest(F.lit(1.0), 4 * sketches.standard_error() * F.col("distinct_n"))) & (F.col("told_n") == F.col("total"))
+    return both.select("host", "distinct_n", "total", within.alias("within"))
 
 
 @R.query(f"WITH {TEL} SELECT host, pid, max(id) FILTER (us = m) AS id FROM (SELECT *, max(us) OVER (PARTITION BY host, pid) AS m FROM tel) GROUP BY host, pid")
@@ -256,9 +283,16 @@ def telemetry_gaps(spark, sf_dir):
     return reports.in_gap_order(reports.telemetry_gaps(shaped(spark, sf_dir), translate.shape_table(spark)))
 
 
-@R.query(f"WITH {_RAW}, a AS (SELECT host, count(*) AS received, count(*) FILTER (level > 4) AS filtered, count(*) FILTER (level <= 4 AND shape IS NOT NULL AND failure IS NULL) AS delivered, count(*) FILTER (level <= 4 AND (shape IS NULL OR failure IS NOT NULL)) AS dropped, sum(payload_bytes) FILTER (level <= 4 AND shape IS NOT NULL AND failure IS NULL) AS b FROM sh GROUP BY host) SELECT host, received, filtered, delivered, dropped, true AS closes, received - delivered AS lost, round(delivered / received, 6) AS coverage, round(b / delivered, 6) AS mean_payload_bytes FROM a")
+_FORM = "CASE WHEN id % 31 = 0 THEN 'classic' WHEN id % 37 = 0 THEN 'string_only' WHEN id % 41 = 0 THEN 'trace_message' WHEN host = 'host-3' AND id % 101 = 0 THEN NULL ELSE 'manifest' END"
+_KEPT = "form = 'manifest' AND level <= 4 AND shape IS NOT NULL AND failure IS NULL"
+
+
+@R.query(f"""WITH {_RAW}, fo AS (SELECT *, {_FORM} AS form FROM sh), a AS (SELECT host, count(*) AS received, count(*) FILTER (form = 'classic') AS classic, count(*) FILTER (form = 'string_only') AS string_only, count(*) FILTER (form = 'trace_message') AS trace_message,
+  count(*) FILTER (form = 'manifest' AND level > 4) AS filtered, count(*) FILTER ({_KEPT}) AS delivered, count(*) FILTER (form = 'manifest' AND level <= 4 AND (shape IS NULL OR failure IS NOT NULL)) AS dropped, sum(payload_bytes) FILTER ({_KEPT}) AS b, count(*) FILTER (form IS NULL) AS uncounted FROM fo GROUP BY host)
+  SELECT host, received, classic, string_only, trace_message, filtered, delivered, dropped, uncounted = 0 AS closes, received - delivered AS lost, round(delivered / received, 6) AS coverage, round(b / delivered, 6) AS mean_payload_bytes FROM a""")
 def sensor_accounting(spark, sf_dir):
-    rows = reports.sensor_accounting(shaped(spark, sf_dir))
+    """One host has events of a form that no counter counts."""
+    rows = reports.sensor_accounting(shaped(spark, sf_dir).withColumn("form", F.expr(_FORM)))
     return rows.withColumn("coverage", F.round("coverage", 6)).withColumn("mean_payload_bytes", F.round("mean_payload_bytes", 6))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telarium.functions import scalars as sc
+from telarium.functions import dynamic as dy
 from telarium.operators import algebra as al
 from telarium.operators import facts, reports
 from telarium.plans.register import Registry
@@ -175,10 +176,10 @@ def blast_radius(spark, sf_dir):
 _TRUST = "CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_nationkey / 20.0 END"
 
 
-@R.query(f"SELECT s_suppkey, round(2.5 * CASE WHEN t IS NULL THEN 0.5 ELSE least(1, t) END, 6) AS weighted FROM supplier LEFT JOIN (SELECT n_nationkey AS k, {_TRUST} AS t FROM nation WHERE n_nationkey % 7 <> 3) ON s_nationkey = k")
+@R.query(f"SELECT s_suppkey, round(2.5 * CASE WHEN t IS NULL THEN 0.5 ELSE least(1, t) END * least(1, greatest(0, s_suppkey % 7 / 5.0 - 0.2)), 6) AS weighted FROM supplier LEFT JOIN (SELECT n_nationkey AS k, {_TRUST} AS t FROM nation WHERE n_nationkey % 7 <> 3) ON s_nationkey = k")
 def trust_weighted(spark, sf_dir):
     trust = _t(spark, sf_dir, "nation").where("n_nationkey % 7 <> 3").selectExpr("n_nationkey AS source", f"cast({_TRUST} AS double) AS trust")
-    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("source"), F.lit(2.5).alias("ratio"))
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("source"), F.lit(2.5).alias("ratio"), (F.col("s_suppkey") % 7 / 5.0 - 0.2).alias("similarity"))
     return al.trust_weighted(rows, trust).select("s_suppkey", F.round("weighted", 6).alias("weighted"))
 
 
@@ -228,10 +229,23 @@ def causal_links(spark, sf_dir):
     return al.causal_links(_trace(spark, sf_dir), 21_600_000_000).agg(F.count("*").alias("links"), F.sum("a_id").alias("checksum"))
 
 
-@R.query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.missing') IS NULL AS absent FROM events")
+_PAYLOAD = """concat('{"k": ', cast(event_id % 9 AS string), ', "v": ', CASE event_id % 8 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN cast(event_id AS string) WHEN 3 THEN '2.5' WHEN 4 THEN '"text"' WHEN 5 THEN '""' WHEN 6 THEN concat('[', cast(event_id AS string), ', {"in": "x"}]') ELSE '{}' END, ', "user": {"id": ', cast(user_id AS string), '}}')"""
+
+
+@R.query(f"""WITH p AS (SELECT event_id, json({_PAYLOAD.replace("AS string", "AS varchar")}) AS j FROM events), v AS (SELECT *, json_extract(j, '$.v') AS v, json_type(j, '$.v') AS t FROM p)
+SELECT event_id, CAST(json_extract(j, '$.k') AS BIGINT) AS k, CAST(json_extract(j, '$.user.id') AS BIGINT) AS user_id,
+  CASE t WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' ELSE 'object' END AS type,
+  CASE WHEN t = 'BOOLEAN' THEN CAST(v AS BOOLEAN) END AS as_bool, CASE WHEN t = 'UBIGINT' THEN CAST(v AS BIGINT) END AS as_int, CASE WHEN t IN ('UBIGINT', 'DOUBLE') THEN CAST(v AS DOUBLE) END AS as_float, CASE WHEN t = 'VARCHAR' THEN v->>'$' END AS as_string,
+  CASE WHEN t = 'ARRAY' THEN CAST(json_extract(v, '$[0]') AS BIGINT) END AS first, json_extract(v, '$[1].in')->>'$' AS inner_, t = 'NULL' OR CAST(v AS VARCHAR) IN ('""', '[]', '{{}}') AS empty, json_extract(j, '$.missing') IS NULL AS absent FROM v""")
 def payload_access(spark, sf_dir):
-    v = F.parse_json("props")
-    return _t(spark, sf_dir, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.missing", "string").isNull().alias("absent"))
+    """Fields, places of arrays, typed reads, type names and emptiness of payloads of all kinds."""
+    payload = F.parse_json(F.expr(_PAYLOAD))
+    v = dy.at(payload, "v")
+    return _t(spark, sf_dir, "events").select(
+        "event_id", dy.as_int(dy.at(payload, "k")).alias("k"), dy.as_int(dy.at(payload, "user", "id")).alias("user_id"), dy.type_name(v).alias("type"),
+        dy.as_bool(v).alias("as_bool"), dy.as_int(v).alias("as_int"), dy.as_float(v).alias("as_float"), dy.as_string(v).alias("as_string"),
+        dy.as_int(dy.at(v, 0)).alias("first"), dy.as_string(dy.at(v, 1, "in")).alias("inner_"), dy.is_empty(v).alias("empty"), dy.at(payload, "missing").isNull().alias("absent"),
+    )
 
 
 @R.query("WITH e AS (SELECT event_type, least(1, greatest(0, value / 1000.0)) AS p, event_id % 2 = 0 AS acted, 1.0 + event_id % 3 AS a, 1.0 + event_id % 5 AS b FROM events WHERE value IS NOT NULL) SELECT event_type, round(avg(greatest(0, CASE WHEN acted THEN a * (1 - p) ELSE b * p END - least(a * (1 - p), b * p))), 6) AS regret, count(*) FILTER (a <= b) AS minimax_acts, round(avg(a * 1.2 / (a * 1.2 + b * 0.8)), 6) AS robust_threshold FROM e GROUP BY event_type")
