@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from telarium.checkpoint import cut
 from telarium.functions.scalars import ip4
 from telarium.operators import sigma
+from telarium.operators.prefixes import digits6
 
 GRAM = 3
 RULES_SENT = 64 << 20
@@ -230,20 +231,11 @@ def run_counts(rows: DataFrame, rules: DataFrame) -> DataFrame:
 # evaluation -------------------------------------------------------------------
 
 
-def _address6(value: Column) -> Column:
-    """32 digits of an IPv6 address; null for other text."""
-    parts = F.split(F.lower(value), "::")
-    spread = lambda side: F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
-    head, tail = F.array_join(spread(F.get(parts, F.lit(0))), ""), F.array_join(spread(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), "")
-    full = F.concat(head, F.repeat(F.lit("0"), 32 - F.length(head) - F.length(tail)), tail)
-    return F.when(value.contains(":") & (F.length(full) == 32), full)
-
-
 def _met(n: Column, value: Column, values: Column) -> Column:
     kind, text = n["kind"], F.when(n["cased"], value).otherwise(F.lower(value))
     number = F.trim(value).try_cast("double")
     four = F.lpad(ip4(value).cast("string"), 10, "0")
-    six = _address6(value)
+    six = digits6(value)
     test = (
         F.when(kind == NULL, value.isNull())
         .when(kind == EQUALS, text == n["text"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from telarium.checkpoint import cut, folder
 from telarium.functions import scalars as sc
 from telarium.operators import evidence as ev
-from telarium.operators import entities, facts, reports, rules, sketches, translate
+from telarium.operators import entities, facts, prefixes, reports, rules, sketches, translate
 from telarium.plans import detection as d
 from telarium.plans.register import TEL, Registry
 from telarium.functions import privacy
@@ -310,7 +310,7 @@ def device_path(spark, sf_dir):
     raw = F.concat(F.when(F.col("k") % 3 == 0, "\\Device\\HarddiskVolume1").when(F.col("k") % 3 == 1, "\\Device\\HarddiskVolume12").otherwise("\\Device\\Other"), F.expr("substring(path, 3)"))
     table = spark.createDataFrame([*_MOUNTS], "device string, root string")
     mounts = rows.select("host").distinct().crossJoin(F.broadcast(table)).where("NOT (host = 'host-3' AND device LIKE '%12')")
-    return translate.with_mounts(rows.select("id", "host", raw.alias("raw")), mounts).select("id", translate.dos_path(F.col("raw"), F.col("mounts")).alias("path"))
+    return prefixes.dos_paths(rows.select("id", "host", raw.alias("path")), "path", mounts).select("id", "path")
 
 
 @R.query(rf"WITH {TEL} SELECT id, CASE WHEN starts_with(key_path, 'HKLM') THEN 'HKLM' ELSE 'HKU' END || substr(key_path, 5) AS key_path FROM tel WHERE kind = 'registry_set'")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telarium.functions import scalars as sc
 from telarium.functions import dynamic as dy
 from telarium.operators import algebra as al
-from telarium.operators import facts, reports
+from telarium.operators import facts, prefixes, reports
 from telarium.plans.register import Registry
 
 R = Registry()
@@ -224,9 +224,22 @@ def happens_before(spark, sf_dir):
     return pairs.select("user_id", al.happens_before(F.col("clock"), F.col("next")).alias("before"), al.concurrent(F.col("clock"), F.col("next")).alias("concurrent"))
 
 
-@R.query("WITH t AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id AS actor, (user_id * 7) % 150 AS target FROM events) SELECT count(*) AS links, CAST(sum(a_id) AS BIGINT) AS checksum FROM (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM t a JOIN t b ON (a.actor = b.actor OR a.target = b.actor) AND (a.us < b.us OR a.us = b.us AND a.id < b.id) AND b.us - a.us <= 21600000000)")
+@R.query("WITH t AS (SELECT event_id AS id, epoch_us(ts) AS us, user_id AS actor, (user_id * 7) % 150 AS target FROM events) SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM t a JOIN t b ON (a.actor = b.actor OR a.target = b.actor) AND (a.us < b.us OR a.us = b.us AND a.id < b.id) AND b.us - a.us <= 21600000000")
 def causal_links(spark, sf_dir):
-    return al.causal_links(_trace(spark, sf_dir), 21_600_000_000).agg(F.count("*").alias("links"), F.sum("a_id").alias("checksum"))
+    return al.causal_links(_trace(spark, sf_dir), 21_600_000_000)
+
+
+@R.query("""WITH a AS (SELECT event_id, '10.' || (user_id % 40) || '.' || (event_id % 250) || '.7' AS address, CASE WHEN user_id % 40 < 25 THEN '10.' || (user_id % 40) || '.99.0/16' ELSE '10.0.0.0/8' END AS network FROM events
+UNION ALL SELECT event_id, '2001:db8:' || format('{:x}', user_id % 60) || '::' || format('{:x}', event_id % 5000), CASE WHEN user_id % 60 < 25 THEN '2001:db8:' || format('{:x}', user_id % 60) || '::/48' WHEN user_id % 60 < 32 THEN '2001:DB8::/43' END FROM events
+UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_id % 50 = 0) SELECT * FROM a""")
+def cidr_lookup(spark, sf_dir):
+    """The innermost network of each address, of both versions, nested ones and text that is no address."""
+    e, n = _t(spark, sf_dir, "events"), _t(spark, sf_dir, "nation")
+    nets = n.selectExpr("concat('10.', n_nationkey, '.99.0/16') AS network").unionAll(n.selectExpr("concat('2001:db8:', lower(hex(n_nationkey)), '::/48')"))
+    nets = nets.unionAll(n.where("n_nationkey = 0").selectExpr("explode(array('10.0.0.0/8', '2001:DB8::/43', '10.0.0.0/99', 'none', '::1::/8'))"))
+    rows = e.selectExpr("event_id", "concat('10.', user_id % 40, '.', event_id % 250, '.7') AS address").unionAll(e.selectExpr("event_id", "concat('2001:db8:', lower(hex(user_id % 60)), '::', lower(hex(event_id % 5000)))"))
+    rows = rows.unionAll(e.where("event_id % 50 = 0").select("event_id", "event_type"))
+    return prefixes.networks_of(rows, F.col("address"), nets).select("event_id", "address", F.col("found.network").alias("network"))
 
 
 _PAYLOAD = """concat('{"k": ', cast(event_id % 9 AS string), ', "v": ', CASE event_id % 8 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN cast(event_id AS string) WHEN 3 THEN '2.5' WHEN 4 THEN '"text"' WHEN 5 THEN '""' WHEN 6 THEN concat('[', cast(event_id AS string), ', {"in": "x"}]') ELSE '{}' END, ', "user": {"id": ', cast(user_id AS string), '}}')"""

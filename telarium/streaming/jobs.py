@@ -136,6 +136,16 @@ def coalesced(firings: DataFrame, window_us: int, least_rank: int, restate_ms: i
     return firings.groupBy("host", "rule").applyInPandasWithState(step, schema, "folded long, worst int, last long, alert long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def causal_links(trace: DataFrame, horizon: str = "1 hour", late: str = LATE) -> DataFrame:
+    """``algebra.causal_links`` on a stream of (id, us, actor, target): a join of the stream with itself
+    in an interval of time; each side's state goes when the watermark has passed the horizon."""
+    rows = trace.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", late)
+    a = rows.withColumn("key", F.explode(F.array_distinct(F.array("actor", "target")))).select(F.col("key").alias("a_key"), F.col("id").alias("a_id"), F.col("us").alias("a_us"), F.col("ts").alias("a_ts"))
+    b = rows.select(F.col("actor").alias("b_key"), F.col("id").alias("b_id"), F.col("us").alias("b_us"), F.col("ts").alias("b_ts"))
+    near = F.expr(f"b_ts >= a_ts AND b_ts <= a_ts + INTERVAL {horizon}")
+    return a.join(b, (F.col("a_key") == F.col("b_key")) & near & ((F.col("a_us") < F.col("b_us")) | (F.col("a_id") < F.col("b_id")))).select("a_id", "b_id")
+
+
 def deduplicated(batches: DataFrame, horizon: str = "1 hour") -> DataFrame:
     """A batch id seen within the horizon is not counted again."""
     return batches.withWatermark("sent_at", horizon).dropDuplicatesWithinWatermark(["batch_id"])
