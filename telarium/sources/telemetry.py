@@ -106,16 +106,29 @@ def laid_out(events: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(at)
 
 
-_STORED: dict[tuple[str, str, str], tuple[str, object]] = {}
+_STORED: dict[tuple, tuple[str, object]] = {}
+
+
+def _files(spark: SparkSession, path: str):
+    """(name, length, time) of the files of a table, a file or a folder, in any store."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}{{,/*}}"))
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found if f.isFile()))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
 
 
 def stored(spark: SparkSession, name: str, sf_dir: str, build, *by: str) -> DataFrame:
     """A table derived from the input tables, written once a session by kind (or ``by``) as ingest would leave it.
 
-    It holds whole tables. An application that sees its input change calls ``build`` itself.
+    It holds whole tables, and is written anew if a file of the input tables was
+    added, removed or changed, or if the written folder is gone.
     """
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _STORED:
+    key = (spark.sparkContext.applicationId, name, sf_dir, _files(spark, f"{sf_dir}/events.parquet"), _files(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _STORED or not _exists(spark, _STORED[key][0]):
         rows, at = build(), f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         rows.write.partitionBy(*(by or ("kind",))).parquet(at)
         _STORED[key] = (at, rows.schema)
