@@ -36,7 +36,7 @@ from telarium.llm.common import with_fields
 #: Fixed value: the pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a worker keeps with their ids; it starts anew beyond.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 600_000
 #: Bytes beyond which a piece is merged with a heap.
 LONG = 160
 _NONE = 1 << 60
@@ -70,6 +70,8 @@ class Codec:
 
     def __init__(self, text: str):
         self.known: dict[str, tuple[int, ...]] = {}
+        #: one object for each id, which all units share
+        self.shared: list[int] = []
         self.counts = _Counts(self)
         self.pieces = regex.compile(PATTERN)
         self.rank: dict[int, int] = {}
@@ -148,9 +150,12 @@ class Codec:
             out += self.merge(piece.encode())
         if len(self.known) >= CACHE_UNITS:
             self.known.clear()
+        if not self.shared:
+            self.shared = list(range(1 + max(self.bytes_of)))
+        ids = tuple(map(self.shared.__getitem__, out))
         if len(unit) <= 64:
-            self.known[unit] = tuple(out)
-        return tuple(out)
+            self.known[unit] = ids
+        return ids
 
     def _plain(self, text: str, out: list[int]) -> None:
         known = self.known
