@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telarium.functions.scalars import SEVERITIES, log_ratio, minimise, logit, severity_band, severity_rank, sigmoid
+from telarium.functions.scalars import SEVERITIES, half_life_weight, log_ratio, minimise, logit, severity_band, severity_rank, sigmoid
 from telarium.operators.rules import title_of
 
 PRIOR, HALF_LIFE_S, COST_FALSE_ALARM, COST_MISS, WINDOW_US = 0.01, 600.0, 1.0, 20.0, 300_000_000
@@ -38,7 +38,7 @@ def evidence(findings: DataFrame, half_life_s: float = HALF_LIFE_S, prior: float
     rows = events.withColumn("block", block).withColumn("lift", lift).withColumn("x", F.col("gain") * lift)
     inside = Window.partitionBy("host", "key", "block").orderBy("us", "id").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("host", "key").orderBy("block").rangeBetween(-1, -1)
-    total = F.sum("x").over(inside) + F.coalesce(F.sum("x").over(before), F.lit(0.0)) * 2.0**-BLOCK
+    total = F.sum("x").over(inside) + F.coalesce(F.sum("x").over(before), F.lit(0.0)) * half_life_weight(F.lit(BLOCK * half_life_s), half_life_s)
     return (
         rows.withColumn("log_odds", total / F.col("lift"))
         .withColumn("p", sigmoid(logit(F.lit(prior)) + F.col("log_odds")))

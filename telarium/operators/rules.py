@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telarium.functions.scalars import base_name, contains_any, ends_with_any, is_routable, stem
+from telarium.functions.scalars import base_name, command_image, contains_any, ends_with_any, is_routable, stem
 
 # The lists that the rules compare with.
 INTERPRETERS = ("cmd.exe", "powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe", "rundll32.exe", "regsvr32.exe", "certutil.exe", "bitsadmin.exe")
@@ -85,15 +85,49 @@ class Rule:
     def finding(self, order: int) -> Column:
         fires = F.coalesce(self.when, F.lit(False))
         clamp = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1.0), c))
-        return F.when(fires, F.struct(F.lit(order).alias("ord"), F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), clamp(self.pair(1)).alias("hit"), clamp(self.pair(2)).alias("miss"), F.expr(DETAILS[self.kind]).alias("detail")))
+        return F.when(fires, F.struct(F.lit(order).alias("ord"), F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), clamp(self.pair(1)).alias("hit"), clamp(self.pair(2)).alias("miss"), detail_of(self.name).alias("detail")))
 
 
-#: What a finding shows of an event of each kind.
+def _holds(column: str, needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{n}')" for n in needles) + ")"
+
+
+def _first(column: str, needles: tuple[str, ...]) -> str:
+    """The first of the needles, in their order, that a text holds."""
+    return "CASE " + " ".join(f"WHEN contains(lower({column}), '{n}') THEN '{n}'" for n in needles) + " ELSE '' END"
+
+
+#: What a finding of each rule tells, as SQL over its event: the sign that was seen, never a whole script.
 DETAILS = {
-    "process_start": "coalesce(command_line, image)", "process_exit": "concat('exit code ', cast(exit_code AS string))", "image_load": "path", "registry_set": "concat_ws(chr(92), key_path, value_name)",
-    "dns_query": "query_name", "script_block": "substring(script_text, 1, 80)", "file_create": "path", "file_delete": "path", "file_rename": "new_path", "network_connect": "destination_ip",
-    "network_disconnect": "destination_ip", "wmi_process": "command_line", "wmi_subscription": "coalesce(consumer, 'no consumer')", "task_registered": "task_name",
+    "encoded_powershell": f"concat('encoded command line', CASE WHEN {_holds('command_line', HIDDEN)} THEN ', window hidden' ELSE ', window shown' END)",
+    "interpreter_from_host_app": "concat(coalesce(parent_image, 'unknown'), ' started ', image)",
+    "masquerading_outside_system32": "concat(image, ' has the name of a system file')",
+    "lolbin_remote_fetch": "concat(image, ' with a remote location')",
+    "run_key_persistence": "concat('value set below ', key_path)",
+    "high_abuse_tld": "concat('query for ', query_name)",
+    "novel_binary_in_writable_location": "concat('first start of ', image)",
+    "process_fanout_burst": "concat(cast(siblings AS string), ' children of one parent before it')",
+    "script_block_encoded_command": "'script with an encoded command'",
+    "script_block_obfuscated": f"concat('script with ', {_first('script_text', OBFUSCATION)})",
+    "script_block_remote_fetch": f"concat('script with ', {_first('script_text', REMOTE)})",
+    "script_block_defence_evasion": f"concat('script with ', {_first('script_text', EVASION)})",
+    "wmi_process_creation": f"concat(CASE WHEN {_holds('command_line', INTERPRETERS)} OR {_holds('command_line', LOLBINS)} THEN 'interpreter or system tool' ELSE 'process' END, CASE WHEN coalesce(is_local = false, false) OR coalesce(client_machine NOT IN ('', '.'), false) THEN ' started from afar: ' ELSE ' started: ' END, {{command}})",
+    "wmi_permanent_subscription": f"concat(CASE WHEN {_holds('coalesce(consumer, ' + chr(39) * 2 + ')', CODE_CONSUMERS)} THEN 'subscription that runs code: ' ELSE 'subscription: ' END, coalesce(consumer, 'no consumer'))",
+    "scheduled_task_registered": "concat(CASE WHEN contains(lower(task_name), 'microsoft') OR contains(lower(task_name), 'windows') OR contains(lower(task_name), 'defender') THEN 'task with a system name: ' ELSE 'task: ' END, task_name)",
+    "unsigned_image_from_writable_location": "concat('unsigned ', path)",
+    "executable_dropped_in_writable_location": "concat('written: ', path)",
+    "executable_deleted_from_staging_location": "concat('deleted: ', path)",
+    "ransomware_extension_on_rename": "concat('renamed to ', new_path)",
+    "connect_to_implant_default_port": "concat('port ', cast(destination_port AS string), ' of ', destination_ip)",
+    "large_transfer_to_implant_port": "concat(cast(bytes_sent AS string), ' bytes to port ', cast(destination_port AS string), ' of ', destination_ip)",
+    "exploitation_crash_exit_code": "concat('exit code ', cast(exit_code AS string))",
 }
+def detail_of(name: str) -> Column:
+    """What a finding tells; the program of a command line by ``command_image``."""
+    head, _, tail = DETAILS[name].partition("{command}")
+    if not _:
+        return F.expr(DETAILS[name])
+    return F.concat(F.expr(head.rstrip(", ") + ")"), command_image(F.col("command_line")))
 
 
 #: Rules that share a pass over the rows of their kinds.

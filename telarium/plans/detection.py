@@ -82,14 +82,15 @@ fs AS (SELECT ps.*, par.parent_id, par.parent_image,
 f AS (SELECT * FROM fs UNION ALL BY NAME SELECT *, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS VARCHAR) AS parent_image, CAST(NULL AS BIGINT) AS sighting, CAST(NULL AS BIGINT) AS siblings FROM tel WHERE kind <> 'process_start')"""
 
 
-_DETAIL = """CASE kind WHEN 'process_start' THEN coalesce(command_line, image) WHEN 'process_exit' THEN 'exit code ' || exit_code WHEN 'registry_set' THEN concat_ws(chr(92), key_path, value_name)
-  WHEN 'dns_query' THEN query_name WHEN 'script_block' THEN substr(script_text, 1, 80) WHEN 'file_rename' THEN new_path WHEN 'wmi_process' THEN command_line WHEN 'wmi_subscription' THEN coalesce(consumer, 'no consumer')
-  WHEN 'task_registered' THEN task_name WHEN 'network_connect' THEN destination_ip WHEN 'network_disconnect' THEN destination_ip ELSE path END"""
+def _detail(name: str) -> str:
+    """A rule's text in DuckDB, with the program of a command line."""
+    program = r"""left(regexp_replace(string_split_regex(trim(command_line), '\s+')[1], '^"+|"+$', '', 'g'), 80)"""
+    return rules.DETAILS[name].replace("{command}", program).replace("AS string", "AS varchar")
 
 
 def _rule_sql(name: str, order: int) -> str:
     kind, test, hit, miss = RULE_SQL[name]
-    return f"SELECT id, host, us, pid, {order} AS ord, '{name}' AS rule, cast({hit} AS double) AS hit, cast({miss} AS double) AS miss, '{rules.TECHNIQUES[name]}' AS technique, {_DETAIL} AS detail FROM f WHERE kind = '{kind}' AND {test}"
+    return f"SELECT id, host, us, pid, {order} AS ord, '{name}' AS rule, cast({hit} AS double) AS hit, cast({miss} AS double) AS miss, '{rules.TECHNIQUES[name]}' AS technique, {_detail(name)} AS detail FROM f WHERE kind = '{kind}' AND {test}"
 
 
 def minimised_sql(column: str) -> str:
