@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telarium.checkpoint import cut, folder
 from telarium.functions.scalars import entropy
@@ -281,49 +282,73 @@ def causal_links(trace: DataFrame, horizon_us: int) -> DataFrame:
     return a.join(b, (F.col("key") == F.col("b_actor")) & (F.col("a_span") == F.col("b_span")) & later).select("a_id", "b_id")
 
 
-def _folded(rows: DataFrame, group: str, order: list, take) -> DataFrame:
-    """A fold over each group's rows in order, with ``take(state, row) -> (taken, state)``.
+def charged(costs: np.ndarray, spent: float, limit: float, step: Callable = np.add) -> tuple[np.ndarray, float]:
+    """Which of the costs are taken in order, each if what is spent with it is within the limit; and what is spent.
 
-    Rows are dealt by group and sorted by Spark; the fold holds one state.
+    Runs of costs that fit are found by one accumulation each (the same
+    additions in the same order as one by one), and from a refused cost on the
+    next that fits is looked for in stretches that double.
     """
+    taken, at, stretch = np.zeros(len(costs), bool), 0, 64
+    while at < len(costs):
+        sums = step.accumulate(np.concatenate(([spent], costs[at : at + stretch])))
+        over = np.flatnonzero(sums[1:] > limit) if step is np.add else np.flatnonzero(sums[1:] < limit)
+        n = int(over[0]) if len(over) else len(sums) - 1
+        taken[at : at + n], spent = True, float(sums[n])
+        at, stretch = at + n, 2 * stretch if not len(over) else 64
+        look = 64
+        while len(over) and at < len(costs):  # stands at a cost that doesn't fit
+            rest = step(spent, costs[at : at + look])
+            fits = np.flatnonzero(rest <= limit) if step is np.add else np.flatnonzero(rest >= limit)
+            if len(fits):
+                at += int(fits[0])
+                break
+            at, look = at + look, 2 * look
+    return taken, spent
+
+
+def _folded(rows: DataFrame, group: str, order: list, cost: Column, start: float, limit: float, step: Callable) -> DataFrame:
+    """``rows`` with ``taken``, by ``charged`` over each group in order; a null cost is always taken, NaN never.
+
+    Rows are dealt by group and sorted by Spark; the fold holds one number.
+    """
+    rows = rows.withColumn("cost__", cost)
+    columns = [c for c in rows.columns if c != "cost__"]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
         for batch in batches:
-            taken = []
-            for row in batch.itertuples(index=False):
-                if getattr(row, group) != key:
-                    key, state = getattr(row, group), None
-                got, state = take(state, row)
-                taken.append(got)
-            yield batch.assign(taken=taken)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", taken boolean"
-    return rows.repartition(group).sortWithinPartitions(group, *order).mapInPandas(fold, schema)
+            if not len(batch):
+                continue
+            keys = batch.column(group).dictionary_encode(null_encoding="encode")
+            code, costs = keys.indices.to_numpy(zero_copy_only=False), batch.column("cost__")
+            free, costs = np.asarray(costs.is_null()), costs.to_numpy(zero_copy_only=False).astype(float)
+            out = free.copy()
+            heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(code)], strict=True):
+                mine = keys.dictionary[int(code[a])]
+                if key is None or not mine.equals(key):
+                    key, state = mine, start
+                paid = np.flatnonzero(~free[a:b] & ~np.isnan(costs[a:b])) + a
+                out[paid], state = charged(costs[paid], state, limit, step)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out)], names=[*columns, "taken"])
+
+    schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("taken", T.BooleanType())])
+    return rows.repartition(group).sortWithinPartitions(group, *order).mapInArrow(fold, schema)
 
 
 def triage(rows: DataFrame, budget: float) -> DataFrame:
     """Greedy by utility per cost; free items are always taken; what does not fit is skipped."""
-
-    def take(left, row):
-        left = budget if left is None else left
-        if row.cost <= 0:
-            return True, left
-        return (True, left - row.cost) if row.cost <= left else (False, left)
-
-    ratio = F.when(F.col("cost") <= 0, F.lit(float("inf"))).otherwise(F.col("utility") / F.col("cost"))
-    return _folded(rows.withColumn("ratio", ratio), "queue", [F.desc("ratio"), "id"], take)
+    free = F.col("cost") <= 0
+    ratio = F.when(free, F.lit(float("inf"))).otherwise(F.col("utility") / F.col("cost"))
+    cost = F.when(free, None).otherwise(F.coalesce(F.col("cost").cast("double"), F.lit(float("nan"))))
+    return _folded(rows.withColumn("ratio", ratio), "queue", [F.desc("ratio"), "id"], cost, budget, 0.0, np.subtract)
 
 
 def privacy_budget(rows: DataFrame, budget: float) -> DataFrame:
     """Charges ``eps`` in order (us, id), or refuses; a refusal spends nothing."""
-
-    def take(spent, row):
-        spent = 0.0 if spent is None else spent
-        ok = row.eps > 0 and spent + row.eps <= budget + 1e-12
-        return ok, spent + row.eps if ok else spent
-
-    return _folded(rows, "analyst", ["us", "id"], take)
+    eps = F.when(F.col("eps") > 0, F.col("eps").cast("double")).otherwise(F.lit(float("nan")))
+    return _folded(rows, "analyst", ["us", "id"], eps, 0.0, budget + 1e-12, np.add)
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
