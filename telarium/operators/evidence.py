@@ -8,13 +8,18 @@ before it adds what is left of its total; what is older is below 2**-256.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from telarium.checkpoint import cut
 from telarium.functions.scalars import SEVERITIES, half_life_weight, log_ratio, minimise, logit, severity_band, severity_rank, sigmoid
 from telarium.operators.rules import title_of
 
@@ -99,33 +104,48 @@ def audit(decided: DataFrame) -> DataFrame:
     return decided.where("acts").select("host", "us", "id", "action", "verdict", "reason")
 
 
+FATES = "host string, rule string, us long, id long, fate string, n long, rank int, alert long"
+_SUMMARY = "host string, rule string, part int, n long, last_us long, tail long, high int, first_us long, first_id long, first_after long, upto array<long>, exit_us array<long>, exit_id array<long>, exit_after array<long>"
+_ENTRY = "part int, folded long, since long, worst int, last long, chain long"
+
+
 def coalesced(decided: DataFrame, window_us: int = WINDOW_US, floor: str = "medium", flush_us: int | None = None) -> DataFrame:
     """Firings that act, each with its fate: emit (with count and severity), fold, below_floor.
 
-    A fold over each (host, rule) in time order. Rows are dealt by key and
-    sorted by Spark; the fold keeps five numbers, whatever the group's size,
-    and steps from alert to alert, not from row to row. With ``flush_us`` there
-    is a flush at every multiple of it: what was folded before a flush belongs
-    to the alert it was folded into, what comes after it to the next alert.
+    A fold over each (host, rule) in time order, which steps from alert to
+    alert, not from row to row. With ``flush_us`` there is a flush at every
+    multiple of it: what was folded before a flush belongs to the alert it was
+    folded into, what comes after it to the next alert.
+
+    Firings lie in ranges of (host, rule, time), so a busy key is many
+    partitions, which are folded side by side. Each is summarised first: for
+    whatever alert stood last before it, which alert stands last behind it (a
+    step function of the time of the former, found by jumping from alert to
+    next alert in doubling strides). A key's summaries are put together in
+    order, a block at a time, and give each partition the state that it starts
+    with, six numbers a partition.
     """
     least = SEVERITIES.index(floor)
-    firings = decided.where("acts AND verdict <> 'denied'").select("host", "rule", "us", "id", severity_rank(F.col("severity")).alias("rank"))
+    firings = cut(decided.where("acts AND verdict <> 'denied'").select("host", "rule", "us", "id", severity_rank(F.col("severity")).alias("rank")))
+    order = ["host", "rule", "us", "id"]
+    rows = cut(firings.repartitionByRange(*order).sortWithinPartitions(*order))
+    entries = _entries(rows, window_us, least, flush_us)
+    sent = rows.sparkSession.sparkContext.broadcast({r.part: (r.folded, r.since, r.worst, r.last, r.chain) for r in entries.collect()})
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, folded, since, worst, last, chain = None, 0, 0, 0, None, -1
+        key, entry = None, sent.value.get(TaskContext.get().partitionId())
         for batch in batches:
             if not len(batch):
                 continue
-            hosts, names = (batch.column(c).dictionary_encode() for c in ("host", "rule"))
-            h, r = hosts.indices.to_numpy(), names.indices.to_numpy()
+            h, r = _codes(batch)
             us, ids, rank = (batch.column(c).to_numpy() for c in ("us", "id", "rank"))
             fate, n = np.full(len(us), 1, np.int8), np.zeros(len(us), np.int64)  # 0 below the floor, 1 fold, 2 emit
             high, alert = np.empty(len(us), np.int32), np.full(len(us), -1, np.int64)
-            heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(us)], strict=True):
-                mine = (hosts.dictionary[int(h[a])].as_py(), names.dictionary[int(r[a])].as_py())
+            for a, b in _segments(h, r):
+                mine = (batch.column("host")[a].as_py(), batch.column("rule")[a].as_py())
                 if mine != key:
-                    key, folded, since, worst, last, chain = mine, 0, 0, int(rank[a]), None, -1
+                    folded, since, worst, last, chain = entry if key is None and entry is not None else (0, 0, int(rank[a]), None, -1)
+                    key = mine
                 high[a:b] = np.maximum(np.maximum.accumulate(rank[a:b]), worst)
                 worst = int(high[b - 1])
                 i = a + int(np.searchsorted(high[a:b], least))
@@ -149,8 +169,98 @@ def coalesced(decided: DataFrame, window_us: int = WINDOW_US, floor: str = "medi
                     i += 1
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("rule"), batch.column("us"), batch.column("id"), pa.array(np.array(["below_floor", "fold", "emit"], object)[fate]), pa.array(n), pa.array(high), pa.array(alert, mask=alert < 0)], names=["host", "rule", "us", "id", "fate", "n", "rank", "alert"])
 
-    schema = "host string, rule string, us long, id long, fate string, n long, rank int, alert long"
-    return firings.repartition("host", "rule").sortWithinPartitions("host", "rule", "us", "id").mapInArrow(fold, schema)
+    return rows.mapInArrow(fold, FATES)
+
+
+def _codes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in ("host", "rule")]
+
+
+def _segments(h: np.ndarray, r: np.ndarray) -> list[tuple[int, int]]:
+    heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))).tolist()
+    return list(zip(heads, [*heads[1:], len(h)], strict=True))
+
+
+def last_alerts(us: np.ndarray, window_us: int) -> np.ndarray:
+    """For each row as an alert, the last alert of the chain that it starts: jumps from alert to next alert, doubled until none goes on."""
+    jump = np.searchsorted(us, us + window_us)
+    jump = np.where(jump < len(us), jump, np.arange(len(us)))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump
+        jump = further
+
+
+def _summary(key: tuple, part: int, us: np.ndarray, ids: np.ndarray, rank: np.ndarray, window_us: int, least: int, flush_us: int | None, entered: bool) -> dict:
+    """What a block does to any state; ``entered``: whether another block of the key may stand before it."""
+    n, ends = len(us), last_alerts(us, window_us)
+    tail = n - int(np.searchsorted(us, us[-1] // flush_us * flush_us)) if flush_us else n
+    out = dict(zip(("host", "rule"), key, strict=True)) | {"part": part, "n": n, "last_us": int(us[-1]), "tail": tail, "high": int(rank.max())}
+    reached = np.flatnonzero(rank >= least)
+    end = int(ends[reached[0]]) if len(reached) else None
+    out |= {"first_us": None if end is None else int(us[end]), "first_id": None if end is None else int(ids[end]), "first_after": None if end is None else n - 1 - end}
+    # the last alert before the block is not later than its first row, so the first one in it is among these
+    m = min(n, int(np.searchsorted(us, us[0] + window_us)) + 1) if entered else 0
+    stops = np.flatnonzero(np.diff(ends[:m], append=-1) != 0)
+    return out | {"upto": us[stops].tolist(), "exit_us": us[ends[stops]].tolist(), "exit_id": ids[ends[stops]].tolist(), "exit_after": (n - 1 - ends[stops]).tolist()}
+
+
+def _entries(rows: DataFrame, window_us: int, least: int, flush_us: int | None) -> DataFrame:
+    """The state with which each partition begins that continues a key."""
+    told_as, entry_as = (to_arrow_schema(T.StructType.fromDDL(d)) for d in (_SUMMARY, _ENTRY))
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, key, held = TaskContext.get().partitionId(), 0, None, []
+
+        def told() -> pa.RecordBatch:
+            us, ids, rank = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_pylist([_summary(key, part, us, ids, rank, window_us, least, flush_us, number == 1)], told_as)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("us", "id", "rank")]
+            for a, b in _segments(*_codes(batch)):
+                mine = (batch.column("host")[a].as_py(), batch.column("rule")[a].as_py())
+                if mine != key:
+                    if number == 1:  # keys that lie in the midst of a partition concern no other
+                        yield told()
+                    key, held, number = mine, [], number + 1
+                held.append([c[a:b] for c in columns])
+        if key is not None:
+            yield told()
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if (x["host"], x["rule"]) != key:
+                    key, state = (x["host"], x["rule"]), (0, 0, -1, None, -1)
+                else:
+                    out.append(dict(zip(("folded", "since", "worst", "last", "chain"), state, strict=True)) | {"part": x["part"]})
+                state = _behind(x, state, window_us, least, flush_us)
+            yield pa.RecordBatch.from_pylist(out, entry_as)
+
+    summaries = rows.mapInArrow(summarise, _SUMMARY)
+    return summaries.repartition("host", "rule").sortWithinPartitions("host", "rule", "part").mapInArrow(compose, _ENTRY)
+
+
+def _behind(x: dict, state: tuple, window_us: int, least: int, flush_us: int | None) -> tuple:
+    """The state behind a block, given its summary and the state before it."""
+    folded, since, worst, last, chain = state
+    now, flush = max(worst, x["high"]), x["last_us"] // flush_us if flush_us else 0
+    if worst < least:
+        if x["first_us"] is None:
+            return folded + x["n"], since, now, last, chain
+        exit_ = (x["first_us"], x["first_id"], x["first_after"])
+    else:
+        k = bisect_left(x["upto"], last + window_us)
+        if k == len(x["upto"]):
+            return (folded if flush == since or not flush_us else 0) + x["tail"], flush, now, last, chain
+        exit_ = (x["exit_us"][k], x["exit_id"][k], x["exit_after"][k])
+    return min(exit_[2], x["tail"]), flush, now, exit_[0], exit_[1]
 
 
 def restated(fates: DataFrame, flush_us: int | None = None) -> DataFrame:
