@@ -197,7 +197,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256, n_added, spans."""
+    """``docs`` with n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, n_added of the tagger's, and all spans."""
     sent = docs.sparkSession.sparkContext.broadcast((tagger or trained()))
     made = [*(f"n_{k}" for k in KINDS), "base_sha256", "n_added", "spans"]
     docs = docs.drop(*made)
@@ -214,7 +214,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> D
                 for i, extra in zip(with_evidence, more, strict=True):
                     base[i] = base_spans(texts[i])
                     spans[i] = base[i] + [s for s in extra if all(s[2] <= a or s[1] >= b for _, a, b in base[i])]
-                columns = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
+                columns = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
                 columns += [pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base]), pa.array([len(x) - len(b) for x, b in zip(spans, base, strict=True)], pa.int64()), pa.array([_joined(x) for x in spans], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *made])
 

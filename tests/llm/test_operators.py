@@ -191,6 +191,14 @@ def test_personal_data(docs):
     assert [k for k, _, _ in near] == ["phone"]
 
 
+def test_personal_data_counts_are_of_base_spans(spark):
+    docs = spark.createDataFrame([(1, "filler words " * 9 + "call (743) 555-3824 now, not 10.0.0.255"), (2, None)], "doc_id long, text string")
+    first, empty = personal_data.digests(docs).orderBy("doc_id").collect()
+    assert first.n_added == 1 and first.spans.startswith("ip:") and ",phone:" in first.spans
+    assert (first.n_email, first.n_ip, first.n_card, first.n_phone) == (0, 1, 0, 0)
+    assert (empty.n_email, empty.n_ip, empty.n_card, empty.n_phone, empty.n_added, empty.spans) == (0, 0, 0, 0, 0, "")
+
+
 class _Lines:
     """Tags each line that is not empty as an address."""
 
