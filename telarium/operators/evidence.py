@@ -266,13 +266,20 @@ def _behind(x: dict, state: tuple, window_us: int, least: int, flush_us: int | N
 def restated(fates: DataFrame, flush_us: int | None = None) -> DataFrame:
     """Alerts raised by what was folded into them before a flush: the one at the end
     of the data, and with ``flush_us`` those at its multiples (as in ``coalesced``)."""
-    after = Window.partitionBy("host", "rule").orderBy("us", "id").rowsBetween(1, Window.unboundedFollowing)
-    then = F.first(F.when(F.col("fate") == "emit", F.col("us")), ignorenulls=True).over(after)
-    flushed = F.col("then").isNull() if flush_us is None else F.col("then").isNull() | (F.floor(F.col("us") / flush_us) < F.floor(F.col("then") / flush_us))
-    rows = fates.withColumn("then", then).where("alert IS NOT NULL")
-    folded = F.count_if((F.col("fate") == "fold") & flushed)
-    ranks = F.max(F.when((F.col("fate") == "emit") | flushed, F.col("rank")))
-    out = rows.groupBy("host", "rule", "alert").agg(F.sum("n").alias("n"), folded.alias("folded"), ranks.alias("rank"))
+    span = F.lit(0) if flush_us is None else F.floor(F.col("us") / flush_us)
+    emitted, rank = F.col("fate") == "emit", F.col("rank")
+    told = fates.where("alert IS NOT NULL").groupBy("host", "rule", "alert", span.alias("span")).agg(
+        F.sum("n").alias("n"), F.count_if(F.col("fate") == "fold").alias("folded"), F.max(F.when(emitted, F.col("us"))).alias("at"),
+        F.max(F.when(emitted, rank)).alias("raised"), F.max(rank).alias("worst"),
+    )
+    # an alert's rows end where the next alert of its key begins, so only alerts are put in order, each with its few spans
+    each = told.groupBy("host", "rule", "alert").agg(F.sum("n").alias("n"), F.max("at").alias("at"), F.max("raised").alias("raised"), F.collect_list(F.struct("span", "folded", "worst")).alias("spans"))
+    each = each.withColumn("then", F.lead("at").over(Window.partitionBy("host", "rule").orderBy("at", "alert")))
+    last = F.col("then").isNull()
+    flushed = F.filter("spans", lambda s: last if flush_us is None else last | (s["span"] < F.floor(F.col("then") / flush_us)))
+    rows = each.withColumn("flushed", flushed)
+    folded = F.aggregate("flushed.folded", F.lit(0).cast("long"), lambda a, b: a + b)
+    out = rows.select("host", "rule", "alert", "n", folded.alias("folded"), F.greatest("raised", F.array_max("flushed.worst")).alias("rank"))
     return out.where("folded > 0").select("host", "rule", "alert", (F.col("n") + F.col("folded")).alias("n"), "rank")
 
 

@@ -78,3 +78,22 @@ def test_restatements_of_a_busy_key(many):
         if flush is None:
             last = max(emitted, key=lambda i: next(r[2:4] for r in rows if r[3] == i))
             assert sum(emitted.values()) + sum(n - emitted[i] for i, n in again.items()) == 900 and set(again) <= {last} and below >= 0
+
+
+def test_restatements_cost_by_alert_not_by_row(many):
+    """Against a loop, null rules too; nothing looks ahead from every row to the end of its key."""
+    rng = random.Random(11)
+    rows = [("h", rng.choice(("r", "s", None)), rng.randrange(3000), i, rng.choice((1, 2, 4))) for i in range(600)]
+    for flush in (None, 170):
+        told = sorted(((*r, *loop(rows, 300, 2, flush)[r[3]]) for r in rows), key=lambda r: (r[2], r[3]))
+        want = {}
+        for k, (h, r, us, _, _, fate, n, rank, alert) in enumerate(told):
+            then = next((x[2] for x in told[k + 1 :] if x[:2] == (h, r) and x[5] == "emit"), None)
+            if alert is not None:
+                flushed = then is None or bool(flush) and us // flush < then // flush
+                total, folded, worst = want.get((h, r, alert), (0, 0, -1))
+                want[h, r, alert] = (total + n, folded + (fate == "fold" and flushed), max(worst, rank) if fate == "emit" or flushed else worst)
+        table = many.createDataFrame([(h, r, us, i, fate, n, rank, alert) for h, r, us, i, _, fate, n, rank, alert in told], ev.FATES)
+        got = ev.restated(table, flush)
+        assert {(x.host, x.rule, x.alert): (x.n, x["rank"]) for x in got.collect()} == {k: (n + folded, rank) for k, (n, folded, rank) in want.items() if folded}
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower().replace("$", "")
