@@ -82,11 +82,19 @@ def residual_risk(gaps: DataFrame, controls: DataFrame) -> DataFrame:
     return rows.select("gap", (-F.col("best.minus")).alias("control"), (severity * (1 - F.coalesce("best.coverage", F.lit(0.0)))).alias("residual"))
 
 
+#: Rows of a task that sorts and sums whole incidents.
+ROWS_A_TASK = 500_000
+
+
 def mttr(steps: DataFrame) -> DataFrame:
     """Serial steps add; each run of parallel steps costs its longest.
 
     A run is named by the serial steps before it, which repeated rows can't tell apart.
+    More rows are more tasks, not larger ones.
     """
+    parts = -(-steps.count() // ROWS_A_TASK)
+    if parts > int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        steps = steps.repartition(parts, "incident")
     in_order = Window.partitionBy("incident").orderBy("step", "parallel", "seconds")
     before = F.count_if(~F.col("parallel")).over(in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     runs = steps.withColumn("island", F.when(F.col("parallel"), before).otherwise(F.row_number().over(in_order)))

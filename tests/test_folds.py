@@ -58,3 +58,15 @@ def test_one_queue_over_many_batches(spark):
             assert eps[i] == ok, i
             spent += c if ok else 0.0
     assert 100 < sum(got.values()) < 6000 and 20 < sum(eps.values()) < 3000
+
+
+def test_more_incidents_are_more_tasks(spark, monkeypatch):
+    from telarium.operators import algebra as al
+
+    rows = [(i, j, float((i * 7 + j * 3) % 11), (i + j) % 3 != 0) for i in range(60) for j in range(6)]
+    steps = spark.createDataFrame(rows, "incident long, step int, seconds double, parallel boolean")
+    plain = {tuple(r) for r in al.mttr(steps).collect()}
+    monkeypatch.setattr(al, "ROWS_A_TASK", 20)
+    cut = al.mttr(steps)
+    assert {tuple(r) for r in cut.collect()} == plain and len(plain) == 60
+    assert cut.rdd.getNumPartitions() == 18
