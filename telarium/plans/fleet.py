@@ -131,7 +131,6 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows of all 15 shapes with a property bag: alternate spellings, blanks, lost
     fields, times that are none and unknown ids."""
     c = F.col
-    rows = src.stored(spark, "telemetry", sf_dir, lambda: telemetry(spark, sf_dir))
     lost, other = c("id") % 17 == 0, c("id") % 11 == 0
     entry = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     plain = lambda chain, value: [entry(CHAINS[chain][0], value)]
@@ -167,7 +166,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for provider, event_id, shape, _ in SHAPES:
         bag = F.map_from_entries(F.filter(F.array(*bags[shape]), lambda e: e["value"].isNotNull()))
         audited = {"process_start": c("id") % 3 != 0, "process_start_audit": c("id") % 3 == 0}.get(shape, F.lit(True))
-        mine = rows.where((c("kind") == shape.removesuffix("_audit")) & audited)
+        mine = telemetry(spark, sf_dir, shape.removesuffix("_audit")).where(audited)
         part = mine.select(
             "id", "host", c("us").alias("seen_us"), ticks.alias("ticks"), F.lit(provider).alias("provider"), F.when(c("id") % 13 == 0, 9999).otherwise(event_id).alias("event_id"),
             F.lit(900).cast("bigint").alias("pid"), bag.alias("fields"), F.pmod("k", F.lit(6)).alias("level"), (100 + c("k")).alias("payload_bytes"), mounts.alias("mounts"),
@@ -192,9 +191,11 @@ sh AS (SELECT *, CASE WHEN shape IS NULL THEN NULL WHEN id % 97 = 0 THEN 'not a
 
 
 def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw rows, translated; ``us`` is when the row was seen."""
-    build = lambda: translate.translated(src.laid_out(raw_events(spark, sf_dir), "provider", "event_id"))
-    return src.stored(spark, "translated", sf_dir, build, "shape").withColumn("decoded_us", F.col("us")).withColumn("us", F.col("seen_us"))
+    """All raw rows, translated; ``us`` is when the row was seen. Raw rows are written once a session, by what
+    the sensor said of them; the typed ones are not, so that a query makes only the columns that it asks for."""
+    raw = src.stored(spark, "raw", sf_dir, lambda: raw_events(spark, sf_dir), "provider", "event_id")
+    rows = translate.translated(raw)
+    return rows.withColumn("decoded_us", F.col("us")).withColumn("us", F.col("seen_us"))
 
 
 @R.query(f"WITH {_RAW} SELECT id, shape FROM sh")

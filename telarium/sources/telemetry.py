@@ -91,9 +91,15 @@ FROM t
 COLUMNS = tuple(c.strip() for c in _COLUMNS.replace("\n", " ").split(","))
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed telemetry derived from ``events`` and ``documents``; columns are pruned at the scan."""
+def telemetry(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """Typed telemetry derived from ``events`` and ``documents``; columns are pruned at the scan.
+
+    With ``kind``, its rows only: the kind is then a constant, which leaves the scan of
+    one input table, a test on it, and of each column what that kind has.
+    """
     sql = TELEMETRY_SQL.format(us=SPARK_US)
+    if kind is not None:
+        sql = sql.replace("\nFROM t\n", f"\nFROM (SELECT id, host, us, pid, k, value, '{kind}' AS kind FROM t WHERE kind = '{kind}')\n")
     return spark.sql(sql.replace("FROM events", "FROM {events}").replace("FROM documents", "FROM {documents}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
