@@ -58,7 +58,7 @@ def rules_top12(spark, sf_dir):
   SELECT host, """ + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("events", "process_starts", "findings", "abstained", "withheld", "alerts", "suppressed", "below_floor")) + " FROM m GROUP BY ROLLUP (host)")
 def run_metrics(spark, sf_dir):
     decided = cut(d.decided(spark, sf_dir))
-    return reports.run_metrics(telemetry(spark, sf_dir), d.all_findings(spark, sf_dir), decided, ev.coalesced(decided, d.WINDOW_US))
+    return reports.run_metrics(telemetry(spark, sf_dir), None, decided, ev.coalesced(decided, d.WINDOW_US))
 
 
 @R.query(f"WITH {TEL}, s AS (SELECT host, count(*) AS entities, count(DISTINCT pid) AS observed FROM tel WHERE kind = 'process_start' GROUP BY host) SELECT *, round(least(1, observed / entities), 6) AS coverage, round(1 - least(1, observed / entities), 6) AS blind_spot, greatest(entities - observed, 0) AS gap FROM s")
