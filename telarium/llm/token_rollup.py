@@ -18,7 +18,8 @@ whatever the corpus, and partial sums mean that a source with a third of the
 rows is no hot key.
 
 Tokens are those of vocabulary files, counted in one pass over the texts for
-all versions (``token_counts``).
+all versions (``token_counts``). A text is cut once; each version encodes a
+worker's distinct words once, and a text's count is the sum of its words'.
 
 Defined cases: null source or lang is a key of its own. Null text has 0 tokens.
 Empty batches commit an empty sum. Keys whose documents and tokens are both 0
@@ -32,29 +33,31 @@ from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telarium.llm.bpe import _codec
-from telarium.llm.common import folder, with_fields
+from telarium.llm import unit_codec
+from telarium.llm.common import blocks, folder, with_fields
 
 KEYS = ("source", "lang", "tokenizer")
 
 
 def token_counts(docs: DataFrame, vocabularies: dict[str, str | Path], text: str = "text") -> DataFrame:
     """``docs`` with ``tokens`` (a map from tokenizer version to count) in place of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast({name: Path(file).read_text() for name, file in vocabularies.items()})
+    names = list(vocabularies)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(unit_codec.tokenizers_file(Path(file).read_text()) for file in vocabularies.values()))
     docs = docs.drop("tokens")
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codecs = {name: _codec(vocabulary) for name, vocabulary in sent.value.items()}
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                counts = [[(name, codec.count(value or "")) for name, codec in codecs.items()] for value in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=[*keep, "tokens"])
+        counter = unit_codec.counter(sent.value)
+        for part, _, _ in blocks(batches, text):
+            n, k = len(part), len(names)
+            counts = np.stack(counter.counts(part.column(text).to_pylist()), axis=1).ravel()
+            tokens = pa.MapArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(names * n, pa.string()), pa.array(counts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), tokens], names=[*keep, "tokens"])
 
     return docs.mapInArrow(run, with_fields(docs.select(*keep).schema, "tokens map<string,bigint>"))
 

@@ -27,7 +27,7 @@ from itertools import chain
 
 import numpy as np
 
-from telarium.llm.bpe import WHITE, byte_letters
+from telarium.llm.bpe import WHITE, Codec, byte_letters
 
 #: Units and ids a worker keeps.
 KEPT, KEPT_IDS = 1_200_000, 8_000_000
@@ -65,10 +65,10 @@ class _Numbers(dict):
 
 
 class Units:
-    """Ids of units by one or more encoders."""
+    """Ids of units by one or more encoders; with ``only_counts``, how many each unit has and no ids."""
 
-    def __init__(self, *encoders: Encode):
-        self.encoders = encoders
+    def __init__(self, *encoders: Encode, only_counts: bool = False):
+        self.encoders, self.only_counts = encoders, only_counts
         self.numbers = _Numbers()
         self.blocks = np.zeros(0, np.int32)  # blocks that had the unit
         self.ids = [np.zeros(0, np.int32) for _ in encoders]
@@ -85,25 +85,37 @@ class Units:
         self.numbers.update(zip([names[k] for k in kept], range(len(kept)), strict=True))
         self.blocks = self.blocks[kept] // 2
         for k, (ids, starts) in enumerate(zip(self.ids, self.starts, strict=True)):
-            self.ids[k] = ids[np.repeat(keep, np.diff(starts))]
+            if not self.only_counts:
+                self.ids[k] = ids[np.repeat(keep, np.diff(starts))]
             self.starts[k] = np.concatenate([[0], np.cumsum(np.diff(starts)[kept])])
 
-    def gather(self, texts: list[list[Unit]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each encoder, the ids of all texts and how many each text has."""
-        if len(self.numbers) > KEPT or max(map(len, self.ids)) > KEPT_IDS:
+    def _numbered(self, texts: list[list[Unit]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, and where each text ends; new units go to the encoders."""
+        if len(self.numbers) > KEPT or max(starts[-1] for starts in self.starts) > KEPT_IDS:
             self._trim()
         sizes = np.array(list(map(len, texts)), np.int64)
         units = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         if new := self.numbers.new:
             for k, encode in enumerate(self.encoders):
                 ids, counts = encode(new)
-                self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
+                if not self.only_counts:
+                    self.ids[k] = np.concatenate([self.ids[k], ids.astype(np.int32)])
                 self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(counts)])
             self.numbers.new = []
             self.blocks = np.concatenate([self.blocks, np.zeros(len(new), np.int32)])
         self.blocks[units] += 1
+        return units, np.cumsum(sizes)
+
+    def counts(self, texts: list[list[Unit]]) -> list[np.ndarray]:
+        """For each encoder, how many ids each text has."""
+        units, ends = self._numbered(texts)
+        each = (np.concatenate([[0], np.cumsum(np.diff(starts)[units])]) for starts in self.starts)
+        return [np.diff(upto[ends], prepend=0) for upto in each]
+
+    def gather(self, texts: list[list[Unit]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each encoder, the ids of all texts and how many each text has."""
+        units, ends = self._numbered(texts)
         out = []
-        ends = np.cumsum(sizes)
         for ids, starts in zip(self.ids, self.starts, strict=True):
             first = starts[units]
             count = starts[units + 1] - first
@@ -159,6 +171,17 @@ class ByteLevel:
         return _encoded(units, together, lambda some: self._ids(" " + " ".join(some)), alone, self.width)
 
 
+def tokenizers_file(text: str) -> str:
+    """A tokenizers file's text as it is; of a file of ranks, the tokenizers file with its tokens and merges."""
+    if text.startswith("{"):
+        return text
+    codec, letter = Codec(text), {b: c for c, b in byte_letters().items()}
+    names = {i: "".join(map(letter.__getitem__, token)) for token, i in codec.id_of.items()}
+    merges = [[names[pair >> 20], names[pair & 0xFFFFF]] for pair, _ in sorted(codec.rank.items(), key=lambda x: x[1])]
+    split = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    return json.dumps({"version": "1.0", "added_tokens": [], "pre_tokenizer": split, "decoder": split, "model": {"type": "BPE", "vocab": {name: i for i, name in names.items()}, "merges": merges}})
+
+
 def _encoded(units: list[Unit], together: list[bool], joined: Callable[[list[str]], list[int]], alone: Callable[[Unit], list[int]], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of units: of those marked ``together`` many at a time, each taking the ids that make up its bytes."""
     some = [u for u, x in zip(units, together, strict=True) if x]
@@ -226,6 +249,27 @@ def byte_level_units(text: str, special: bool) -> Units:
     return Units(byte_level(text, special).encode)
 
 
+class Counter:
+    """Numbers of ids of texts by several byte-level vocabularies, which share the units."""
+
+    def __init__(self, texts: tuple[str, ...]):
+        self.codecs = [byte_level(text, True) for text in texts]
+        self.special = {s for codec in self.codecs for s in codec.special}
+        self.units = Units(*(codec.encode for codec in self.codecs), only_counts=True)
+
+    def _cut(self, text: str) -> list[Unit]:
+        return [(text,)] if any(s in text for s in self.special) else self.codecs[0].cut(text)
+
+    def counts(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.units.counts([self._cut(t) if t else [] for t in texts])
+
+
+@lru_cache(maxsize=2)
+def counter(texts: tuple[str, ...]) -> Counter:
+    """The counter that a worker keeps from task to task."""
+    return Counter(texts)
+
+
 @lru_cache(maxsize=2)
 def pieces(model: bytes) -> Pieces:
     return Pieces(model)

@@ -3,13 +3,16 @@
 import re
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from telarium.llm import decontaminate, html_text, quality_rules, secret_scan, url_filter
+from telarium.llm import bpe, decontaminate, html_text, quality_rules, secret_scan, unit_codec, url_filter
 
 RNG = np.random.default_rng(21)
 #: Names that the operators use inside, or did.
@@ -199,3 +202,28 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, at)
     assert none.count() == 0
+
+
+# token counts: a text is cut once for all vocabularies, and words that many blocks had are not encoded again -----
+
+def test_counts_by_shared_units(monkeypatch):
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_text()
+    files = (Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(), unit_codec.tokenizers_file(ranks))
+    plain = bpe.Codec(ranks)
+    counter, library = unit_codec.Counter(files), Tokenizer.from_str(files[0])
+    texts = ["the cat's  12\n\n 漢字 é", None, "", " ", "a<|endoftext|>b", "\t\u3000x \x85 y", "the the  ", "z" * 300]
+    one, two = counter.counts(texts)
+    assert one.tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert two.tolist() == [plain.count(t or "") for t in texts]
+    assert not any(map(len, counter.units.ids))
+    monkeypatch.setattr(unit_codec, "KEPT", 50)
+    asked = []
+
+    def encode(units):
+        asked.extend(units)
+        return np.zeros(0, np.int32), np.ones(len(units), np.int64)
+
+    units = unit_codec.Units(encode, only_counts=True)
+    for i in range(30):
+        assert units.counts([["often", *(f"w{i}-{k}" for k in range(10))], []])[0].tolist() == [11, 0]
+    assert asked.count("often") == 1 and len(units.numbers) <= 61
