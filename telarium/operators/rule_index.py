@@ -35,11 +35,15 @@ from telarium.operators.prefixes import digits6
 
 GRAM = 3
 RULES_SENT = 64 << 20
+#: Keys of a field up to which each is looked for in its text; of more, all runs of the text are.
+ONE_BY_ONE = 64
 #: Fields that may hold text, in the order of an event's values.
 NAMES = tuple(sigma.FIELDS)
 _AT = {name: i for i, name in enumerate(NAMES)}
 #: Kinds of tests.
 NULL, EQUALS, CONTAINS, STARTS, ENDS, PATTERN, GREATER, AT_LEAST, LESS, AT_MOST, RANGE4, RANGE6, SAME, NEVER = range(14)
+#: What events and the index are joined by.
+_KEY = ["category", "field", "whole", "text"]
 #: Kinds of steps of a condition.
 PUSH, NOT, AND, OR, LEAST = range(5)
 
@@ -193,16 +197,24 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(text, i, GRAM))).otherwise(F.array().cast("array<string>")))
 
 
-def event_keys(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """(id, category, key) of the events: a hash of each field's value and of each of its runs.
+def key_fields(keys: DataFrame) -> DataFrame:
+    """(category, field, whole, wanted) of keys (category, field, whole, text): a handful of rows each category.
 
-    ``fields``: (category, field, whole) that some rule has keys of; a handful of rows each category.
+    ``wanted``: the keys, where they are few.
     """
-    each = rows.select("id", "category", F.posexplode("v").alias("field", "value")).where("value IS NOT NULL")
+    return keys.groupBy("category", "field", "whole").agg(F.collect_set("text").alias("wanted")).withColumn("wanted", F.when(F.size("wanted") <= ONE_BY_ONE, F.col("wanted")))
+
+
+def event_keys(rows: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(``keep``, category, field, whole, text) of the events: each field's value, and its runs or those of them that rules have.
+
+    ``fields``: as ``key_fields`` gives them.
+    """
+    each = rows.select(*keep, "category", F.posexplode("v").alias("field", "value")).where("value IS NOT NULL")
     each = each.join(F.broadcast(fields), ["category", "field"])
     text = F.lower("value")
-    keys = F.when(F.col("whole"), F.array(text)).otherwise(_grams(text))
-    return each.select("id", "category", "field", "whole", F.explode(keys).alias("text"))
+    keys = F.when(F.col("whole"), F.array(text)).when(F.col("wanted").isNotNull(), F.filter("wanted", lambda w: text.contains(w))).otherwise(_grams(text))
+    return each.select(*keep, "category", "field", "whole", F.explode(keys).alias("text"))
 
 
 def index(rules: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -224,8 +236,7 @@ def index(rules: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 def run_counts(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(category, field, text, n): in how many events each run of the rules' literals occurs."""
     wanted = rules.select("category", F.explode("keys").alias("k")).where("NOT k.whole").select("category", "k.field", F.explode(_grams(F.col("k.text"))).alias("text")).distinct()
-    fields = wanted.select("category", "field").distinct().withColumn("whole", F.lit(False))
-    return event_keys(rows, fields).join(F.broadcast(wanted), ["category", "field", "text"]).groupBy("category", "field", "text").agg(F.count("*").alias("n"))
+    return event_keys(rows, key_fields(wanted.withColumn("whole", F.lit(False)))).join(F.broadcast(wanted), ["category", "field", "text"]).groupBy("category", "field", "text").agg(F.count("*").alias("n"))
 
 
 # evaluation -------------------------------------------------------------------
@@ -280,27 +291,52 @@ def meets(values: Column, selections: Column, steps: Column) -> Column:
     return chosen, F.aggregate(steps, F.array().cast("array<boolean>"), step, lambda stack: F.get(stack, F.lit(0)))
 
 
-def candidates(rows: DataFrame, rules: DataFrame, counted: bool = False) -> DataFrame:
-    """Distinct (id, ord) of events and the rules that they may meet."""
+def _index(rows: DataFrame, keyed: DataFrame, counted: bool) -> DataFrame:
+    return cut(index(keyed, cut(run_counts(rows, keyed)) if counted else None))
+
+
+def candidates(rows: DataFrame, rules: DataFrame, counted: bool = False, table: DataFrame | None = None) -> DataFrame:
+    """Distinct (id, ord) of events and the rules that they may meet. ``table``: the index, if it was made."""
     keyed = rules.where("keys IS NOT NULL")
-    table = cut(index(keyed, cut(run_counts(rows, keyed)) if counted else None))
-    fields = table.select("category", "field", "whole").distinct()
-    by_key = event_keys(rows, fields).join(F.broadcast(table) if _small(table) else table, ["category", "field", "whole", "text"]).select("id", "ord")
+    table = _index(rows, keyed, counted) if table is None else table
+    by_key = event_keys(rows, key_fields(table)).join(F.broadcast(table) if _small(table) else table, _KEY).select("id", "ord")
     others = rules.where("keys IS NULL").select("category", "ord")
     return by_key.distinct().unionAll(rows.select("id", "category").join(F.broadcast(others), "category").select("id", "ord"))
 
 
+def _carried(events: DataFrame, rules: DataFrame, table: DataFrame) -> DataFrame:
+    """``candidates`` with the events' values, which stay where they are: an event comes once for each of its keys of a rule."""
+    keep = ("row__", "id", "host", "us", "pid", "kind", "v")
+
+    def rows(some: DataFrame) -> DataFrame:
+        kinds = {sigma.CATEGORIES[r.category] for r in some.select("category").distinct().collect()}
+        return values_of(events.where(F.col("kind").isin(*sorted(kinds)))).withColumn("row__", F.monotonically_increasing_id())
+
+    keyed, others = rules.where("keys IS NOT NULL"), rules.where("keys IS NULL").select("category", "ord")
+    by_key = event_keys(rows(keyed), key_fields(table), keep).join(F.broadcast(table), _KEY).select(*keep, "ord")
+    return by_key.unionAll(rows(others).join(F.broadcast(others), "category").select(*keep, "ord"))
+
+
 def _small(df: DataFrame) -> bool:
     """Whether a table of texts is within what is broadcast."""
     return (df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= RULES_SENT
 
 
 def hits(events: DataFrame, rules: DataFrame, counted: bool = False) -> DataFrame:
-    """Findings as ``sigma.hits`` gives them. ``counted``: take the rarest runs of the literals, for one more pass over the events."""
+    """Findings as ``sigma.hits`` gives them. ``counted``: take the rarest runs of the literals, for one more pass over the events.
+
+    Where the index is broadcast, an event is evaluated where it was read, and only findings are shuffled.
+    """
     rows, rules = values_of(events), cut(rules)
-    pairs = candidates(rows, rules, counted)
+    table = _index(rows, rules.where("keys IS NOT NULL"), counted)
     told = rules.select("ord", "rule", "title", "technique", "hit", "miss", "selections", "program")
     told = F.broadcast(told) if _small(told) else told
-    tried = rows.drop("category").join(pairs, "id").join(told, "ord")
+    sent = _small(table)
+    if sent:
+        tried = _carried(events, rules, table)
+    else:
+        tried = rows.drop("category").join(candidates(rows, rules, table=table), "id").withColumn("row__", F.lit(0))
     chosen, met = meets(F.col("v"), F.col("selections"), F.col("program"))
-    return tried.withColumn("chosen", chosen).where(met).select("id", "host", "us", "pid", "kind", "ord", "rule", "technique", "hit", "miss", F.col("title").alias("detail"))
+    found = tried.join(told, "ord").withColumn("chosen", chosen).where(met)
+    found = found.select("row__", "id", "host", "us", "pid", "kind", "ord", "rule", "technique", "hit", "miss", F.col("title").alias("detail"))
+    return (found.distinct() if sent else found).drop("row__")

@@ -113,3 +113,17 @@ def test_what_is_necessary():
     assert rule_index.necessary(tree("c and b"), keys) == keys["b"]
     assert set(rule_index.necessary(tree("2 of them"), keys)) == {*keys["a"], *keys["b"]}  # c and one of these at least
     assert rule_index.necessary(tree("1 of them"), keys) is None and rule_index.necessary(tree("all of them"), keys) == keys["a"]
+
+
+def test_events_are_not_joined_back(spark, monkeypatch):
+    """An event that has several keys of a rule is found once, and none is shuffled before it is evaluated."""
+    table = events(spark, *some(random.Random(5), 60)).unionAll(events(spark, *some(random.Random(5), 3)))
+    rules = [{"title": "two", "id": "two", "level": "low", "logsource": {"category": "process_creation"}, "detection": {"a": {"Image|contains": ["users", "temp", "cmd.exe"]}, "condition": "a"}}]
+    rows, _ = rule_index.load(spark, rules)
+    want = sorted(map(tuple, sigma.hits(table, sigma.load(rules)[0]).collect()))
+    got = rule_index.hits(table, rows)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == plan.count("rightHint=(strategy=broadcast)") > 0
+    monkeypatch.setattr(rule_index, "ONE_BY_ONE", 1)  # by all runs
+    assert sorted(map(tuple, rule_index.hits(table, rows).collect())) == want
