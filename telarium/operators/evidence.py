@@ -286,11 +286,11 @@ def restated(fates: DataFrame, flush_us: int | None = None) -> DataFrame:
 def alert_rows(decided: DataFrame, fates: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
     """Emitted alerts with title, description (with the body) and severity. ``titles``: of SIGMA rules, by id."""
     emitted = fates.where("fate = 'emit'").select("host", "rule", "id", "us", "n", "rank")
-    rows = emitted.join(decided.select("id", "p", "action", "action_kind", "verdict", "technique", "body"), "id")
+    rows = emitted.join(decided.select("id", "key", "p", "action", "action_kind", "verdict", "technique", "body"), "id")
     title = F.concat(title_of(F.col("rule"), titles), F.when(F.col("verdict") == "approval", " \u2014 awaiting approval").otherwise(""))
     severity = F.element_at(F.lit(list(SEVERITIES)), F.col("rank") + 1)
     text = F.format_string("%s (p=%.4f, n=%d) via %s; %s", "action", "p", "n", "rule", "body")
-    return rows.select(F.concat_ws("-", "host", F.col("id").cast("string")).alias("alert_id"), "host", "rule", "id", "us", "technique", title.alias("title"), text.alias("description"), severity.alias("severity"), F.col("n").alias("count"), "action_kind", "verdict")
+    return rows.select(F.concat_ws("-", "host", F.col("id").cast("string")).alias("alert_id"), "host", "rule", "id", "us", "technique", title.alias("title"), text.alias("description"), severity.alias("severity"), F.col("n").alias("count"), "action_kind", "verdict", "key")
 
 
 def alert_queue(fates: DataFrame) -> DataFrame:
@@ -321,6 +321,8 @@ def refusal(pid: Column, image: Column, own_pid: Column, own_image: Column, syst
     )
 
 
-def response_plan(alerts: DataFrame, pids: DataFrame) -> DataFrame:
-    """Proposed suspensions: a plan, nothing acts."""
-    return alerts.where("action_kind = 'freeze'").join(pids.select("id", "pid"), "id").select("alert_id", "pid", F.lit("suspend").alias("response"), (F.col("verdict") == "auto").alias("automatic"))
+def response_plan(alerts: DataFrame, pids: DataFrame | None = None) -> DataFrame:
+    """Proposed suspensions: a plan, nothing acts. Without ``pids``, of the process (``key``) whose evidence an alert tells."""
+    frozen = alerts.where("action_kind = 'freeze'")
+    frozen = frozen.withColumn("pid", F.col("key")) if pids is None else frozen.join(pids.select("id", "pid"), "id")
+    return frozen.select("alert_id", "pid", F.lit("suspend").alias("response"), (F.col("verdict") == "auto").alias("automatic"))

@@ -286,7 +286,7 @@ def sigma_in_alerts(spark, sf_dir):
 
 @R.query(FATES + " SELECT concat_ws('-', fo.host, fo.id) AS alert_id, tel.pid, 'suspend' AS response, false AS automatic FROM fo JOIN de USING (id) JOIN tel USING (id) WHERE fate = 'emit' AND action = 'freeze process'")
 def response_plan(spark, sf_dir):
-    return ev.response_plan(_alerts(spark, sf_dir), telemetry(spark, sf_dir))
+    return ev.response_plan(_alerts(spark, sf_dir))
 
 
 @R.query(FATES + " SELECT host, rule, alert, id, fate, row_number() OVER (PARTITION BY host, rule, alert ORDER BY us, id) AS place FROM fo WHERE alert IS NOT NULL")
