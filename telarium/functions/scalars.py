@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
 def base_name(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"([^\\/]*)$", 1))
+    """What stands behind the last separator."""
+    return F.lower(F.substring_index(F.replace(path, F.lit("/"), F.lit("\\")), "\\", -1))
 
 
 def stem(path: Column) -> Column:
@@ -21,14 +19,20 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
 
 
+# Tests by many needles or ranges name their text once, as one pattern: generated
+# code holds a text as often as it is named, and the JVM compiles no method over 8,000 bytes.
+
+
+def _either(needles: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(re.escape(n) for n in needles) + ")"
+
+
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return any_of([low.contains(n) for n in needles])
+    return F.lower(text).rlike(_either(needles))
 
 
 def ends_with_any(text: Column, needles: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return any_of([low.endswith(n) for n in needles])
+    return F.lower(text).rlike(_either(needles) + r"\z")
 
 
 def ip4(address: Column) -> Column:
@@ -53,12 +57,15 @@ def in_range4(number: Column, network: str, bits: int) -> Column:
     return number.between(first, first + size - 1)
 
 
+#: Their networks' leading bits.
+_UNROUTABLE_BITS = "^(?:" + "|".join(f"{_number(a):032b}"[:b] for a, b in UNROUTABLE) + ")"
+
+
 def is_routable(address: Column) -> Column:
-    n = ip4(address)
-    v4 = ~any_of([in_range4(n, a, b) for a, b in UNROUTABLE])
+    v4 = ~F.lpad(F.bin(ip4(address)), 32, "0").rlike(_UNROUTABLE_BITS)
     low = F.lower(address)
     v6 = low.contains(":") & ~low.isin("::", "::1") & ~low.rlike("^(ff|f[cd]|fe[89ab])")
-    return F.when(n.isNotNull(), v4).otherwise(F.coalesce(v6, F.lit(False)))
+    return F.coalesce(v4, v6, F.lit(False))
 
 
 def log_ratio(hit: Column, miss: Column) -> Column:

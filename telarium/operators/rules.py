@@ -76,16 +76,18 @@ class Rule:
     title: str
     needs_facts: bool = False
 
-    def pair(self, which: int) -> Column:
-        out = F.lit(self.tiers[-1][which])
-        for tier in reversed(self.tiers[:-1]):
-            out = F.when(tier[0], tier[which]).otherwise(out)
+    def pair(self) -> Column:
+        """(hit, miss) of the first tier that holds; its tests stand once."""
+        clamp = lambda x: F.lit(max(1e-4, min(1.0, float(x))))
+        made = [(test, F.struct(clamp(hit).alias("hit"), clamp(miss).alias("miss"))) for test, hit, miss in self.tiers]
+        out = made[-1][1]
+        for test, pair in reversed(made[:-1]):
+            out = F.when(test, pair).otherwise(out)
         return out
 
     def finding(self, order: int) -> Column:
         fires = F.coalesce(self.when, F.lit(False))
-        clamp = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1.0), c))
-        return F.when(fires, F.struct(F.lit(order).alias("ord"), F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), clamp(self.pair(1)).alias("hit"), clamp(self.pair(2)).alias("miss"), detail_of(self.name).alias("detail")))
+        return F.when(fires, F.struct(F.lit(order).alias("ord"), F.lit(self.name).alias("rule"), F.lit(self.technique).alias("technique"), self.pair().alias("pair"), detail_of(self.name).alias("detail")))
 
 
 def _holds(column: str, needles: tuple[str, ...]) -> str:
@@ -202,6 +204,6 @@ def findings(events: DataFrame, chosen: list[Rule] | None = None, keep: tuple[st
         fired = F
         for kind, found in kinds.items():
             fired = fired.when(F.col("kind") == kind, F.array(*found))
-        rows = events.where(F.col("kind").isin(*kinds)).select(*keep, F.explode(fired).alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
+        rows = events.where(F.col("kind").isin(*kinds)).select(*keep, F.explode(fired).alias("x")).where("x IS NOT NULL").select(*keep, "x.ord", "x.rule", "x.technique", "x.pair.*", "x.detail")
         out = rows if out is None else out.unionAll(rows)
     return out

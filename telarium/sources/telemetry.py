@@ -7,6 +7,7 @@ runs in Spark and in DuckDB (``{us}`` is the engine's microseconds of ``ts``).
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,12 +104,29 @@ def telemetry(spark: SparkSession, sf_dir: str, kind: str | None = None) -> Data
     return spark.sql(sql.replace("FROM events", "FROM {events}").replace("FROM documents", "FROM {documents}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: The JVM compiles no method of more bytes of bytecode; it interprets it at each row.
+COMPILED_BYTES = 8_000
+
+
+@contextmanager
+def in_parts(spark: SparkSession):
+    """What is run inside has no generated method that stays uncompiled: a stage with such a one goes without whole-stage code, in smaller methods."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), COMPILED_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def laid_out(events: DataFrame, *by: str) -> DataFrame:
     """``events`` written to the shared folder by kind (or ``by``) and read back, as such a table lies on
     disk: a pass over some kinds then reads their files and its own columns only."""
     spark = events.sparkSession
     at = f"{folder(spark)}/telemetry-{uuid.uuid4().hex}"
-    events.write.partitionBy(*(by or ("kind",))).parquet(at)
+    with in_parts(spark):
+        events.write.partitionBy(*(by or ("kind",))).parquet(at)
     return spark.read.schema(events.schema).parquet(at)
 
 
@@ -136,7 +154,8 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build, *by: str) -> Data
     key = (spark.sparkContext.applicationId, name, sf_dir, _files(spark, f"{sf_dir}/events.parquet"), _files(spark, f"{sf_dir}/documents.parquet"))
     if key not in _STORED or not _exists(spark, _STORED[key][0]):
         rows, at = build(), f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*(by or ("kind",))).parquet(at)
+        with in_parts(spark):
+            rows.write.partitionBy(*(by or ("kind",))).parquet(at)
         _STORED[key] = (at, rows.schema)
     at, schema = _STORED[key]
     return spark.read.schema(schema).parquet(at)
